@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from gradlens.llm.exact_dedup import OP5_SQL, op5_tree_merge
+from gradlens.llm.language import op7_hyperdimensional_language
+from gradlens.llm.packing import op1_vector_packing
+from gradlens.llm.pieces import op10_piece_viterbi
 from gradlens.llm.quality import op2_compression_bands
 
 
 def queries() -> dict:
     return {
+        "op1_vector_packing": op1_vector_packing,
         "op2_compression_bands": op2_compression_bands,
         "op5_tree_merge": op5_tree_merge,
+        "op7_hyperdimensional_language": op7_hyperdimensional_language,
+        "op10_piece_viterbi": op10_piece_viterbi,
     }
 
 
