@@ -6,6 +6,7 @@ from gradlens.llm.chat import OP3_SQL, op3_perspective_rotation
 from gradlens.llm.exact_dedup import OP5_SQL, op5_tree_merge
 from gradlens.llm.language import op7_hyperdimensional_language
 from gradlens.llm.links import OP9_SQL, op9_link_propagation
+from gradlens.llm.near_dedup import op4_bottom_k
 from gradlens.llm.packing import op1_vector_packing
 from gradlens.llm.pieces import op10_piece_viterbi
 from gradlens.llm.quality import op2_compression_bands
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op1_vector_packing": op1_vector_packing,
         "op2_compression_bands": op2_compression_bands,
         "op3_perspective_rotation": op3_perspective_rotation,
+        "op4_bottom_k": op4_bottom_k,
         "op5_tree_merge": op5_tree_merge,
         "op7_hyperdimensional_language": op7_hyperdimensional_language,
         "op8_clause_grammar": op8_clause_grammar,
