@@ -9,6 +9,7 @@ poorly filled are then taken apart, and their pieces, cut where needed, fill the
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,8 +23,6 @@ from gradlens.llm._common import table
 
 #: GPT-2's published pre-tokenisation pattern, which the byte-level vocabularies go with (fixed value).
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens that a worker remembers; beyond it forgets all and goes on.
-REMEMBER = 400_000
 
 
 @dataclass(frozen=True)
@@ -43,29 +42,47 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Encoder(dict):
-    """Ids of a text as little-endian uint32 bytes. Byte-level BPE never merges across pre-tokens, so their ids are remembered."""
+class Encoder:
+    """Ids of a text as little-endian uint32 bytes.
+
+    A byte-level BPE whose ids are the ranks of its merges is run by tiktoken, which gives the same ids several times
+    faster; any other vocabulary is run by tokenizers itself. Special tokens' strings in a text are ordinary text.
+    """
 
     def __init__(self, path: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.split = regex.compile(PRE_TOKENS).findall
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.wide = self.model.get_vocab_size() > 65536
+        ranks = byte_ranks(path)
+        self.fast = None
+        if ranks:
+            import tiktoken
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBER:
-            self.clear()
-        ids = np.array(self.model.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
+            self.fast = tiktoken.Encoding("ranks", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text)))
+        if self.fast is not None:
+            return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """The vocabulary by bytes, if it is a byte-level BPE with the common pattern and each merge makes the id 256 + its number."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec.get("model", {}), spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or spec.get("normalizer") or model.get("ignore_merges"):
+        return None
+    # Byte-level vocabularies write printable Latin-1 bytes as themselves and the others as code points from 256 on.
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    vocab, special = model["vocab"], {t["content"] for t in spec.get("added_tokens", [])}
+    merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    if any(vocab.get(m) != 256 + i for i, m in enumerate(merges)) or len(vocab) - len(special & set(vocab)) != 256 + len(merges):
+        return None
+    return {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in special}
 
 
 _encoders: dict[str, Encoder] = {}
