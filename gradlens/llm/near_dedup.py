@@ -4,10 +4,10 @@ One hash function; a document's sketch is its k smallest shingle hashes. Documen
 Inverted lists of retained values bring classes together, unions of two sketches estimate their similarity, and what
 is not ruled out is verified on the full sets.
 
-Two things keep hot values from making all pairs of a list. First, prefixes: linked classes share at least half of the
-smaller sketch (for k = 48 and similarity 0.85 with probability 1 - 2e-9), so only the rarer half of a sketch, plus
-one value, has to be listed; values of a passage that many documents share are left out unless they make up half of a
-document. Second, rounds: in each round the members of a list meet only a few leaders of it; members that have come into
+Two things keep hot values from making all pairs of a list. First, prefixes: linked classes share at least a known part
+of the smaller sketch (all but seven standard deviations of the threshold: 0.49 of it for k = 48 and similarity 0.85),
+so only the rarer rest of a sketch, plus one value, has to be listed; values of a passage that many documents share are
+left out unless they make up about half of a document. Second, rounds: in each round the members of a list meet only a few leaders of it; members that have come into
 one component are done, and leaders leave the list once all their pairs in it are decided. The rounds end when no list
 has two components left, so no candidate is dropped, and groups of near copies cost about one pair a member.
 """
@@ -28,6 +28,8 @@ WORDS = 5
 K = 48
 #: Estimates further below the threshold than five standard deviations are rejected.
 SIGMAS = 5.0
+#: Linked classes share this many deviations less of a sketch than the threshold, at least.
+SURE = 7.0
 #: Leaders of a list in the first round, and by how much their number grows.
 LEADERS, GROWTH = 1, 4
 
@@ -129,13 +131,15 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def _prefixes(reps: DataFrame) -> DataFrame:
+def _prefixes(reps: DataFrame, percent: int, k: int) -> DataFrame:
     """v, rep, n: the retained values to list, those that at least two classes retain."""
     values = reps.select("rep", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
     times = reps.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count("*").alias("times")).filter("times > 1")
     shared = values.join(times, "v").groupBy("rep", "n", "m").agg(F.sort_array(F.collect_list(F.struct("times", "v"))).alias("s"))
-    # Values that no other class retains come first in a prefix of m // 2 + 1.
-    room = F.expr("m div 2 + 1 - (m - size(s))").cast("int")
+    t = percent / 100
+    share = max(0.0, t - SURE * (t * (1 - t) / k) ** 0.5)
+    # Values that no other class retains come first in the prefix.
+    room = (F.size("s") + 1 - F.ceil(F.col("m") * share)).cast("int")
     return shared.filter(room > 0).select("rep", "n", F.explode(F.slice("s", F.lit(1), room)).alias("x")).select(F.col("x.v").alias("v"), "rep", "n")
 
 
@@ -166,7 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = written(sketches(narrow, words, k), "sketches")
     classes = written(seen.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
     reps = classes.filter("rep is not null").select("rep", "n", "sketch")
-    lists = written(_prefixes(reps), "lists")
+    lists = written(_prefixes(reps, percent, k), "lists")
     listed = lists.select("rep").distinct()
     sets = written(full_sets(narrow.join(listed, narrow["doc_id"] == listed["rep"]).groupBy("rep").agg(F.first("text").alias("text")), words), "sets")
     links, label = _rounds(lists, reps, sets, percent, k)
@@ -207,10 +211,12 @@ def _rounds(lists: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, k:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """docs with one document of each component, all columns as they were. Documents without words all stay."""
-    gone = near_duplicates(docs, id_col, text_col, percent).filter("not kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__gl_key")).distinct()
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    return docs.join(gone, key == F.col("__gl_key"), "left_anti")
+    """docs with one document of each component, all columns as they were.
+
+    Documents without words and rows without id all stay; rows that share an id stay or go together.
+    """
+    gone = near_duplicates(docs, id_col, text_col, percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gl_key")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gl_key"), "left_anti")
 
 
 def op4_bottom_k(spark, sf_dir: str) -> DataFrame:

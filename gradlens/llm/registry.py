@@ -10,6 +10,7 @@ from gradlens.llm.near_dedup import op4_bottom_k
 from gradlens.llm.packing import op1_vector_packing
 from gradlens.llm.pieces import op10_piece_viterbi
 from gradlens.llm.quality import op2_compression_bands
+from gradlens.llm.substrings import op6_run_length_index
 from gradlens.llm.toxicity import op8_clause_grammar
 
 
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op3_perspective_rotation": op3_perspective_rotation,
         "op4_bottom_k": op4_bottom_k,
         "op5_tree_merge": op5_tree_merge,
+        "op6_run_length_index": op6_run_length_index,
         "op7_hyperdimensional_language": op7_hyperdimensional_language,
         "op8_clause_grammar": op8_clause_grammar,
         "op9_link_propagation": op9_link_propagation,
