@@ -4,12 +4,16 @@ One hash function; a document's sketch is its k smallest shingle hashes. Documen
 Inverted lists of retained values bring classes together, unions of two sketches estimate their similarity, and what
 is not ruled out is verified on the full sets.
 
-Two things keep hot values from making all pairs of a list. First, prefixes: linked classes share at least a known part
-of the smaller sketch (all but seven standard deviations of the threshold: 0.49 of it for k = 48 and similarity 0.85),
-so only the rarer rest of a sketch, plus one value, has to be listed; values of a passage that many documents share are
-left out unless they make up about half of a document. Second, rounds: in each round the members of a list meet only a few leaders of it; members that have come into
-one component are done, and leaders leave the list once all their pairs in it are decided. The rounds end when no list
-has two components left, so no candidate is dropped, and groups of near copies cost about one pair a member.
+Two things keep hot values and large groups from making all pairs of a list. First, prefixes: linked classes share at
+least a known part of the smaller sketch (all but seven standard deviations of the threshold: 0.49 of it for k = 48 and
+similarity 0.85), so only the rarer rest of a sketch, plus one value, has to be listed.
+
+Second, differences from a leader. A list of more than SMALL classes meets its leader only. With D(x) the symmetric
+difference of the sets of x and the leader, |A xor B| = |D(a) xor D(b)| exactly; so classes that are linked with each
+other, but not both with the leader, share almost all of their differences. The rarest of these (again a prefix, but
+exact now) make new, much shorter lists, which are treated in the same way. Copies that differ from their common source
+in places of their own share no rare difference and never meet; nothing is dropped, and the rounds end when no long list
+with two components is left.
 """
 
 from __future__ import annotations
@@ -19,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradlens.llm._common import mix64, shared_dir, slices, table, text_bytes, written
+from gradlens.llm._common import mix64, slices, table, text_bytes, written
 
 WORDS = 5
 K = 48
@@ -30,8 +34,8 @@ K = 48
 SIGMAS = 5.0
 #: Linked classes share this many deviations less of a sketch than the threshold, at least.
 SURE = 7.0
-#: Leaders of a list in the first round, and by how much their number grows.
-LEADERS, GROWTH = 1, 4
+#: Lists up to this length make all of their pairs: at most SMALL - 1 a member.
+SMALL = 8
 
 _B = 0x9E3779B97F4A7C15
 _BINV = pow(_B, -1, 2**64)
@@ -104,28 +108,31 @@ def _small(sets: Iterator[np.ndarray], k: int) -> Iterator[tuple[int, bytes, np.
         yield len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[:k].copy()
 
 
-def full_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """rep, shingles. docs: rep, text."""
+def full_sets(docs: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
+    """rep, sketch, shingles. docs: rep, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = text_bytes(batch.column(1))
             for a, b in slices([len(x) for x in raw]):
-                yield pa.record_batch([batch.column(0).slice(a, b - a), _lists(shingle_sets(raw[a:b], words))], names=["rep", "shingles"])
+                sets = shingle_sets(raw[a:b], words)
+                yield pa.record_batch([batch.column(0).slice(a, b - a), _lists([x[:k] for x in sets]), _lists(sets)], names=["rep", "sketch", "shingles"])
 
-    return docs.mapInArrow(run, "rep long, shingles array<long>")
+    return docs.mapInArrow(run, "rep long, sketch array<long>, shingles array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node that can be reached over edges (a, b). Minimum labels with pointer jumping."""
-    shared_dir(edges.sparkSession)
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct().checkpoint()
-    label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")).checkpoint()
+    """node, label: the smallest node that can be reached over edges (a, b). Minimum labels with pointer jumping.
+
+    One written table a round; stars around their smallest node need one round, and any graph about the logarithm of its diameter.
+    """
+    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "edges")
+    label = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "label")
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        step = label.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        step = step.join(jump, "label", "left").select("node", "old", F.least("label", "top").alias("label")).checkpoint()
+        step = label.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        jump = label.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        step = written(step.join(jump, "label", "left").select("node", "old", F.least("label", "top").alias("label")), "label")
         label = step.select("node", "label")
         if step.filter("old <> label").isEmpty():
             return label
@@ -143,16 +150,16 @@ def _prefixes(reps: DataFrame, percent: int, k: int) -> DataFrame:
     return shared.filter(room > 0).select("rep", "n", F.explode(F.slice("s", F.lit(1), room)).alias("x")).select(F.col("x.v").alias("v"), "rep", "n")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     """a, b of the pairs that are linked: first by the union sketch, then on the full sets."""
     t = percent / 100
     least = t - SIGMAS * (t * (1 - t) / k) ** 0.5
-    side = lambda df, x, c: df.select(F.col("rep").alias(x), F.col(c).alias(f"{c}_{x}"))
-    near = pairs.join(side(reps, "a", "sketch"), "a").join(side(reps, "b", "sketch"), "b")
+    side = lambda x, c: sets.select(F.col("rep").alias(x), F.col(c).alias(f"{c}_{x}"))
+    near = pairs.join(side("a", "sketch"), "a").join(side("b", "sketch"), "b")
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), union))
-    near = written(near.filter(both >= least * F.size(union)).select("a", "b"), "near-pairs")
-    full = near.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
+    near = near.filter(both >= least * F.size(union)).select("a", "b")
+    full = near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
     same = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return full.withColumn("same", same).filter(f"100 * same >= {percent} * (size(shingles_a) + size(shingles_b) - same)").select("a", "b")
 
@@ -172,8 +179,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = classes.filter("rep is not null").select("rep", "n", "sketch")
     lists = written(_prefixes(reps, percent, k), "lists")
     listed = lists.select("rep").distinct()
-    sets = written(full_sets(narrow.join(listed, narrow["doc_id"] == listed["rep"]).groupBy("rep").agg(F.first("text").alias("text")), words), "sets")
-    links, label = _rounds(lists, reps, sets, percent, k)
+    sets = written(full_sets(narrow.join(listed, narrow["doc_id"] == listed["rep"]).groupBy("rep").agg(F.first("text").alias("text")), words, k), "sets")
+    label = _rounds(lists, sets, percent, k)
     whole = seen.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
     whole = whole.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     if label is not None:
@@ -184,30 +191,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return whole.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _rounds(lists: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, k: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Links that connect all components, and the labels of the classes in them (None: no links)."""
+def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """v, rep, n: new lists from the members of long ones. members: lead, rep, n."""
+    side = lambda x: sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"{x}_set"))
+    both = members.join(side("rep"), "rep").join(side("lead"), "lead")
+    # What the member lacks is told apart from what it has more by flipping all bits.
+    delta = F.concat(F.array_except("rep_set", "lead_set"), F.transform(F.array_except("lead_set", "rep_set"), lambda x: F.bitwise_not(x)))
+    rows = both.select("lead", "rep", "n", F.explode(delta).alias("el"))
+    times = rows.groupBy("lead", "el").agg(F.count("*").alias("times"))
+    shared = rows.groupBy("lead", "rep", "n").agg(F.count("*").alias("size")).withColumnRenamed("lead", "l").withColumnRenamed("rep", "r").drop("n")
+    common = rows.join(times.filter("times > 1"), ["lead", "el"]).groupBy("lead", "rep", "n").agg(F.sort_array(F.collect_list(F.struct("times", "el"))).alias("s"))
+    common = common.join(shared, (F.col("lead") == F.col("l")) & (F.col("rep") == F.col("r")))
+    # |A xor B| <= (1 - t) / (1 + t) * (|A| + |B|) and |B| <= |A| / t: the most that linked sets differ by.
+    t = percent / 100
+    most = F.floor(F.lit((1 - t) / (1 + t) * (1 + 1 / t)) * F.col("n") + 1e-6)
+    room = (F.least(F.col("size"), most + 1) - (F.col("size") - F.size("s"))).cast("int")
+    listed = common.filter(room > 0).select("lead", "rep", "n", F.explode(F.slice("s", F.lit(1), room)).alias("x"))
+    return listed.select(F.xxhash64("lead", "x.el").alias("v"), "rep", "n")
+
+
+def _rounds(lists: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame | None:
+    """Labels of the classes that links connect (None: no links). lists: v, rep, n."""
     links = label = done = None
-    leaders_n = LEADERS
+    now = lists.withColumn("label", F.col("rep"))
     while True:
-        now = lists.withColumn("label", F.col("rep")) if label is None else lists.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        split = now.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("v")
-        open_ = written(now.join(split, "v"), "open")
-        # Members outside the list's largest component lead first: the others are one component already.
-        per = open_.groupBy("v", "label").agg(F.count("*").alias("c")).groupBy("v").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-        ranked = open_.join(per, "v").withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy((F.col("label") == F.col("main")) & (F.lit(label is not None)), "rep")))
-        lead = written(ranked.filter(f"r <= {leaders_n}").select("v", F.col("rep").alias("lead"), F.col("n").alias("lead_n"), F.col("label").alias("lead_label")), "leaders")
+        per = now.groupBy("v").agg(F.min(F.struct("rep", "n", "label")).alias("l"), F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+        lead = written(per.select("v", F.col("l.rep").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.label").alias("lead_label"), "members"), "leaders")
         if lead.isEmpty():
-            return links, label
-        alike = (F.col("label") != F.col("lead_label")) & (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n"))
-        met = open_.join(lead, "v").filter(alike).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+            return label
+        alike = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
+        star = now.join(lead.filter(f"members > {SMALL}"), "v").filter((F.col("label") != F.col("lead_label")) & alike("n", "lead_n")).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
+        few = now.join(lead.filter(f"members <= {SMALL}").select("v"), "v", "left_semi")
+        other = few.select("v", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+        small = few.join(other, "v").filter((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & alike("n", "n2")).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+        met = star.union(small).distinct()
         pairs = written(met if done is None else met.join(done, ["a", "b"], "left_anti"), "pairs")
-        found = written(_verified(pairs, reps, sets, percent, k), "links")
+        found = written(_verified(pairs, sets, percent, k), "links")
         done = pairs if done is None else done.unionByName(pairs)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
-            label = written(components(links), "labels")
-        lists = open_.select("v", "rep", "n").join(lead.select("v", F.col("lead").alias("rep")), ["v", "rep"], "left_anti")
-        leaders_n *= GROWTH
+            label = components(links)
+        long = now.select("v", "rep", "n").join(lead.filter(f"members > {SMALL}").select("v", "lead"), "v").filter("rep <> lead").select("lead", "rep", "n").distinct()
+        new = _differences(long, sets, percent).distinct()
+        now = written(new.withColumn("label", F.col("rep")) if label is None else new.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "lists")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
