@@ -8,12 +8,12 @@ Two things keep hot values and large groups from making all pairs of a list. Fir
 least a known part of the smaller sketch (all but seven standard deviations of the threshold: 0.49 of it for k = 48 and
 similarity 0.85), so only the rarer rest of a sketch, plus one value, has to be listed.
 
-Second, differences from a leader. A list of more than SMALL classes meets its leader only. With D(x) the symmetric
-difference of the sets of x and the leader, |A xor B| = |D(a) xor D(b)| exactly; so classes that are linked with each
-other, but not both with the leader, share almost all of their differences. The rarest of these (again a prefix, but
-exact now) make new, much shorter lists, which are treated in the same way. Copies that differ from their common source
-in places of their own share no rare difference and never meet; nothing is dropped, and the rounds end when no long list
-with two components is left.
+Second, differences from a leader. A list of more than SMALL classes meets its leader only, the class that comes first
+by position of the value (the most usual one). With D(x) the symmetric difference of the sets of x and the leader,
+|A xor B| = |D(a) xor D(b)| exactly; so classes that are linked with each other, but not both with the leader, share almost
+all of their differences. The differences make new, much shorter lists, rarest first, and two classes of one
+meet only if the places of the shared difference in both allow a link and they are in different components still. Copies
+that differ from their common source in places of their own do not meet, and nothing is dropped.
 """
 
 from __future__ import annotations
@@ -139,7 +139,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _prefixes(reps: DataFrame, percent: int, k: int) -> DataFrame:
-    """v, rep, n: the retained values to list, those that at least two classes retain."""
+    """v, rep, n, pos: the retained values to list, those that at least two classes retain; pos: place in the sketch, rarest first."""
     values = reps.select("rep", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
     times = reps.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count("*").alias("times")).filter("times > 1")
     shared = values.join(times, "v").groupBy("rep", "n", "m").agg(F.sort_array(F.collect_list(F.struct("times", "v"))).alias("s"))
@@ -147,7 +147,8 @@ def _prefixes(reps: DataFrame, percent: int, k: int) -> DataFrame:
     share = max(0.0, t - SURE * (t * (1 - t) / k) ** 0.5)
     # Values that no other class retains come first in the prefix.
     room = (F.size("s") + 1 - F.ceil(F.col("m") * share)).cast("int")
-    return shared.filter(room > 0).select("rep", "n", F.explode(F.slice("s", F.lit(1), room)).alias("x")).select(F.col("x.v").alias("v"), "rep", "n")
+    listed = shared.filter(room > 0).select("rep", "n", (F.col("m") - F.size("s")).alias("alone"), F.posexplode(F.slice("s", F.lit(1), room)).alias("at", "x"))
+    return listed.select(F.col("x.v").alias("v"), "rep", "n", (F.col("alone") + F.col("at") + 1).alias("pos"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
@@ -180,7 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = written(_prefixes(reps, percent, k), "lists")
     listed = lists.select("rep").distinct()
     sets = written(full_sets(narrow.join(listed, narrow["doc_id"] == listed["rep"]).groupBy("rep").agg(F.first("text").alias("text")), words, k), "sets")
-    label = _rounds(lists, sets, percent, k)
+    label = _connect(lists, sets, percent, k)
     whole = seen.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
     whole = whole.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     if label is not None:
@@ -192,48 +193,82 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """v, rep, n: new lists from the members of long ones. members: lead, rep, n."""
+    """v, rep, n, pos, size: lists of differences from the leader. members: lead, rep, n. pos: place among the `size` differences, rarest first."""
     side = lambda x: sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"{x}_set"))
     both = members.join(side("rep"), "rep").join(side("lead"), "lead")
     # What the member lacks is told apart from what it has more by flipping all bits.
     delta = F.concat(F.array_except("rep_set", "lead_set"), F.transform(F.array_except("lead_set", "rep_set"), lambda x: F.bitwise_not(x)))
-    rows = both.select("lead", "rep", "n", F.explode(delta).alias("el"))
-    times = rows.groupBy("lead", "el").agg(F.count("*").alias("times"))
-    shared = rows.groupBy("lead", "rep", "n").agg(F.count("*").alias("size")).withColumnRenamed("lead", "l").withColumnRenamed("rep", "r").drop("n")
-    common = rows.join(times.filter("times > 1"), ["lead", "el"]).groupBy("lead", "rep", "n").agg(F.sort_array(F.collect_list(F.struct("times", "el"))).alias("s"))
-    common = common.join(shared, (F.col("lead") == F.col("l")) & (F.col("rep") == F.col("r")))
-    # |A xor B| <= (1 - t) / (1 + t) * (|A| + |B|) and |B| <= |A| / t: the most that linked sets differ by.
-    t = percent / 100
-    most = F.floor(F.lit((1 - t) / (1 + t) * (1 + 1 / t)) * F.col("n") + 1e-6)
-    room = (F.least(F.col("size"), most + 1) - (F.col("size") - F.size("s"))).cast("int")
-    listed = common.filter(room > 0).select("lead", "rep", "n", F.explode(F.slice("s", F.lit(1), room)).alias("x"))
-    return listed.select(F.xxhash64("lead", "x.el").alias("v"), "rep", "n")
+    rows = both.withColumn("delta", delta).select("lead", "rep", "n", F.size("delta").alias("size"), F.explode("delta").alias("el"))
+    times = rows.groupBy("lead", "el").agg(F.count("*").alias("times")).filter("times > 1")
+    common = rows.join(times, ["lead", "el"]).groupBy("lead", "rep", "n", "size").agg(F.sort_array(F.collect_list(F.struct("times", "el"))).alias("s"))
+    # Differences of one class alone come first; places beyond what linked sets may differ by are of no use.
+    most = F.floor(F.lit(_differ(percent) * (1 + 100 / percent)) * F.col("n") + 1e-6)
+    room = F.least(F.size("s"), most + 1 - (F.col("size") - F.size("s"))).cast("int")
+    listed = common.filter(room > 0).select("lead", "rep", "n", "size", (F.col("size") - F.size("s")).alias("alone"), F.posexplode(F.slice("s", F.lit(1), room)).alias("at", "x"))
+    return listed.select(F.xxhash64("lead", "x.el").alias("v"), "rep", "n", (F.col("alone") + F.col("at") + 1).alias("pos"), "size")
 
 
-def _rounds(lists: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame | None:
-    """Labels of the classes that links connect (None: no links). lists: v, rep, n."""
-    links = label = done = None
-    now = lists.withColumn("label", F.col("rep"))
-    while True:
-        per = now.groupBy("v").agg(F.min(F.struct("rep", "n", "label")).alias("l"), F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-        lead = written(per.select("v", F.col("l.rep").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.label").alias("lead_label"), "members"), "leaders")
-        if lead.isEmpty():
-            return label
-        alike = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
-        star = now.join(lead.filter(f"members > {SMALL}"), "v").filter((F.col("label") != F.col("lead_label")) & alike("n", "lead_n")).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
-        few = now.join(lead.filter(f"members <= {SMALL}").select("v"), "v", "left_semi")
-        other = few.select("v", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-        small = few.join(other, "v").filter((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & alike("n", "n2")).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-        met = star.union(small).distinct()
-        pairs = written(met if done is None else met.join(done, ["a", "b"], "left_anti"), "pairs")
-        found = written(_verified(pairs, sets, percent, k), "links")
-        done = pairs if done is None else done.unionByName(pairs)
+def _differ(percent: int) -> float:
+    """|A xor B| of linked sets is at most this times |A| + |B|."""
+    return (100 - percent) / (100 + percent)
+
+
+def _named(lists: DataFrame, label: DataFrame | None) -> DataFrame:
+    if label is None:
+        return lists.withColumn("label", F.col("rep"))
+    return lists.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+
+def _meeting(lists: DataFrame, percent: int, all_pairs: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different components to verify, and the leaders (v, lead) of long lists. lists: v, rep, n, pos, label[, size].
+
+    Long lists: pairs with the leader, or, with all_pairs, all that the places of the shared difference allow.
+    """
+    alike = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    per = lists.groupBy("v").agg(F.min(F.struct("pos", "rep", "n", "label")).alias("l"), F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    lead = written(per.select("v", F.col("l.rep").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.label").alias("lead_label"), "members"), "leaders")
+    few = lists.join(lead.select("v", "members") if all_pairs else lead.filter(f"members <= {SMALL}").select("v", "members"), "v")
+    other = few.select("v", *(F.col(c).alias(f"{c}2") for c in few.columns if c not in ("v", "members")))
+    allowed = (F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & alike("n", "n2")
+    if all_pairs:
+        most = F.floor(F.lit(_differ(percent)) * (F.col("n") + F.col("n2")) + 1e-6)
+        gap = F.col("size") - F.col("size2")
+        allowed = allowed & (2 * (F.col("pos") - 1) <= most + gap) & (2 * (F.col("pos2") - 1) <= most - gap)
+    met = few.join(other, "v").filter(allowed).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    if not all_pairs:
+        star = lists.join(lead.filter(f"members > {SMALL}"), "v").filter((F.col("label") != F.col("lead_label")) & alike("n", "lead_n"))
+        met = met.union(star.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")))
+    return met.distinct(), lead.filter(f"members > {SMALL}").select("v", "lead")
+
+
+def _connect(lists: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame | None:
+    """Labels of the classes that links connect (None: no links). lists: v, rep, n, pos."""
+    links = label = None
+
+    def verify(pairs: DataFrame) -> None:
+        nonlocal links, label
+        found = written(_verified(written(pairs, "pairs"), sets, percent, k), "links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             label = components(links)
-        long = now.select("v", "rep", "n").join(lead.filter(f"members > {SMALL}").select("v", "lead"), "v").filter("rep <> lead").select("lead", "rep", "n").distinct()
-        new = _differences(long, sets, percent).distinct()
-        now = written(new.withColumn("label", F.col("rep")) if label is None else new.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "lists")
+
+    pairs, lead = _meeting(_named(lists, None), percent, False)
+    verify(pairs)
+    # Lists that are of one component by now are done; the members of the others differ from their leader.
+    open_ = _named(lists.join(lead, "v"), label).join(_open(_named(lists.join(lead, "v"), label)), "v")
+    members = written(open_.filter("rep <> lead").select("lead", "rep", "n").distinct(), "members")
+    if members.isEmpty():
+        return label
+    apart = written(_differences(members, sets, percent), "differences")
+    pairs, _ = _meeting(_named(apart, label), percent, False)
+    verify(pairs)
+    pairs, _ = _meeting(_named(apart, label), percent, True)
+    verify(pairs)
+    return label
+
+
+def _open(named: DataFrame) -> DataFrame:
+    return named.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("v")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
