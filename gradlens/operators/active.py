@@ -18,6 +18,10 @@ from gradlens.operators.moments import eigenpairs, sketch
 from gradlens.operators.neighbors import local_linear_gradients
 
 
+#: Parameters above which the leading pairs may come from a randomized decomposition.
+RANDOMIZED_PARAMETERS = 500
+
+
 @dataclass
 class Subspace:
     """What all subspace models have: a spectrum, its vectors and the split into active and inactive ones."""
@@ -77,7 +81,8 @@ class ActiveSubspaces(Subspace):
             return self.set_spectrum(evals, evects)
         m = len(df.select(g_col).head()[0])
         nested = dict(df.dtypes)[g_col].startswith("array<array")
-        randomized = self.dim if not nested and linalg.prefers_randomized(df.count(), m, self.dim) else None
+        # Forming the moment matrix is the cheap part here; only decomposing a large one is worth an approximation.
+        randomized = self.dim if not nested and m > RANDOMIZED_PARAMETERS and linalg.prefers_randomized(df.count(), m, self.dim) else None
         evals, evects = eigenpairs(df, g_col, weight_col, metric, randomized_dim=randomized)
         if self.n_boot and not nested and evects.shape[0] == evects.shape[1] > 1:
             self.evals_br, self.subs_br = bootstrap(df, evects, g_col, weight_col, self.n_boot, seed)

@@ -21,7 +21,7 @@ from gradlens.operators.features import DISTRIBUTIONS, FeatureMap, distribution
 UNIT = 10_000.0
 #: Fixed feature matrix and bias of the random-feature queries.
 W = np.array([[0.6, -0.4], [1.1, 0.3], [-0.2, 0.9]])
-BIAS = np.array([0.1, 0.7, 1.3])
+BIAS = np.array([0.13, 0.77, 1.3])
 METRIC = np.array([[2.0, 0.5], [0.5, 1.0]])
 
 
@@ -35,7 +35,7 @@ def _r(c, digits: int = 6) -> Column:
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", (F.col("l_extendedprice") / UNIT).alias("price"), F.array("l_discount", "l_tax").alias("raw"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate").alias("line"), (F.col("l_extendedprice") / UNIT).alias("price"), F.array("l_discount", "l_tax").alias("raw"))
 
 
 def _normalizer(spark: SparkSession, sf_dir: str) -> exprs.Normalizer:
@@ -48,11 +48,12 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
     d, t = F.get("raw", F.lit(0)), F.get("raw", F.lit(1))
     g = F.array(-F.col("price") * (1 + t), F.col("price") * (1 - d))
-    return raw.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", n.forward("raw").alias("x"), (F.col("price") * (1 - d) * (1 + t)).alias("f"), n.gradient(g).alias("g"))
+    return raw.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "line", n.forward("raw").alias("x"), (F.col("price") * (1 - d) * (1 + t)).alias("f"), n.gradient(g).alias("g"))
 
 
 def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples(spark, sf_dir).withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    """With row_id: order and line numbers alone are not unique in the benchmark tables."""
+    return samples(spark, sf_dir).withColumnRenamed("line", "row_id")
 
 
 CTE = """
@@ -217,7 +218,8 @@ def min_dist_assign(spark, sf_dir):
 
 
 def local_planes_2d(spark, sf_dir):
-    out = neighbors.local_planes(_suppliers(spark, sf_dir), _customers(spark, sf_dir), 12, own=True)
+    flat = lambda df: df.withColumn("x", F.array(F.get("x", F.lit(0)), F.get("x", F.lit(1)) / 25))
+    out = neighbors.local_planes(flat(_suppliers(spark, sf_dir)), flat(_customers(spark, sf_dir)), 12, own=True)
     return out.select("query_id", _r(F.get("g", F.lit(0)), 4).alias("g0"), _r(F.get("g", F.lit(1)), 4).alias("g1"))
 
 
@@ -338,15 +340,15 @@ def local_gradients(spark, sf_dir):
 
 def kmeans_as(spark, sf_dir):
     rows = keyed(spark, sf_dir)
-    return local.KMeansAS(local.ClusterConfig(3, surface_rows=100, restarts=0)).fit(rows).compute_scores(rows)
+    return local.KMeansAS(local.ClusterConfig(3, surface_rows=40, restarts=0)).fit(rows).compute_scores(rows)
 
 
 def kmedoids_as(spark, sf_dir):
     rows = keyed(spark, sf_dir)
-    return local.KMedoidsAS(local.ClusterConfig(3, surface_rows=100, restarts=0), sample_rows=300).fit(rows).compute_scores(rows)
+    return local.KMedoidsAS(local.ClusterConfig(3, surface_rows=40, restarts=0), sample_rows=300).fit(rows).compute_scores(rows)
 
 
-TREE = {"max_clusters": 4, "max_children": 3, "min_children": 2, "max_red_dim": 1, "score_tol": 0.95, "min_local": 5, "dim_cut": 0.95, "dim_criterion": "cum", "normalization": "uniform", "metric": "as", "refinement": "mean", "node_rows": 60, "restarts": 0}
+TREE = {"max_clusters": 4, "max_children": 3, "min_children": 2, "max_red_dim": 1, "score_tol": 0.95, "min_local": 4, "dim_cut": 0.95, "dim_criterion": "cum", "normalization": "uniform", "metric": "as", "refinement": "mean", "node_rows": 20, "restarts": 0}
 
 
 def hierarchical_as(spark, sf_dir):
@@ -418,13 +420,13 @@ WITH_SQL = {
     "knn_topk": (knn_topk, "WITH d AS (SELECT s_suppkey AS query_id, c_custkey AS neighbour_id, (s_acctbal / 1000 - c_acctbal / 1000) * (s_acctbal / 1000 - c_acctbal / 1000) + (s_nationkey - c_nationkey)::DOUBLE * (s_nationkey - c_nationkey) AS d2 FROM supplier, customer), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, neighbour_id) AS rank FROM d) SELECT query_id, neighbour_id, rank, round(d2, 6) + 0.0 AS d2 FROM r WHERE rank <= 3"),
     "as_metric_knn": (as_metric_knn, "WITH p AS (SELECT s_suppkey AS id, 0.9::DOUBLE * (0.6::DOUBLE * s_acctbal / 1000 + 0.8::DOUBLE * s_nationkey) AS a, 0.1::DOUBLE * (-0.8::DOUBLE * s_acctbal / 1000 + 0.6::DOUBLE * s_nationkey) AS b FROM supplier), c AS (SELECT c_custkey AS id, 0.9::DOUBLE * (0.6::DOUBLE * c_acctbal / 1000 + 0.8::DOUBLE * c_nationkey) AS a, 0.1::DOUBLE * (-0.8::DOUBLE * c_acctbal / 1000 + 0.6::DOUBLE * c_nationkey) AS b FROM customer), d AS (SELECT p.id AS query_id, (p.a - c.a) * (p.a - c.a) + (p.b - c.b) * (p.b - c.b) AS d2, c.id AS n FROM p, c), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, n) AS rank FROM d) SELECT query_id, rank, round(d2, 6) + 0.0 AS d2 FROM r WHERE rank <= 2"),
     "min_dist_assign": (min_dist_assign, "WITH d AS (SELECT c_custkey AS id, s_suppkey AS s, s_nationkey AS label, (s_acctbal / 1000 - c_acctbal / 1000) * (s_acctbal / 1000 - c_acctbal / 1000) + (s_nationkey - c_nationkey)::DOUBLE * (s_nationkey - c_nationkey) AS d2 FROM supplier, customer), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, s) AS rank FROM d) SELECT label::BIGINT AS label, count(*) AS n FROM r WHERE rank = 1 GROUP BY 1"),
-    "local_planes_2d": (local_planes_2d, "WITH d AS (SELECT s_suppkey AS query_id, c_custkey AS n, c_acctbal / 1000 AS x0, c_nationkey::DOUBLE AS x1, c_acctbal * c_acctbal / 1e6 + 3 * c_nationkey AS f, (s_acctbal / 1000 - c_acctbal / 1000) * (s_acctbal / 1000 - c_acctbal / 1000) + (s_nationkey - c_nationkey)::DOUBLE * (s_nationkey - c_nationkey) AS d2 FROM supplier, customer), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, n) AS rank FROM d), m AS (SELECT query_id, covar_pop(x0, x0) a, covar_pop(x0, x1) b, covar_pop(x1, x1) c, covar_pop(x0, f) p, covar_pop(x1, f) q FROM r WHERE rank <= 12 GROUP BY 1) SELECT query_id, round((p * c - q * b) / (a * c - b * b), 4) + 0.0 AS g0, round((a * q - b * p) / (a * c - b * b), 4) + 0.0 AS g1 FROM m"),
+    "local_planes_2d": (local_planes_2d, "WITH d AS (SELECT s_suppkey AS query_id, c_custkey AS n, c_acctbal / 1000 AS x0, c_nationkey / 25.0::DOUBLE AS x1, c_acctbal * c_acctbal / 1e6 + 3 * c_nationkey AS f, (s_acctbal / 1000 - c_acctbal / 1000) * (s_acctbal / 1000 - c_acctbal / 1000) + (s_nationkey / 25.0::DOUBLE - c_nationkey / 25.0::DOUBLE) * (s_nationkey / 25.0::DOUBLE - c_nationkey / 25.0::DOUBLE) AS d2 FROM supplier, customer), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d2, n) AS rank FROM d), m AS (SELECT query_id, covar_pop(x0, x0) a, covar_pop(x0, x1) b, covar_pop(x1, x1) c, covar_pop(x0, f) p, covar_pop(x1, f) q FROM r WHERE rank <= 12 GROUP BY 1) SELECT query_id, round((p * c - q * b) / (a * c - b * b), 4) + 0.0 AS g0, round((a * q - b * p) / (a * c - b * b), 4) + 0.0 AS g1 FROM m"),
     "rff_map": (rff_map, CTE + "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round(sqrt(2.0 / 3) * 0.9 * cos(x0 * {w[0]} + x1 * {w[1]} + {b}), 6) + 0.0 AS phi{k}" for k, (w, b) in enumerate(zip(W, BIAS))) + " FROM s"),
     "rff_jacobian": (rff_jacobian, CTE + "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round(-sqrt(2.0 / 3) * 0.9 * sin(x0 * {w[0]} + x1 * {w[1]} + {b}) * {w[i]}, 6) + 0.0 AS j{k}{i}" for k, (w, b) in enumerate(zip(W, BIAS)) for i in range(2)) + " FROM s"),
     "kernel_moments_d2": (
         kernel_moments_d2,
         CTE
-        + ", j AS (SELECT g0, g1, -0.9 * sin(x0 * 0.6 + x1 * -0.4 + 0.1) AS p, -0.9 * sin(x0 * 1.1 + x1 * 0.3 + 0.7) AS q FROM s), i AS (SELECT (g0 * 0.3 - g1 * 1.1) / (p * (0.6 * 0.3 + 0.4 * 1.1)) AS h0, (g1 * 0.6 + g0 * 0.4) / (q * (0.6 * 0.3 + 0.4 * 1.1)) AS h1 FROM j), c AS (SELECT avg(h0 * h0) a, avg(h0 * h1) b, avg(h1 * h1) d FROM i), h AS (SELECT (a + d) / 2 AS m, sqrt(((a - d) / 2) * ((a - d) / 2) + b * b) AS q FROM c) SELECT 0 AS idx, round(m + q, 3) AS eval FROM h UNION ALL SELECT 1, round(m - q, 3) FROM h",
+        + ", j AS (SELECT g0, g1, -0.9 * sin(x0 * 0.6 + x1 * -0.4 + 0.13) AS p, -0.9 * sin(x0 * 1.1 + x1 * 0.3 + 0.77) AS q FROM s), i AS (SELECT (g0 * 0.3 - g1 * 1.1) / (p * (0.6 * 0.3 + 0.4 * 1.1)) AS h0, (g1 * 0.6 + g0 * 0.4) / (q * (0.6 * 0.3 + 0.4 * 1.1)) AS h1 FROM j), c AS (SELECT avg(h0 * h0) a, avg(h0 * h1) b, avg(h1 * h1) d FROM i), h AS (SELECT (a + d) / 2 AS m, sqrt(((a - d) / 2) * ((a - d) / 2) + b * b) AS q FROM c) SELECT 0 AS idx, round(m + q, 3) AS eval FROM h UNION ALL SELECT 1, round(m - q, 3) FROM h",
     ),
     "kfold_assign": (kfold_assign, "SELECT (o_orderkey % 5)::INT AS fold, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1"),
     "knn_graph": (knn_graph, "WITH d AS (SELECT a.s_suppkey AS src, b.s_suppkey AS dst, (a.s_acctbal / 1000 - b.s_acctbal / 1000) * (a.s_acctbal / 1000 - b.s_acctbal / 1000) + (a.s_nationkey - b.s_nationkey)::DOUBLE * (a.s_nationkey - b.s_nationkey) AS d2 FROM supplier a, supplier b), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS k FROM d) SELECT src, dst FROM r WHERE k <= 3"),
