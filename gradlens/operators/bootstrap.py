@@ -7,6 +7,7 @@ counts of all replicas for each row and adds up all their matrices; the driver d
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,20 @@ def replicate_counts(n: int, replicas: int, seed: int) -> np.ndarray:
     return np.array([np.bincount(rng.randint(n, size=n), minlength=n) for _ in range(replicas)])
 
 
+#: Distribution function of Poisson(1) at 0, 1, ..
+_POISSON = np.cumsum([np.exp(-1.0) / factorial(k) for k in range(20)])
+
+
+def poisson_counts(keys: np.ndarray, replicas: int, seed: int) -> np.ndarray:
+    """(replicas, rows) Poisson(1) draws that depend on nothing but the row's key, the replica and the seed."""
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.int64).view(np.uint64)[None] + (np.arange(1, replicas + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None] + np.uint64(seed) * np.uint64(0xD1342543DE82EF95)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return np.searchsorted(_POISSON, (x >> np.uint64(11)) * 2.0**-53, "right").astype(float)
+
+
 def matrices_of(gradients: np.ndarray, weights: np.ndarray, counts: np.ndarray, metric: np.ndarray | None = None) -> np.ndarray:
     """Moment matrices by replica from rows in memory."""
     if gradients.ndim == 2:
@@ -53,13 +68,18 @@ def bootstrap(df: DataFrame, reference: np.ndarray, column: str = "g", weight: s
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, drawn = np.zeros((replicas, m, m)), np.zeros(replicas)
+        rows, cols = np.triu_indices(m)
         for pdf in frames:
             if not len(pdf):
                 continue
             g = np.array(pdf["g"].tolist(), float)
-            counts = np.array([np.random.default_rng([seed, k & (2**63 - 1)]).poisson(1.0, replicas) for k in pdf["k"].tolist()]).T
-            total += np.einsum("bn,ni,nj->bij", counts * pdf["w"].to_numpy(), g, g, optimize=True)
-            drawn += counts.sum(1)
+            for at in range(0, len(g), 8192):
+                part = g[at : at + 8192]
+                counts = poisson_counts(pdf["k"].to_numpy()[at : at + 8192], replicas, seed)
+                upper = (counts * pdf["w"].to_numpy()[at : at + 8192]) @ (part[:, rows] * part[:, cols])
+                total[:, rows, cols] += upper
+                drawn += counts.sum(1)
+        total[:, cols, rows] = total[:, rows, cols]
         yield pd.DataFrame({"at": np.arange(replicas * (m * m + 1)), "v": np.concatenate([total.ravel(), drawn])})
 
     rows = df.select(F.col(column).alias("g"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), key.alias("k")).mapInPandas(run, "at int, v double")
