@@ -37,9 +37,9 @@ class RunIndex:
         text[:n][inside] = flat.astype(np.int64) + 1
         left = np.repeat(self.ends, sizes + 1) - np.arange(n)  # symbols before the terminator
         key = np.zeros(n, np.int64)
-        for j in range(_FIRST):
+        h = min(_FIRST, depth)
+        for j in range(h):
             key = key * 257 + np.where(left > j, text[j : j + n], 0)
-        h = _FIRST
         order, rank = _ranks(key, left < h)
         half = None
         longest = int(sizes.max()) + 1 if len(sizes) else 0
@@ -52,7 +52,7 @@ class RunIndex:
         self.rows = order
         # Neighbours in the order begin with the same `depth` symbols if two overlapping shorter prefixes agree.
         if half is None:
-            half, span = rank, depth
+            half, span = rank, h
         second = np.concatenate([half, np.full(depth, -1)])[depth - span : depth - span + n]
         a, b = order[1:], order[:-1]
         self.breaks = np.ones(n, bool)
