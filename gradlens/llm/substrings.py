@@ -6,6 +6,8 @@
    of anchors are counted by bucket, and each block of documents learns which of its anchors repeat.
 3. Neighbouring strings with one anchor make a phrase (prefix-free parsing: the phrases, with the overlap that their
    strings need). Phrases with a repeated anchor meet by anchor; equal ones collapse to one dictionary phrase.
+   An anchor with more than HOT occurrences would bring an unbounded group to one task: its strings go one by one
+   instead, by their own hashes, so that only equal ones meet.
 4. Over the dictionary phrases a run-length index is built (rindex.RunIndex): its matching statistics are
    streamed, and positions that match WIDTH bytes of an earlier occurrence are marked.
 5. The marked ranges go back to the blocks, where they are joined and cut out.
@@ -28,6 +30,8 @@ from gradlens.llm.rindex import RunIndex
 
 WIDTH = 100
 GRAM = 32
+#: Occurrences from which on an anchor's strings are dealt one by one.
+HOT = 200_000
 #: Bytes of dictionary phrases in one index.
 INDEX_BYTES = 1_500_000
 #: Longest stretch of a document that is looked at as one array; longer ones are cut with an overlap.
@@ -123,7 +127,7 @@ def _kept_texts(docs: pa.Table, copies: pa.Table) -> tuple[np.ndarray, list[int]
 
 
 def _anchors(blocks: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
-    """bucket, blob: per block and bucket, 32 bits of each anchor hash with a flag for more than one in the block."""
+    """bucket, blob: per block and bucket, 32 bits of each anchor hash, and the logarithm of its count in the block."""
 
     def run(key, docs, gone):
         block = key[0].as_py()
@@ -131,65 +135,88 @@ def _anchors(blocks: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
         found = [h for _, _, _, _, h, _ in phrases(texts)]
         h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
         bucket = (h % np.uint64(buckets)).astype(np.int64)
-        short = ((h >> np.uint64(32)).astype(np.int64) << 1) | (n > 1)
-        order = np.lexsort((short, bucket))
-        bucket, short = bucket[order], short[order]
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows = [(b, short[cut[b] : cut[b + 1]].astype("<i8")) for b in range(buckets) if cut[b + 1] > cut[b]]
-        blobs = [((s >> 1).astype("<u4").tobytes() + np.packbits((s & 1).astype(np.uint8)).tobytes()) for _, s in rows]
-        return pa.table([pa.array([b for b, _ in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block", "n", "blob"])
+        short, count = (h >> np.uint64(32)).astype("<u4"), np.ceil(np.log2(n)).astype(np.uint8)
+        order = np.argsort(bucket, kind="stable")
+        short, count = short[order], count[order]
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        full = [b for b in range(buckets) if cut[b + 1] > cut[b]]
+        blobs = [short[cut[b] : cut[b + 1]].tobytes() + count[cut[b] : cut[b + 1]].tobytes() for b in full]
+        return pa.table([pa.array(full, pa.int64()), pa.array([block] * len(full), pa.int64()), pa.array([int(cut[b + 1] - cut[b]) for b in full], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block", "n", "blob"])
 
     return blocks.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(run, "bucket long, block long, n long, blob binary")
 
 
 def _repeated(anchors: DataFrame) -> DataFrame:
-    """block, bucket, n, blob: which of a block's anchors repeat in the corpus."""
+    """block, bucket, blob, hot: which of a block's anchors repeat in the corpus, and which of these do so very often."""
+    often = HOT
 
     def run(key, t):
         bucket = key[0].as_py()
         blocks, counts, blobs = t.column("block").to_pylist(), t.column("n").to_pylist(), t.column("blob").to_pylist()
         h = [np.frombuffer(b, "<u4", n) for b, n in zip(blobs, counts)]
-        often = [np.unpackbits(np.frombuffer(b, np.uint8, -1, 4 * n), count=n) for b, n in zip(blobs, counts)]
-        every, many = np.concatenate(h), np.concatenate(often)
+        times = np.concatenate([2.0 ** np.frombuffer(b, np.uint8, n, 4 * n) for b, n in zip(blobs, counts)])
+        every = np.concatenate(h)
         order = np.argsort(every, kind="stable")
         s = every[order]
         new = np.ones(len(s), bool)
         new[1:] = s[1:] != s[:-1]
         at = np.flatnonzero(new)
-        total = np.add.reduceat(1 + many[order].astype(np.int64), at)
-        hot = s[at][total > 1]
-        own = [x[np.isin(x, hot, assume_unique=False)] for x in h]
+        total = np.add.reduceat(times[order], at)
+        known, hot = s[at][total > 1], s[at][total > often]
+        own = [x[np.isin(x, known)] for x in h]
         rows = [(b, x) for b, x in zip(blocks, own) if len(x)]
-        return pa.table([pa.array([b for b, _ in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()), pa.array([x.tobytes() for _, x in rows], pa.binary())], names=["block", "bucket", "blob"])
+        return pa.table([pa.array([b for b, _ in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()), pa.array([x.tobytes() for _, x in rows], pa.binary()), pa.array([x[np.isin(x, hot)].tobytes() for _, x in rows], pa.binary())], names=["block", "bucket", "blob", "hot"])
 
-    return anchors.groupBy("bucket").applyInArrow(run, "block long, bucket long, blob binary")
+    return anchors.groupBy("bucket").applyInArrow(run, "block long, bucket long, blob binary, hot binary")
 
 
 _PHRASE = "bucket long, hash long, cid long, block long, doc_id long, tid long, start long, n long, seq binary"
 
 
+def _hashes(buckets_of: list, blobs: list, buckets: int) -> np.ndarray:
+    parts = [np.frombuffer(b, "<u4").astype(np.uint64) * np.uint64(buckets) + np.uint64(k) for k, b in zip(buckets_of, blobs) if k is not None]
+    return np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted array."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def _one_by_one(doc, at, n, h, offset, alone):
+    """Phrases of the marked kind as one phrase for each of their strings."""
+    times = np.where(alone, n, 1)
+    k = np.repeat(np.arange(len(n)), times)
+    step = np.arange(len(k)) - np.repeat(np.cumsum(times) - times, times)
+    return doc[k], at[k] + step, np.where(alone[k], 1, n[k]), h[k], offset[k] + step, alone[k]
+
+
 def _phrases(blocks: DataFrame, copies: DataFrame, repeated: DataFrame, buckets: int) -> DataFrame:
     """Phrases with a repeated anchor. Of equal ones in a block the first goes on; the others are settled (no seq)."""
-    side = copies.select("block", "doc_id", "tid", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("blob"))
-    side = side.unionByName(repeated.select("block", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("tid"), "bucket", "blob"))
+    side = copies.select("block", "doc_id", "tid", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("blob"), F.lit(None).cast("binary").alias("hot"))
+    side = side.unionByName(repeated.select("block", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("tid"), "bucket", "blob", "hot"))
 
     def run(key, docs, more):
         block = key[0].as_py()
         is_copy = np.array([x is None for x in more.column("bucket").to_pylist()], bool)
         ids, tids, texts = _kept_texts(docs, more.filter(pa.array(is_copy)) if more.num_rows else more)
         tids = np.array(tids, np.int64)
-        hot = [np.frombuffer(b, "<u4").astype(np.uint64) * np.uint64(buckets) + np.uint64(k) for k, b in zip(more.column("bucket").to_pylist(), more.column("blob").to_pylist()) if k is not None]
-        wanted = np.sort(np.concatenate(hot)) if hot else np.empty(0, np.uint64)
+        wanted, often = (_hashes(more.column("bucket").to_pylist(), more.column(c).to_pylist(), buckets) for c in ("blob", "hot"))
         out = []
         for buf, doc, at, n, h, offset in phrases(texts):
             short = (h >> np.uint64(32)) * np.uint64(buckets) + h % np.uint64(buckets)
-            k = np.searchsorted(wanted, short)
-            on = (k < len(wanted)) & (wanted[np.minimum(k, len(wanted) - 1)] == short) if len(wanted) else np.zeros(len(short), bool)
-            doc, at, n, h, offset = doc[on], at[on], n[on], h[on], offset[on]
+            on = _among(short, wanted)
+            doc, at, n, h, offset, short = doc[on], at[on], n[on], h[on], offset[on], short[on]
+            alone = _among(short, often)
+            if alone.any():
+                doc, at, n, h, offset, alone = _one_by_one(doc, at, n, h, offset, alone)
             size = n + WIDTH - 1
             with np.errstate(over="ignore"):
                 prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[buf] * _powers(_B, len(buf)), dtype=np.uint64)])
                 cid = mix64((prefix[at + size] - prefix[at]) * _powers(_BINV, len(buf))[at] + n.astype(np.uint64))
+                h = np.where(alone, mix64(cid), h)
             flat, bounds = _take(buf, at, size)
             out.append((h.view(np.int64), cid.view(np.int64), ids[doc], tids[doc], offset, n, flat, bounds))
         names = [x.split()[0] for x in _PHRASE.split(", ")]

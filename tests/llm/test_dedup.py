@@ -106,7 +106,9 @@ def brute_removed(rows):
     return out
 
 
-def test_repeated_passages(spark):
+@pytest.mark.parametrize("hot", [3, 10**6])
+def test_repeated_passages(spark, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
     rows = [(d, t if t is None or len(t) < 20_000 else t[:20_000]) for d, t in hard_rows(5)]
     got = substrings.remove_repeats(frame(spark, rows)).collect()
     assert Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got) == Counter(brute_removed(rows))
