@@ -11,9 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradlens.functions import exprs, metrics, plots
+from gradlens.functions import exprs, metrics, plots, testbed
 from gradlens.functions.linalg import linear_program, residual_energy_index, spectral_gap_dim
-from gradlens.operators import classify, crossval, kernel, levelset, local, moments, neighbors, tree
+from gradlens.operators import classify, crossval, kernel, levelset, local, moments, neighbors, sampling, tree
 from gradlens.operators.active import ActiveSubspaces
 from gradlens.operators.bootstrap import bootstrap
 from gradlens.operators.features import DISTRIBUTIONS, FeatureMap, distribution
@@ -292,6 +292,39 @@ def _stream_path(spark, sf_dir: str, name: str) -> str:
     return f"{sf_dir}/{name}.parque[t]"
 
 
+def _by_function(spark, sf_dir, name: str) -> DataFrame:
+    """Moments of a closed-form function over the normalised parameters."""
+    df = testbed.evaluated(samples(spark, sf_dir), name)
+    g = lambda i: F.get("g", F.lit(i))
+    return df.agg(F.lit(name).alias("name"), _r(F.avg("f")).alias("f"), _r(F.avg(g(0) * g(0))).alias("c00"), _r(F.avg(g(0) * g(1))).alias("c01"), _r(F.avg(g(1) * g(1))).alias("c11"))
+
+
+def closed_form_functions(spark, sf_dir):
+    out = None
+    for name in testbed.FUNCTIONS:
+        one = _by_function(spark, sf_dir, name)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: name -> f, g0, g1 in SQL.
+FORMULAS = {
+    "wave": ("0.5 * sin(2 * pi() * (x0 + x1)) + 1", "pi() * cos(2 * pi() * (x0 + x1))", "pi() * cos(2 * pi() * (x0 + x1))"),
+    "bump": ("exp(-(x0 - 0.5) * (x0 - 0.5) - x1 * x1)", "-2 * (x0 - 0.5) * exp(-(x0 - 0.5) * (x0 - 0.5) - x1 * x1)", "-2 * x1 * exp(-(x0 - 0.5) * (x0 - 0.5) - x1 * x1)"),
+    "cubic": ("x0 ** 3 + x1 ** 3 + 0.2 * x0 + 0.6 * x1", "3 * x0 * x0 + 0.2", "3 * x1 * x1 + 0.6"),
+    "radial": ("cos(x0 * x0 + x1 * x1)", "-2 * x0 * sin(x0 * x0 + x1 * x1)", "-2 * x1 * sin(x0 * x0 + x1 * x1)"),
+    "quartic": ("x0 ** 4 - x1 ** 4", "4 * x0 ** 3", "-4 * x1 ** 3"),
+    "paraboloid": ("x0 ** 4 + x1 ** 4", "4 * x0 ** 3", "4 * x1 ** 3"),
+}
+
+
+def quadratic_moments(spark, sf_dir):
+    """Mean and variance of chains that sample a normal density with the moment matrix as precision."""
+    c = moments.moment_matrix(samples(spark, sf_dir)) / 50 + 0.5 * np.eye(2)
+    draws = sampling.hmc(spark, lambda x: -0.5 * float(x @ c @ x), lambda x: -c @ x, np.zeros((4, 2)), 300, 100, 0.2, 12)
+    return draws.groupBy("chain").agg(F.count("*").alias("n"), F.avg(F.get("x", F.lit(0))).alias("mean0"), F.max("accepted").alias("accepted"))
+
+
 # Without SQL: random draws, iterative fits and models. Tests hold them against invariants.
 
 
@@ -433,10 +466,11 @@ WITH_SQL = {
     "graph_components": (graph_components, "WITH RECURSIVE d AS (SELECT a.s_suppkey AS src, b.s_suppkey AS dst, (a.s_acctbal / 1000 - b.s_acctbal / 1000) * (a.s_acctbal / 1000 - b.s_acctbal / 1000) + (a.s_nationkey - b.s_nationkey)::DOUBLE * (a.s_nationkey - b.s_nationkey) AS d2 FROM supplier a, supplier b), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS k FROM d), e AS (SELECT src, dst FROM r WHERE k <= 3 UNION SELECT dst, src FROM r WHERE k <= 3), w AS (SELECT s_suppkey AS node, s_suppkey AS seen FROM supplier UNION SELECT w.node, e.dst FROM w JOIN e ON e.src = w.seen), l AS (SELECT node, min(seen) AS m FROM w GROUP BY 1) SELECT node, (dense_rank() OVER (ORDER BY m) - 1)::INT AS label FROM l"),
     "graph_components_by_dim": (graph_components_by_dim, "WITH RECURSIVE d AS (SELECT a.s_suppkey AS src, b.s_suppkey AS dst, (a.s_acctbal / 1000 - b.s_acctbal / 1000) * (a.s_acctbal / 1000 - b.s_acctbal / 1000) + (a.s_nationkey - b.s_nationkey)::DOUBLE * (a.s_nationkey - b.s_nationkey) AS d2 FROM supplier a, supplier b WHERE a.s_nationkey % 3 = b.s_nationkey % 3), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS k FROM d), e AS (SELECT src, dst FROM r WHERE k <= 2 UNION SELECT dst, src FROM r WHERE k <= 2), w AS (SELECT s_suppkey AS node, s_suppkey AS seen FROM supplier UNION SELECT w.node, e.dst FROM w JOIN e ON e.src = w.seen), l AS (SELECT node, min(seen) AS m FROM w GROUP BY 1) SELECT node, (dense_rank() OVER (ORDER BY m) - 1)::INT AS label FROM l"),
     "embeddings_gram": (embeddings_gram, "WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), n AS (SELECT count(*) AS n FROM embeddings) SELECT a.i::INT AS i, b.i::INT AS j, round(sum(a.v * b.v) / any_value(n), 5) + 0.0 AS c FROM u a JOIN u b USING (vec_id), n GROUP BY 1, 2"),
+    "closed_form_functions": (closed_form_functions, CTE + " UNION ALL ".join(f"SELECT '{n}' AS name, round(avg({f}), 6) + 0.0 AS f, round(avg(({a}) * ({a})), 6) + 0.0 AS c00, round(avg(({a}) * ({b})), 6) + 0.0 AS c01, round(avg(({b}) * ({b})), 6) + 0.0 AS c11 FROM s" for n, (f, a, b) in FORMULAS.items())),
     "linear_program_corner": (linear_program_corner, "SELECT 0.1::DOUBLE AS x0, 0.1::DOUBLE AS x1"),
     "events_running_moments": (events_running_moments, "WITH g AS (SELECT value / 100 AS a, hour(ts) / 24.0 AS b FROM events WHERE value IS NOT NULL) SELECT count(*) AS n, round(avg(a * a), 6) + 0.0 AS c00, round(avg(a * b), 6) + 0.0 AS c01, round(avg(b * b), 6) + 0.0 AS c11 FROM g"),
 }
-ROWS_ONLY = (frequent_directions, randomized_spectrum, bootstrap_ranges, inverse_map, optimal_profile, local_gradients, kmeans_as, kmedoids_as, hierarchical_as, hierarchical_predict, classify_by_dim, class_boundaries, feature_distributions, tuned_features, cross_validated_surface, level_set_loss)
+ROWS_ONLY = (frequent_directions, randomized_spectrum, bootstrap_ranges, inverse_map, optimal_profile, local_gradients, kmeans_as, kmedoids_as, hierarchical_as, hierarchical_predict, classify_by_dim, class_boundaries, feature_distributions, tuned_features, cross_validated_surface, level_set_loss, quadratic_moments)
 
 
 def queries() -> dict:

@@ -285,3 +285,22 @@ def test_sources_and_streams(spark, tmp_path, line):
     fd = StreamingSubspace(2, sketch_size=2)
     fd(line, 0)
     assert fd.eigenpairs()[0][0, 0] > 0
+
+
+def test_closed_forms_and_chains(spark):
+    from gradlens.functions import testbed
+    from gradlens.operators import sampling
+
+    x = np.random.default_rng(0).uniform(-1, 1, (20, 2))
+    eps = 1e-6
+    df = from_arrays(spark, x)
+    for name in testbed.FUNCTIONS:
+        g = np.array(testbed.evaluated(df, name).orderBy("row_id").toPandas()["g"].tolist())
+        for i in range(2):
+            f = [testbed.evaluated(from_arrays(spark, x + s * eps * np.eye(2)[i]), name).orderBy("row_id").toPandas()["f"].to_numpy() for s in (1, -1)]
+            np.testing.assert_allclose((f[0] - f[1]) / (2 * eps), g[:, i], atol=1e-6)
+    err = testbed.gradient_error(testbed.evaluated(df, "cubic").withColumn("h", F.transform("g", lambda v: v * 1.1)), "g", "h")
+    assert err.relative == pytest.approx(0.1)
+    out = sampling.hmc(spark, lambda v: -0.5 * float(v @ v), lambda v: -v, np.zeros((2, 2)), 800, 100, 0.3, 8).toPandas()
+    draws = np.array(out["x"].tolist())
+    assert len(out) == 1600 and abs(draws.mean()) < 0.15 and abs(draws.var() - 1) < 0.25
