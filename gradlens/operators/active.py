@@ -133,6 +133,15 @@ def rejection(a: np.ndarray, b: np.ndarray, n: int, rng: np.random.Generator, tr
     """n points with a z >= b out of tries * n in the polytope's bounding box, or None if fewer are inside."""
     d = a.shape[1]
     lower, upper = np.empty(d), np.empty(d)
+    if d == 1:  # an interval needs no program
+        c = a[:, 0]
+        lower[0] = np.max(b[c > 0] / c[c > 0], initial=-np.inf)
+        upper[0] = np.min(b[c < 0] / c[c < 0], initial=np.inf)
+        if 0 < lower[0] - upper[0] < 1e-9:  # a corner, up to rounding
+            lower[0] = upper[0] = (lower[0] + upper[0]) / 2
+        if lower[0] > upper[0] or not np.isfinite([lower[0], upper[0]]).all():
+            return None
+        return (lower + (upper - lower) * rng.random((n, 1))).clip(lower, upper)
     for i in range(d):
         e = np.eye(d)[i]
         lower[i] = linalg.linear_program(e, a, b)[i]

@@ -164,5 +164,13 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         label = step.select("node", "label")
         if step.filter("old <> label").isEmpty():
             break
-    number = label.select("label").distinct().withColumn("n", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("int"))
-    return label.join(number, "label").select("node", F.col("n").alias("label"))
+    return label.join(_numbered(label.select("label").distinct()), "label").select("node", F.col("n").alias("label"))
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """label, n: 0.. in order. Each range of labels is numbered by its own task, from the count of the ranges before it."""
+    parts = df.repartitionByRange("label").sortWithinPartitions("label").withColumn("part", F.spark_partition_id()).checkpoint()
+    before = F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.groupBy("part").agg(F.count("*").alias("c")).select("part", F.coalesce(before, F.lit(0)).alias("offset"))  # a row a partition
+    place = F.row_number().over(Window.partitionBy("part").orderBy("label"))
+    return parts.join(F.broadcast(offsets), "part").select("label", (F.col("offset") + place - 1).cast("int").alias("n"))

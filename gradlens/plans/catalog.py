@@ -347,21 +347,22 @@ def bootstrap_ranges(spark, sf_dir):
     return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(br)], "idx int, lo double, hi double")
 
 
-def _few(spark, sf_dir, n: int) -> DataFrame:
-    """A fixed sample of lines, by the hash of their key: sampling is what these operators are about."""
-    return keyed(spark, sf_dir).orderBy(F.xxhash64("row_id"), "row_id").limit(n)
+def _customer_problem(spark, sf_dir) -> DataFrame:
+    """All customers: balance and nation as normalised parameters of the cubic function, with its gradient."""
+    rows = _customers(spark, sf_dir).select("row_id", "x")
+    n = exprs.Normalizer.fit(rows)
+    return testbed.evaluated(rows.withColumn("x", n.forward("x")), "cubic")
 
 
 def inverse_map(spark, sf_dir):
     model = _fit(spark, sf_dir)
-    reduced = model.transform(_few(spark, sf_dir, 50))
-    return model.inverse_transform(reduced, 4)
+    return model.inverse_transform(model.transform(keyed(spark, sf_dir)), 4)
 
 
 def optimal_profile(spark, sf_dir):
     """Mean charge factor over points that share an active coordinate."""
     model = _fit(spark, sf_dir)
-    points = model.inverse_transform(model.transform(_few(spark, sf_dir, 20)), 20)
+    points = model.inverse_transform(model.transform(keyed(spark, sf_dir)), 20)
     n = _normalizer(spark, sf_dir)
     raw = points.withColumn("raw", n.inverse("x"))
     return raw.groupBy("row_id").agg(F.avg((1 - F.get("raw", F.lit(0))) * (1 + F.get("raw", F.lit(1)))).alias("profile"))
@@ -395,12 +396,12 @@ def hierarchical_predict(spark, sf_dir):
 
 
 def classify_by_dim(spark, sf_dir):
-    rows = _few(spark, sf_dir, 120)
+    rows = testbed.evaluated(_suppliers(spark, sf_dir).select("row_id", F.array(F.get("x", F.lit(0)) / 10, F.get("x", F.lit(1)) / 25).alias("x")), "quartic")
     return classify.ClassifyAS(n_neighbours=6, threshold=0.99, subset=3).fit(rows)[1].select("row_id", "as_dim", "label")
 
 
 def class_boundaries(spark, sf_dir):
-    rows = _few(spark, sf_dir, 200).withColumn("label", (F.get("x", F.lit(0)) > 0).cast("int"))
+    rows = _customer_problem(spark, sf_dir).withColumn("label", (F.get("x", F.lit(0)) > 0).cast("int"))
     from pyspark.ml.classification import MultilayerPerceptronClassifier
 
     return classify.decision_boundaries(rows, step=0.25, classifier=MultilayerPerceptronClassifier(layers=[2, 6, 2], maxIter=60, seed=1))[1]
@@ -414,7 +415,7 @@ def feature_distributions(spark, sf_dir):
 
 
 def tuned_features(spark, sf_dir):
-    rows = _few(spark, sf_dir, 60)
+    rows = _customer_problem(spark, sf_dir).persist()
     fm = FeatureMap("laplace", BIAS[:1], 2, 6, np.zeros(1), 1.0)
     cv = crossval.CrossValidation(rows, kernel.KernelActiveSubspaces(dim=1, feature_map=fm, n_features=6), folds=2)
     best = [0.8, None]
@@ -423,12 +424,12 @@ def tuned_features(spark, sf_dir):
 
 
 def cross_validated_surface(spark, sf_dir):
-    mean, std = crossval.CrossValidation(_few(spark, sf_dir, 200), ActiveSubspaces(dim=1, n_boot=None), 4).run()
+    mean, std = crossval.CrossValidation(_customer_problem(spark, sf_dir), ActiveSubspaces(dim=1, n_boot=None), 4).run()
     return spark.createDataFrame([(mean, std)], "mean double, std double")
 
 
 def level_set_loss(spark, sf_dir):
-    return levelset.NonlinearLevelSet(3, 1, 0.01, 31).train(_few(spark, sf_dir, 80)).loss_data(spark)
+    return levelset.NonlinearLevelSet(3, 1, 0.01, 31).train(_customer_problem(spark, sf_dir)).loss_data(spark)
 
 
 WITH_SQL = {
