@@ -33,9 +33,11 @@ GRAM = 32
 #: Occurrences from which on an anchor's strings are dealt one by one.
 HOT = 200_000
 #: Bytes of dictionary phrases in one index.
-INDEX_BYTES = 1_500_000
+INDEX_BYTES = 700_000
 #: Longest stretch of a document that is looked at as one array; longer ones are cut with an overlap.
 STRETCH = 8_000_000
+#: Bytes of documents whose hashes are in memory at once.
+SLICE = 1_000_000
 _POS_BITS = 24
 _B = 0xD1342543DE82EF95
 _BINV = pow(_B, -1, 2**64)
@@ -85,7 +87,7 @@ def phrases(texts: list[bytes], width: int = WIDTH, gram: int = GRAM):
         for a in range(0, max(1, len(t) - width + 1), STRETCH):
             if len(t) - a >= width:
                 parts.append((i, a, t[a : a + STRETCH + width - 1]))
-    for lo, hi in slices([len(p[2]) for p in parts]):
+    for lo, hi in slices([len(p[2]) for p in parts], SLICE):
         part = parts[lo:hi]
         sizes = np.array([len(p[2]) for p in part], np.int64)
         ends = np.cumsum(sizes)
