@@ -111,9 +111,15 @@ def phrases(texts: list[bytes], width: int = WIDTH, gram: int = GRAM):
 
 
 def _take(buf: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ranges at .. at + size of buf one after another, and their bounds."""
-    bounds = np.concatenate([[0], np.cumsum(size)])
-    return buf[np.repeat(at - bounds[:-1], size) + np.arange(bounds[-1])], bounds
+    """The ranges at .. at + size of buf one after another, and their bounds. Indices are made for about SLICE bytes at a time."""
+    bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    out, lo = np.empty(bounds[-1], np.uint8), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + SLICE, "right")) - 1)
+        part = slice(bounds[lo], bounds[hi])
+        out[part] = buf[np.repeat(at[lo:hi] - bounds[lo:hi], size[lo:hi]) + np.arange(bounds[lo], bounds[hi])]
+        lo = hi
+    return out, bounds
 
 
 def _binary(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
