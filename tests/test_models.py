@@ -304,3 +304,51 @@ def test_closed_forms_and_chains(spark):
     out = sampling.hmc(spark, lambda v: -0.5 * float(v @ v), lambda v: -v, np.zeros((2, 2)), 800, 100, 0.3, 8).toPandas()
     draws = np.array(out["x"].tolist())
     assert len(out) == 1600 and abs(draws.mean()) < 0.15 and abs(draws.var() - 1) < 0.25
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """9 points with 400 rows each, numbered so that row_id says nothing about x."""
+    rng = np.random.default_rng(11)
+    points = np.array([(a, b) for a in (-1.0, 0.0, 1.0) for b in (-1.0, 0.0, 1.0)])
+    x = points[rng.permutation(np.repeat(np.arange(9), 400))]
+    f = x[:, 0] ** 4 - x[:, 1] ** 2 + x[:, 1] + rng.normal(0, 0.05, len(x))
+    return from_arrays(spark, x, f, np.column_stack([4 * x[:, 0] ** 3, 1 - 2 * x[:, 1]])).persist()
+
+
+def test_tree_statistics_are_over_all_rows(spark, crowded):
+    config = {"max_clusters": 4, "max_children": 3, "min_children": 2, "max_red_dim": 1, "score_tol": 0.999, "min_local": 300, "dim_cut": 0.95, "dim_criterion": "cum", "normalization": "uniform", "metric": "as", "refinement": "force", "node_rows": 20, "restarts": 0}
+    t = tree.HierarchicalAS().fit(crowded, config)
+    leaves = t.leaves()
+    assert len(leaves) > 1 and t.root.totals.n == 3600
+    counted = {r["label"]: r["count"] for r in t.predict(crowded).groupBy("label").count().collect()}
+    assert counted == {n.label: n.totals.n for n in leaves} and min(counted.values()) >= 300
+    assert t.nodes(spark).filter("label is not null").agg(F.sum("n")).head()[0] == 3600
+    pdf = t.predict(crowded).toPandas()
+    for leaf in leaves:
+        own = pdf[pdf["label"] == leaf.label]
+        x, g = (np.array(own[c].tolist()) for c in ("x", "g"))
+        np.testing.assert_allclose(leaf.totals.moments, g.T @ g / len(g))
+        np.testing.assert_allclose((leaf.totals.lo, leaf.totals.hi, leaf.totals.mean), (x.min(0), x.max(0), x.mean(0)), atol=1e-12)
+        np.testing.assert_allclose(leaf.totals.cov, np.cov(x.T), atol=1e-9)
+        assert leaf.score == pytest.approx(clipped_r2(own["f"].to_numpy(), own["prediction"].to_numpy()), abs=1e-9)
+
+
+def test_gaussian_process_with_repeated_points():
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 6, (60, 1)) / 3.0
+    y = np.sin(x) + rng.normal(0, 0.1, x.shape)
+    gp = GP(normalize=False, restarts=1).fit(x, y)
+    var, length, noise = gp.params
+    k = lambda a, b: var * np.exp(-0.5 * (a - b.T) ** 2 / length**2)
+    full = k(x, x) + (noise + 1e-8) * np.eye(60)
+    at = np.linspace(0, 2, 7)[:, None]
+    np.testing.assert_allclose(gp.predict(at), k(at, x) @ np.linalg.solve(full, y), atol=1e-8)
+    assert gp.log_likelihood == pytest.approx(-0.5 * float((y.T @ np.linalg.solve(full, y))[0, 0]) - 0.5 * np.linalg.slogdet(full)[1], abs=1e-6)
+    h, eps = np.log(gp.params) + 0.3, 1e-6
+    points, again = np.unique(x, return_inverse=True)
+    n = np.bincount(again.ravel()).astype(float)
+    means = (np.bincount(again.ravel(), y[:, 0]) / n)[:, None]
+    rest = ((points[:, None] - points[None]) ** 2, means, n, float(((y - means[again.ravel()]) ** 2).sum()))
+    slope = [(gp._nll(h + eps * e, *rest)[0] - gp._nll(h - eps * e, *rest)[0]) / (2 * eps) for e in np.eye(3)]
+    np.testing.assert_allclose(gp._nll(h, *rest)[1], slope, rtol=1e-4, atol=1e-5)
