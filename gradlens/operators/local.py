@@ -40,6 +40,11 @@ class LocalModel:
         return x @ self.evects[:, : self.dim]
 
 
+def by_row() -> list:
+    """Order of samples: by a hash of the row's key. By one of x, a sample would be the rows of a single x where these are many."""
+    return [F.xxhash64("row_id"), "row_id", "x"]
+
+
 def group_normalize(df: DataFrame, kind: str, group: str = "label", x_col: str = "x", g_col: str = "g") -> DataFrame:
     """x and g normalised within each group: `uniform` by its box, `gaussian` by mean and covariance, `root` as they are."""
     if kind == "root":
@@ -88,7 +93,7 @@ def _capped(df: DataFrame, group: str, rows: int) -> DataFrame:
     """A fixed sample of at most `rows` rows a group: surfaces are fitted on samples by design."""
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64("x"), "x"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(*by_row()))
     return df.withColumn("_n", rank).filter(F.col("_n") <= rows).drop("_n")
 
 
@@ -113,7 +118,7 @@ class ClusterAS:
         if "g" not in df.columns:
             near = local_linear_gradients(df).select(F.col("sample").cast("long").alias("row_id"), "x", "g")
             surface = GP(restarts=self.config.restarts)
-            few = df.orderBy(F.xxhash64("x"), "x").limit(self.config.surface_rows).toPandas()
+            few = df.orderBy(*by_row()).limit(self.config.surface_rows).toPandas()
             surface.fit(np.array(few["x"].tolist(), float), np.array(few["f"].tolist(), float))
             predict = F.pandas_udf(lambda x: pd.Series(surface.predict(np.array(x.tolist(), float))[:, 0]), "double")
             df = near.withColumn("f", predict("x"))
@@ -204,7 +209,7 @@ class KMedoidsAS(ClusterAS):
         return self.metric(x) if self.metric else (x @ self.whole.evects) * self.whole.evals[:, 0]
 
     def train(self, df: DataFrame) -> None:
-        few = df.orderBy(F.xxhash64("x"), "x").limit(self.sample_rows).select("x").toPandas()
+        few = df.orderBy(*by_row()).limit(self.sample_rows).select("x").toPandas()
         z = self.coordinates(np.array(few["x"].tolist(), float))
         self.medoids = z[k_medoids(z, self.config.max_clusters, self.config.seed)]
 

@@ -374,12 +374,12 @@ def local_gradients(spark, sf_dir):
 
 def kmeans_as(spark, sf_dir):
     rows = keyed(spark, sf_dir)
-    return local.KMeansAS(local.ClusterConfig(3, surface_rows=40, restarts=0)).fit(rows).compute_scores(rows)
+    return local.KMeansAS(local.ClusterConfig(3, restarts=0)).fit(rows).compute_scores(rows)
 
 
 def kmedoids_as(spark, sf_dir):
     rows = keyed(spark, sf_dir)
-    return local.KMedoidsAS(local.ClusterConfig(3, surface_rows=40, restarts=0), sample_rows=300).fit(rows).compute_scores(rows)
+    return local.KMedoidsAS(local.ClusterConfig(3, restarts=0)).fit(rows).compute_scores(rows)
 
 
 TREE = {"max_clusters": 4, "max_children": 3, "min_children": 2, "max_red_dim": 1, "score_tol": 0.95, "min_local": 4, "dim_cut": 0.95, "dim_criterion": "cum", "normalization": "uniform", "metric": "as", "refinement": "mean", "restarts": 0}

@@ -352,3 +352,17 @@ def test_gaussian_process_with_repeated_points():
     rest = ((points[:, None] - points[None]) ** 2, means, n, float(((y - means[again.ravel()]) ** 2).sum()))
     slope = [(gp._nll(h + eps * e, *rest)[0] - gp._nll(h - eps * e, *rest)[0]) / (2 * eps) for e in np.eye(3)]
     np.testing.assert_allclose(gp._nll(h, *rest)[1], slope, rtol=1e-4, atol=1e-5)
+
+
+def test_clusters_of_thousands_of_rows_a_point(spark):
+    a, b = F.expr("double(id % 3 - 1)"), F.expr("double(int(id / 3) % 3 - 1)")
+    df = spark.range(27000).select(F.col("id").alias("row_id"), F.array(a, b).alias("x"), (a * a * a + b).alias("f"), F.array(3 * a * a, F.lit(1.0)).alias("g")).persist()
+    config = local.ClusterConfig(3, surface_rows=60, restarts=0)
+    assert local._capped(df.withColumn("label", F.lit(0)), "label", 60).select("x").distinct().count() == 9
+    for model in (local.KMeansAS(config), local.KMedoidsAS(config, sample_rows=300)):
+        model.fit(df)
+        if isinstance(model, local.KMedoidsAS):
+            assert len(np.unique(model.medoids, axis=0)) == 3
+        assert sum(m.n for m in model.models.values()) == 27000 and set(model.models) == {0, 1, 2}
+        r = model.compute_scores(df).head()
+        assert r["r2_full"] > 0.9 and r["r2_local"] > 0.5
