@@ -1,7 +1,8 @@
 """Cross validation of subspace and response surface, and tuning of feature maps by it.
 
 Folds are a column (a hash of the row's key), so all folds of a fit read the same table; a response surface is
-fitted on at most `surface_rows` rows of a fold, since a Gaussian process costs the cube of its rows.
+fitted on at most `surface_rows` rows of a fold, since a Gaussian process costs the cube of its rows. Errors are over
+every validation row: predictions are an Arrow UDF and their sums SQL.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradlens.functions.metrics import rrmse_np
+from gradlens.functions.metrics import rrmse
 from gradlens.operators.gp import FixedGP
 from gradlens.operators.kernel import KernelActiveSubspaces
 
@@ -43,21 +45,26 @@ class CrossValidation:
 
     def fit(self, train: DataFrame) -> CrossValidation:
         self.subspace.fit(train)
-        rows = self._reduced(train)
-        self.surface = FixedGP().fit(*rows)
+        self.surface = FixedGP().fit(*self._sample(train))
         return self
 
-    def _reduced(self, df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def _sample(self, df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         few = df.orderBy(F.xxhash64(self.id_col), self.id_col).limit(self.surface_rows)
         pdf = self.subspace.transform(few).select("active", "f").toPandas()
         return np.array(pdf["active"].tolist(), float), np.array(pdf["f"].tolist(), float).reshape(len(pdf), -1)
 
-    def predict(self, df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        y, f = self._reduced(df)
-        return self.surface.predict(y), f
+    def predict(self, df: DataFrame) -> DataFrame:
+        """f and prediction of every row."""
+        surface, many = self.surface, dict(df.dtypes)["f"].startswith("array")
+
+        def run(y: pd.Series) -> pd.Series:
+            out = surface.predict(np.array(y.tolist(), float))
+            return pd.Series(out.tolist() if many else out[:, 0])
+
+        return self.subspace.transform(df).select("f", F.pandas_udf(run, "array<double>" if many else "double")("active").alias("prediction"))
 
     def score(self, df: DataFrame) -> float:
-        return rrmse_np(*self.predict(df))
+        return rrmse(self.predict(df), "prediction", "f")
 
     def run(self) -> tuple[float, float]:
         """Mean and standard deviation of the folds' errors."""

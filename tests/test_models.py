@@ -366,3 +366,15 @@ def test_clusters_of_thousands_of_rows_a_point(spark):
         assert sum(m.n for m in model.models.values()) == 27000 and set(model.models) == {0, 1, 2}
         r = model.compute_scores(df).head()
         assert r["r2_full"] > 0.9 and r["r2_local"] > 0.5
+
+
+def test_cross_validation_scores_every_row(spark):
+    rng = np.random.default_rng(13)
+    x = rng.uniform(-1, 1, (900, 2))
+    t = x @ np.array([0.8, 0.6])
+    f, g = np.sin(2 * t), 2 * np.cos(2 * t)[:, None] * np.array([0.8, 0.6])
+    for target in (f, np.column_stack([f, f**2])):
+        cv = crossval.CrossValidation(from_arrays(spark, x, target, g), ActiveSubspaces(dim=1, n_boot=None), 2, surface_rows=25).fit(from_arrays(spark, x, target, g))
+        assert len(cv.surface.x) == 25 and cv.predict(cv.df).count() == 900
+        pdf = cv.predict(cv.df).toPandas()
+        assert cv.score(cv.df) == pytest.approx(metrics.rrmse_np(np.array(pdf["prediction"].tolist()), np.array(pdf["f"].tolist())))
