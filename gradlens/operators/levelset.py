@@ -1,18 +1,20 @@
 """Nonlinear level-set learning: a reversible network that bends the domain until an output varies along few coordinates.
 
 Layers update one half of the coordinates by the other: y += h Wy' tanh(Wy z + by), then z -= h Wz' tanh(Wz y + bz).
-Training is full-batch on the driver (the method's data are some hundred samples); applying a trained map to rows is
-an Arrow UDF. The loss perturbs each mapped coordinate, maps back, and takes normalised differences as the columns of the
+Training is full-batch over all rows: on the driver where they are few (the method's data are some hundred samples), else
+with the sums of loss and gradients made by Spark in each epoch; applying a trained map to rows is an Arrow UDF. The loss perturbs each mapped coordinate, maps back, and takes normalised differences as the columns of the
 inverse Jacobian; its gradient is exact, by reverse mode through the layers.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +99,27 @@ def loss(net: RevNet, x: np.ndarray, g: np.ndarray, active: int, with_grad: bool
     The second term's product is over samples and each factor lies in [-1, 0], so it vanishes as samples grow; its
     gradient is left out, the value is kept.
     """
+    sums = _sums(net, x, g, active, with_grad)
+    return _value(sums[:3]), _gradients(net, sums) if with_grad else None
+
+
+def _value(sums: np.ndarray) -> float:
+    n, squares, log_product = sums
+    return float(np.sqrt(squares / n) + np.exp(log_product))
+
+
+def _gradients(net: RevNet, sums: np.ndarray) -> list[np.ndarray]:
+    """By weight array, of the first term."""
+    n, squares, at, out = sums[0], sums[1], 3, []
+    scale = 1 / (n * np.sqrt(squares / n)) if squares > 0 else 0.0
+    for p in net.parameters():
+        out.append(sums[at : at + p.size].reshape(p.shape) * scale)
+        at += p.size
+    return out
+
+
+def _sums(net: RevNet, x: np.ndarray, g: np.ndarray, active: int, with_grad: bool = True) -> np.ndarray:
+    """What is added up over rows: 1, sum of the inactive slopes' squares, logarithm of | |det J| - 1 |, and half the second's gradients."""
     n, m = x.shape
     h = net.half
     y, z, tape = x[:, :h], x[:, h:], []
@@ -117,14 +140,13 @@ def loss(net: RevNet, x: np.ndarray, g: np.ndarray, active: int, with_grad: bool
     length = np.maximum(np.linalg.norm(diff, axis=2, keepdims=True), 1e-300)
     jac = diff / length
     slope = np.einsum("jnm,nm->jn", jac, g)
-    aniso = float(np.sqrt((slope[active:] ** 2).sum(0).mean()))
     dets = np.abs(np.linalg.det(np.transpose(jac, (1, 2, 0))))
-    value = aniso + abs(float(np.prod(dets - 1)))
+    with np.errstate(divide="ignore"):
+        sums = [n, (slope[active:] ** 2).sum(), np.log(np.abs(dets - 1)).sum()]
     if not with_grad:
-        return value, None
+        return np.array(sums)
     up_slope = np.zeros_like(slope)
-    if aniso > 0:
-        up_slope[active:] = slope[active:] / (n * aniso)
+    up_slope[active:] = slope[active:]
     up_jac = up_slope[:, :, None] * g[None]
     up = (up_jac - jac * (up_jac * jac).sum(2, keepdims=True)) / length
     up = up.reshape(m * n, m)
@@ -140,7 +162,23 @@ def loss(net: RevNet, x: np.ndarray, g: np.ndarray, active: int, with_grad: bool
         a, b = tape[k]
         uy = uy + b.grad(uz, grads[k][2], grads[k][3])
         uz = uz + a.grad(uy, grads[k][0], grads[k][1])
-    return value, [p for layer in grads for p in layer]
+    return np.concatenate([sums, *[p.ravel() for layer in grads for p in layer]])
+
+
+def _partials(df: DataFrame, way: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pd.DataFrame:
+    """v, most: sums and maxima by entry of what way(x, g) gives for all rows, added up by partition and then by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, most = None, None
+        for batch in batches:
+            if batch.num_rows:
+                x, g = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) for c in ("x", "g"))
+                v = way(x, g)
+                total, most = (v, v) if total is None else (total + v, np.maximum(most, v))
+        if total is not None:
+            yield pa.record_batch([pa.array(np.arange(len(total), dtype="i4")), pa.array(total), pa.array(most)], names=["at", "v", "most"])
+
+    return df.mapInArrow(run, "at int, v double, most double").groupBy("at").agg(F.sum("v").alias("v"), F.max("most").alias("most")).toPandas().sort_values("at")
 
 
 class Adam:
@@ -196,20 +234,39 @@ class NonlinearLevelSet:
     net: RevNet | None = field(default=None, init=False)
     history: list[tuple[int, float]] = field(default_factory=list, init=False)
 
-    def train(self, df: DataFrame, target_loss: float = 1e-4, optim_args: dict | None = None, scheduler_args: dict | None = None, most_rows: int = 5000) -> NonlinearLevelSet:
-        """df: x, g. At most most_rows rows (by hash) are used. history: (epoch, loss) every 10 epochs and at the end."""
-        pdf = df.select("x", "g").orderBy(F.xxhash64("x"), "x").limit(most_rows).toPandas()
-        return self.train_arrays(np.array(pdf["x"].tolist(), float), np.array(pdf["g"].tolist(), float), target_loss, optim_args, scheduler_args)
+    def train(self, df: DataFrame, target_loss: float = 1e-4, optim_args: dict | None = None, scheduler_args: dict | None = None, driver_rows: int = 5000) -> NonlinearLevelSet:
+        """df: x, g; all rows are used. Over driver_rows of them stay in Spark, a job an epoch. history: (epoch, loss) every 10 epochs and at the end."""
+        rows = df.select("x", "g").persist()
+        pdf = rows.orderBy(F.xxhash64("x"), "x").limit(driver_rows + 1).toPandas()
+        if len(pdf) <= driver_rows:
+            rows.unpersist()
+            return self.train_arrays(np.array(pdf["x"].tolist(), float), np.array(pdf["g"].tolist(), float), target_loss, optim_args, scheduler_args)
+        active = self.active_dim
+
+        def step(net: RevNet) -> tuple[float, list[np.ndarray]]:
+            sums = _partials(rows, lambda x, g: _sums(net, x, g, active))["v"].to_numpy()
+            return _value(sums[:3]), _gradients(net, sums)
+
+        def reconstruct(net: RevNet) -> float:
+            return float(_partials(rows, lambda x, g: np.array([np.abs(net.backward(net.forward(x)) - x).max()]))["most"].iloc[0])
+
+        self._descend(len(pdf["x"].iloc[0]), step, reconstruct, target_loss, optim_args, scheduler_args)
+        rows.unpersist()
+        return self
 
     def train_arrays(self, x: np.ndarray, g: np.ndarray, target_loss: float = 1e-4, optim_args: dict | None = None, scheduler_args: dict | None = None) -> NonlinearLevelSet:
-        if x.shape[1] % 2:
+        self._descend(x.shape[1], lambda net: loss(net, x, g, self.active_dim), lambda net: float(np.abs(net.backward(net.forward(x)) - x).max()), target_loss, optim_args, scheduler_args)
+        return self
+
+    def _descend(self, m: int, step: Callable[[RevNet], tuple[float, list[np.ndarray]]], reconstruct: Callable[[RevNet], float], target_loss: float, optim_args: dict | None, scheduler_args: dict | None) -> None:
+        if m % 2:
             raise ValueError("the number of parameters is even")
-        self.net = RevNet(x.shape[1] // 2, self.n_layers, self.dh).init(self.seed)
+        self.net = RevNet(m // 2, self.n_layers, self.dh).init(self.seed)
         optimizer = self.optimizer(self.net.parameters(), self.lr, **(optim_args or {}))
         scheduler = self.scheduler(optimizer, **(scheduler_args or {})) if self.scheduler else None
         self.history = []
         for epoch in range(1, self.epochs + 1):
-            value, grads = loss(self.net, x, g, self.active_dim)
+            value, grads = step(self.net)
             if epoch % 10 == 1 or epoch == self.epochs:
                 self.history.append((epoch, value))
                 if value < target_loss:
@@ -217,8 +274,7 @@ class NonlinearLevelSet:
             optimizer.step(grads)
             if scheduler:
                 scheduler.step()
-        self.reconstruction = float(np.abs(self.net.backward(self.net.forward(x)) - x).max())
-        return self
+        self.reconstruction = reconstruct(self.net)
 
     def _apply(self, column: str, way: str):
         net = self.net

@@ -378,3 +378,16 @@ def test_cross_validation_scores_every_row(spark):
         assert len(cv.surface.x) == 25 and cv.predict(cv.df).count() == 900
         pdf = cv.predict(cv.df).toPandas()
         assert cv.score(cv.df) == pytest.approx(metrics.rrmse_np(np.array(pdf["prediction"].tolist()), np.array(pdf["f"].tolist())))
+
+
+def test_level_set_trains_on_all_rows(spark):
+    rng = np.random.default_rng(14)
+    x = rng.uniform(0, 1, (5200, 2))
+    g = np.column_stack([3 * x[:, 0] ** 2 + 0.2, 3 * x[:, 1] ** 2 + 0.6])
+    df = from_arrays(spark, x, g=g)
+    all_rows = levelset.NonlinearLevelSet(2, 1, 0.02, 4).train_arrays(x, g)
+    for model in (levelset.NonlinearLevelSet(2, 1, 0.02, 4).train(df), levelset.NonlinearLevelSet(2, 1, 0.02, 4).train(df, driver_rows=6000)):
+        np.testing.assert_allclose(model.history, all_rows.history, rtol=1e-9)
+        for p, q in zip(model.net.parameters(), all_rows.net.parameters()):
+            np.testing.assert_allclose(p, q, rtol=1e-7, atol=1e-10)
+        assert model.reconstruction == pytest.approx(all_rows.reconstruction, abs=1e-12)
