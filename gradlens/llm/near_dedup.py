@@ -30,8 +30,9 @@ from gradlens.llm._common import mix64, slices, table, text_bytes, written
 
 WORDS = 5
 K = 48
-#: Estimates further below the threshold than five standard deviations are rejected.
-SIGMAS = 5.0
+#: Estimates further below the threshold than so many standard deviations are rejected. The binomial's tail is skewed:
+#: a pair at the threshold is lost with probability 3.4e-10 (0.85) or 2.4e-11 (0.80).
+SIGMAS = 7.5
 #: Linked classes share this many deviations less of a sketch than the threshold, at least.
 SURE = 7.0
 #: Lists up to this length make all of their pairs: at most SMALL - 1 a member.

@@ -149,3 +149,12 @@ def test_run_index_against_brute_force():
 
 def test_joined_ranges():
     assert substrings.joined([0, 5, 20, 21], [5, 9, 30, 25]) == [(0, 9), (20, 30)]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_union_sketch_keeps_pairs_at_the_threshold(percent):
+    from math import comb
+
+    t, k = percent / 100, near_dedup.K
+    least = t - near_dedup.SIGMAS * (t * (1 - t) / k) ** 0.5
+    assert sum(comb(k, i) * t**i * (1 - t) ** (k - i) for i in range(k + 1) if i < least * k) < 1e-9
