@@ -1,10 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause is a sequence of word classes. Five transducers are composed over it: the lexicon (words to classes, insults
-with a learned weight), threats (a threat verb with a target after it), targets (an insult near an address), negation
-(an insult soon after a negation) and reported speech (an insult after a verb of saying). What comes out for a clause is
-the sum of insult weights by context, and threats. A document's score is a logistic function of these sums over its
-clauses, fitted on a bounded sample of labelled rows; isolated words have no score of their own.
+A clause is a sequence of words. A cascade of weighted transducers is composed over it: the lexicon (letters of a word to
+its class; insults with a learned weight), targets (an insult soon after an address), negation (an insult or a threat soon
+after a negation), reported speech (the same after a verb of saying), threats (a target soon after a threat verb) and the
+frame (a clause has at least two words). Arcs carry weights, and composition multiplies them: what comes out for a match
+is the insult's weight times the prior weights of its contexts, in the order reported < negated < plain < aimed < menace.
+A document's score is a logistic function, with a positive slope, of the sum over its matched clauses; the lexicon, the
+slope and the bias are fitted on a bounded sample of labelled rows. A word that stands alone makes no clause and scores
+nothing.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,100 +33,163 @@ NEGATIONS = frozenset("not never no isn't aren't wasn't nicht kein keine keinen
 REPORTS = frozenset("said says wrote claimed reported quoted called sagte sagt schrieb behauptete meinte dit disait écrit affirme dijo dice escribió afirmó".split())
 THREATS = frozenset("kill hurt destroy beat stab shoot töten umbringen schlagen tuer frapper détruire matar golpear destruir".split())
 
-OTHER, INSULT, TARGET, NEGATION, REPORT, THREAT = range(6)
-#: Outputs of the grammar: an insult in its context, and a threat at a target.
-PLAIN, AIMED, NEGATED, REPORTED, MENACE = range(5)
+#: Classes of words, and the match that a threat and its target make.
+OTHER, INSULT, TARGET, NEGATION, REPORT, THREAT, MENACE = range(7)
+CLASSES = 6
+#: Contexts as bits above the classes.
+AIMED, NEGATED, REPORTED = 8, 16, 32
+#: Prior weights of the contexts (a plain match: 1). Every product of them keeps reported < negated < plain < aimed < menace.
+WEIGHTS = {REPORTED: 0.1, NEGATED: 0.3, AIMED: 2.0, MENACE: 3.0}
 #: Words over which a negation, an address or a threat reaches.
 REACH = 3
+#: Weight of a threat where the lexicon has no insult; else the largest one's.
+THREAT_WEIGHT = 4.0
+#: The fitted slope is at least this, so that a heavier match never scores less.
+LEAST_SLOPE = 0.5
 
 #: Labelled rows that the lexicon and the logistic weights are fitted on, at most.
 FIT_ROWS = 12_000
 #: Entries of the lexicon, at most; by weight.
 LEXICON = 20_000
+#: Words with less weight are no insults.
+LEAST_WEIGHT = 2.25
 PREFIXES = (4, 5, 6)
 
 _TOKENS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.,;:!?\n|]").findall
+_MARKS = frozenset(".,;:!?\n|")
 
 
 @dataclass
 class Fst:
-    """A deterministic transducer over small integers: (state, symbol) -> (state, symbol); state 0 starts."""
+    """A deterministic weighted transducer over small integers: (state, symbol) -> (state, symbol, weight); state 0 starts.
 
-    arcs: dict[tuple[int, int], tuple[int, int]] = field(default_factory=dict)
-    symbols: frozenset[int] = frozenset()
+    A symbol without an arc passes as it is, with weight 1. final: weights of the states at a clause's end (else 1).
+    """
+
+    arcs: dict[tuple[int, int], tuple[int, int, float]] = field(default_factory=dict)
+    final: dict[int, float] = field(default_factory=dict)
 
-    def step(self, state: int, symbol: int) -> tuple[int, int]:
-        return self.arcs.get((state, symbol), (state, symbol))
+    def step(self, state: int, symbol: int) -> tuple[int, int, float]:
+        return self.arcs.get((state, symbol), (state, symbol, 1.0))
 
 
-def compose(first: Fst, second: Fst, inputs: int) -> Fst:
-    """first's output goes into second; only pairs of states that can be reached become states."""
+def compose(first: Fst, second: Fst, inputs: int = CLASSES) -> Fst:
+    """first's output goes into second, weights multiply; only pairs of states that can be reached become states."""
     number, todo, arcs = {(0, 0): 0}, [(0, 0)], {}
     while todo:
         pair = todo.pop()
         for x in range(inputs):
-            a, mid = first.step(pair[0], x)
-            b, out = second.step(pair[1], mid)
+            a, mid, v = first.step(pair[0], x)
+            b, out, w = second.step(pair[1], mid)
             if (a, b) not in number:
                 number[a, b] = len(number)
                 todo.append((a, b))
-            arcs[number[pair], x] = number[a, b], out
-    return Fst(arcs)
+            arcs[number[pair], x] = number[a, b], out, v * w
+    return Fst(arcs, {n: first.final.get(a, 1.0) * second.final.get(b, 1.0) for (a, b), n in number.items()})
 
 
-# Symbols between the transducers: the classes, then an insult's contexts as bits above them.
-_AIM, _NEG, _REP, _MEN = 8, 16, 32, 64
-
-
-def _window(trigger: int, bit: int, on: int, reach: int | None) -> Fst:
-    """Marks symbol `on` with `bit` for `reach` words after `trigger` (None: to the clause's end)."""
+def _context(trigger: int, bit: int, on: tuple[int, ...], reach: int | None) -> Fst:
+    """Marks and weighs symbols of the classes `on` for `reach` words after `trigger` (None: to the clause's end)."""
     states = 2 if reach is None else reach + 1
     arcs = {}
     for s in range(states):
-        for x in range(128):
-            kind = x & 7
-            if kind == trigger:
-                arcs[s, x] = states - 1, x
+        for x in range(64):
+            if x & 7 == trigger:
+                arcs[s, x] = states - 1, x, 1.0
             else:
                 left = s if reach is None else max(0, s - 1)
-                arcs[s, x] = left, x | bit if kind == on and s else x
+                arcs[s, x] = (left, x | bit, WEIGHTS[bit]) if s and x & 7 in on else (left, x, 1.0)
     return Fst(arcs)
 
 
+def _threats() -> Fst:
+    """A target within REACH words of a threat becomes a MENACE, with the threat's contexts and their weights."""
+    arcs, marks = {}, (0, NEGATED, REPORTED, NEGATED | REPORTED)
+    state = lambda left, mark: 1 + (left - 1) * len(marks) + marks.index(mark) if left else 0
+    for left in range(REACH + 1):
+        for mark in marks if left else (0,):
+            for x in range(64):
+                if x & 7 == THREAT:
+                    arcs[state(left, mark), x] = state(REACH, x & (NEGATED | REPORTED)), x, 1.0
+                elif x & 7 == TARGET and left:
+                    weight = math.prod([WEIGHTS[MENACE], *(WEIGHTS[b] for b in (NEGATED, REPORTED) if mark & b)])
+                    arcs[state(left, mark), x] = 0, MENACE | mark, weight
+                else:
+                    arcs[state(left, mark), x] = state(left - 1, mark) if left else 0, x, 1.0
+    return Fst(arcs)
+
+
+def _frame() -> Fst:
+    """Accepts clauses of two words or more."""
+    return Fst({(s, x): (min(s + 1, 2), x, 1.0) for s in range(3) for x in range(64)}, {0: 0.0, 1: 0.0, 2: 1.0})
+
+
+@lru_cache(maxsize=1)
 def grammar() -> Fst:
-    """The composed grammar. Its outputs carry an insult's contexts, or a target that follows a threat."""
-    out = _window(TARGET, _AIM, INSULT, REACH)
-    for part in (_window(NEGATION, _NEG, INSULT, REACH), _window(REPORT, _REP, INSULT, None), _window(THREAT, _MEN, TARGET, REACH)):
-        out = compose(out, part, 6)
+    """The composed grammar over word classes. Its outputs carry a match's contexts, its arcs their weights."""
+    out = _context(TARGET, AIMED, (INSULT,), REACH)
+    for part in (_context(NEGATION, NEGATED, (INSULT, THREAT), REACH), _context(REPORT, REPORTED, (INSULT, THREAT), None), _threats(), _frame()):
+        out = compose(out, part)
     return out
 
 
-def outcome(symbol: int) -> int | None:
-    """What an output symbol counts as. Reported before negated before aimed."""
-    if symbol & 7 == INSULT:
-        return REPORTED if symbol & _REP else NEGATED if symbol & _NEG else AIMED if symbol & _AIM else PLAIN
-    return MENACE if symbol & 7 == TARGET and symbol & _MEN else None
+def flat() -> Fst:
+    """No grammar: every insult counts alike. For comparison only."""
+    return Fst()
+
+
+class Lexicon:
+    """The lexicon as a transducer from letters to (class, weight): a trie; `beginning*` accepts every longer word."""
+
+    def __init__(self, insults: dict[str, float]) -> None:
+        self.arcs: dict[tuple[int, str], int] = {}
+        self.whole: dict[int, tuple[int, float]] = {}
+        self.begun: dict[int, float] = {}
+        for kind, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)):
+            for w in words:
+                self.whole[self._state(w)] = kind, 1.0
+        for w, weight in insults.items():
+            if w.endswith("*"):
+                self.begun[self._state(w[:-1])] = weight
+            else:
+                self.whole[self._state(w)] = INSULT, weight
+
+    def _state(self, letters: str) -> int:
+        state = 0
+        for c in letters:
+            state = self.arcs.setdefault((state, c), len(self.arcs) + 1)
+        return state
+
+    def read(self, word: str) -> tuple[int, float]:
+        state, best = 0, 0.0
+        for c in word:
+            best = max(best, self.begun.get(state, 0.0))
+            state = self.arcs.get((state, c), -1)
+            if state < 0:
+                break
+        kind, weight = self.whole.get(state, (OTHER, 1.0))
+        if best and (kind != INSULT or best > weight):
+            return INSULT, best
+        return kind, weight
 
 
 class Matcher(dict):
-    """Reads documents; as a dict it remembers each word's class and weight."""
+    """Reads documents through lexicon and grammar, composed as it reads; as a dict it remembers each word's class and weight."""
 
-    def __init__(self, lexicon: dict[str, float]) -> None:
-        super().__init__({c: None for c in ".,;:!?\n|"})
-        self.lexicon, self.fst = lexicon, grammar()
-        self.table = {k: (s, outcome(o)) for k, (s, o) in self.fst.arcs.items()}
+    def __init__(self, insults: dict[str, float], fst: Fst | None = None) -> None:
+        super().__init__(dict.fromkeys(_MARKS))
+        self.lexicon, self.fst = Lexicon(insults), fst or grammar()
+        self.menace = max(insults.values(), default=THREAT_WEIGHT)
 
     def __missing__(self, word: str) -> tuple[int, float]:
-        weight = max([self.lexicon.get(word, 0.0), *(self.lexicon.get(f"{word[:n]}*", 0.0) for n in PREFIXES if len(word) > n)])
-        kind = INSULT if weight > 0 else TARGET if word in TARGETS else NEGATION if word in NEGATIONS else REPORT if word in REPORTS else THREAT if word in THREATS else OTHER
         if len(self) > 300_000:
             self.clear()
-            self.update({c: None for c in ".,;:!?\n|"})
-        self[word] = kind, weight
+            self.update(dict.fromkeys(_MARKS))
+        self[word] = self.lexicon.read(word)
         return self[word]
 
-    def clauses(self, text: str) -> Iterator[list[float]]:
-        """Sums by outcome of each clause that matches anything."""
+    def clauses(self, text: str) -> Iterator[list[tuple[int, float]]]:
+        """Matches (symbol, weight) of each clause that the grammar accepts and that has any."""
         clause: list[tuple[int, float]] = []
         live = False
         for x in [*map(self.__getitem__, _TOKENS(text.lower())), None]:
@@ -131,46 +198,72 @@ class Matcher(dict):
                 live = live or x[0] == INSULT or x[0] == THREAT
                 continue
             if live:
-                state, sums = 0, [0.0] * 5
+                state, found = 0, []
                 for kind, weight in clause:
-                    state, out = self.table[state, kind]
-                    if out is not None:
-                        sums[out] += weight if out != MENACE else 1.0
-                if any(sums):
-                    yield sums
+                    state, out, w = self.fst.step(state, kind)
+                    if out & 7 == INSULT:
+                        found.append((out, w * weight))
+                    elif out & 7 == MENACE:
+                        found.append((out, w * self.menace))
+                end = self.fst.final.get(state, 1.0)
+                if found and end:
+                    yield [(out, w * end) for out, w in found]
             clause, live = [], False
 
-    def features(self, text: str) -> list[float]:
-        """Sums over the clauses, and how many matched, damped by log1p."""
-        total, n = [0.0] * 5, 0
-        for s in self.clauses(text):
+    def features(self, text: str) -> tuple[float, int]:
+        """Sum of the matches' weights, damped by log1p, and the number of matched clauses."""
+        total, n = 0.0, 0
+        for found in self.clauses(text):
             n += 1
-            total = [a + b for a, b in zip(total, s)]
-        return [math.log1p(x) for x in total] + [math.log1p(n)]
+            total += sum(w for _, w in found)
+        return math.log1p(total), n
+
+
+def asserted(text: str) -> set[str]:
+    """Words of the clauses without a negation or a verb of saying."""
+    out: set[str] = set()
+    clause: list[str] = []
+    for w in [*_TOKENS(text.lower()), "."]:
+        if w not in _MARKS:
+            clause.append(w)
+            continue
+        if NEGATIONS.isdisjoint(clause) and REPORTS.isdisjoint(clause):
+            out.update(x for x in clause if len(x) > 1)
+        clause = []
+    return out
 
 
 @dataclass(frozen=True)
 class Model:
-    lexicon: dict[str, float]
-    weights: tuple[float, ...]
+    insults: dict[str, float]
+    slope: float
     bias: float
+    #: False: every insult counts alike, whatever its clause (for comparison only).
+    contexts: bool = True
+
+    def matcher(self) -> Matcher:
+        return Matcher(self.insults, None if self.contexts else flat())
+
 
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
+    """Slope (LEAST_SLOPE at least) and bias of a ridge logistic regression on one feature, by Newton's method."""
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[tuple[float, ...], float]:
-    """Ridge logistic regression by Newton's method."""
-    a = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(a.shape[1])
-    penalty = np.full(a.shape[1], ridge)
-    penalty[-1] = 1e-3
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - y) + penalty * w
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty + 1e-9)
-        step = np.linalg.solve(h, grad)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return tuple(float(v) for v in w[:-1]), float(w[-1])
+    def newton(columns: np.ndarray, offset: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+        w = np.zeros(columns.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(columns @ w + offset, -30, 30)))
+            h = (columns * (p * (1 - p))[:, None]).T @ columns + np.diag(penalty + 1e-9)
+            step = np.linalg.solve(h, columns.T @ (p - y) + penalty * w)
+            w -= step
+            if np.abs(step).max() < 1e-8:
+                break
+        return w
+
+    one = np.ones(len(x))
+    slope, bias = newton(np.column_stack([x, one]), 0 * one, np.array([ridge, 1e-3]))
+    if slope < LEAST_SLOPE:
+        slope, bias = LEAST_SLOPE, newton(one[:, None], LEAST_SLOPE * x, np.array([1e-3]))[0]
+    return float(slope), float(bias)
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -181,20 +274,33 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str
     return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "k").select("text", "y").filter("text is not null")
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, **names: str) -> Model:
-    """Learns the insults (words, and beginnings of words) and the weights of the contexts.
+def _weight(n0: int, n1: int, d0: int, d1: int) -> float:
+    """Log of the ratio of the rates among toxic and other texts, less two standard errors; 0 if that is no insult.
+
+    Few occurrences, as in families of near copies, are little evidence.
+    """
+    if n1 < max(4, 0.004 * d1):
+        return 0.0
+    weight = math.log((n1 + 0.5) / (d1 + 1)) - math.log((n0 + 0.5) / (d0 + 1)) - 2 * math.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
+    return weight if weight >= LEAST_WEIGHT else 0.0
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, contexts: bool = True, **names: str) -> Model:
+    """Learns the insults (words, and beginnings of words) with their weights, and slope and bias of the score.
 
-    Counts of words by label are taken over distinct texts, so copies don't count twice. No toxic rows: an empty
-    lexicon, and every score is the share of toxic rows (0.5 without any labels).
+    Counts of words by label are taken over distinct texts, so copies don't count twice; a text whose rows differ in
+    label has the usual one (a tie: toxic), whatever the order of rows. Words in negated or reporting clauses say nothing
+    about a label. No toxic rows: an empty lexicon, so only threats score above the share of toxic rows; no
+    labels at all: 0.5 for all.
     """
-    train = sample(docs, labels, rows, **names).dropDuplicates(["text"]).persist()
+    train = sample(docs, labels, rows, **names).groupBy("text").agg((F.avg("y") >= 0.5).cast("int").alias("y")).persist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: tuple[Counter, Counter] = (Counter(), Counter())
         docs_of = [0, 0]
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = {w for w in _TOKENS(text.lower()) if len(w) > 1}
+                words = asserted(text)
                 n[y].update(words | {f"{w[:k]}*" for w in words for k in PREFIXES if len(w) > k})
                 docs_of[y] += 1
         every = list(set(n[0]) | set(n[1]))
@@ -203,37 +309,37 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, **names: str)
     counts = train.mapInArrow(count, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     found = {r["w"]: (r["n0"], r["n1"]) for r in counts.filter("w = '' or (n1 >= 4 and n1 >= 8 * n0)").orderBy(F.desc("n1"), "w").limit(LEXICON).collect()}
     d0, d1 = found.pop("", (0, 0))
-    lexicon = {}
+    lexicon = {w: x for w, (n0, n1) in found.items() if not w.endswith("*") and (x := _weight(n0, n1, d0, d1))}
     for w, (n0, n1) in found.items():
-        weight = math.log((n1 + 0.5) / (d1 + 1)) - math.log((n0 + 0.5) / (d0 + 1))
-        # A rate among toxic rows that chance and families of near copies don't reach.
-        if weight >= 2.5 and n1 >= max(4, 0.004 * d1):
-            lexicon[w] = weight
-    matcher = Matcher(lexicon)
+        if w.endswith("*"):  # what a beginning says beyond the whole words that have it
+            own = [found[x] for x in lexicon if not x.endswith("*") and len(x) >= len(w) and x.startswith(w[:-1])]
+            n0, n1 = max(0, n0 - sum(x[0] for x in own)), n1 - sum(x[1] for x in own)
+            if n1 >= 8 * n0 and (x := _weight(n0, n1, d0, d1)):
+                lexicon[w] = x
+    matcher = Model(lexicon, 1.0, 0.0, contexts).matcher()
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [matcher.features(t) for t in batch.column(0).to_pylist()]
-            yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
+            x = [matcher.features(t)[0] for t in batch.column(0).to_pylist()]
+            yield pa.record_batch([pa.array(x, pa.float64()), batch.column(1)], names=["x", "y"])
 
-    got = train.mapInArrow(look, "x array<double>, y int").collect()  # at most `rows` rows of six numbers
+    got = train.mapInArrow(look, "x double, y int").orderBy("x", "y").collect()  # at most `rows` rows of two numbers
     train.unpersist()
     if not got:
-        return Model({}, (0.0,) * 6, 0.0)
-    weights, bias = _logistic(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float))
-    return Model(lexicon, weights, bias)
+        return Model({}, 0.0, 0.0, contexts)
+    return Model(lexicon, *_logistic(np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float)), contexts)
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, n_clauses. Null and empty texts score like any text without a match. Repeated rows and null ids give a row each. Map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.lexicon)
-        w = np.array(model.weights)
+        matcher = model.matcher()
         for batch in batches:
-            x = np.array([matcher.features(t or "") for t in batch.column(1).to_pylist()]).reshape(-1, 6)
-            p = 1 / (1 + np.exp(-np.clip(x @ w + model.bias, -30, 30)))
-            yield pa.record_batch([batch.column(0), pa.array(p, pa.float64()), pa.array(np.rint(np.expm1(x[:, 5])).astype(np.int64))], names=["doc_id", "score", "n_clauses"])
+            found = [matcher.features(t or "") for t in batch.column(1).to_pylist()]
+            x = np.array([f[0] for f in found], float)
+            p = 1 / (1 + np.exp(-np.clip(x * model.slope + model.bias, -30, 30)))
+            yield pa.record_batch([batch.column(0), pa.array(p, pa.float64()), pa.array([f[1] for f in found], pa.int64())], names=["doc_id", "score", "n_clauses"])
 
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, score double, n_clauses long")
 

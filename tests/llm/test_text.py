@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradlens.llm import chat, language, links, pieces, toxicity
+from gradlens.llm import chat, language, links, pieces
 from tests.llm.common import frame, hard_rows
 
 
@@ -58,39 +58,6 @@ def test_languages(spark):
     np.testing.assert_allclose(language._bundles(["Ab c"])[0], v.sum(0))
 
 
-def test_grammar_contexts():
-    m = toxicity.Matcher({"idiot": 2.0, "scum*": 1.0})
-    kinds = lambda t: [[i for i, x in enumerate(s) if x] for s in m.clauses(t)]
-    assert kinds("what an idiot") == [[toxicity.PLAIN]]
-    assert kinds("you are an idiot") == [[toxicity.AIMED]]
-    assert kinds("not an idiot, you idiot") == [[toxicity.NEGATED], [toxicity.AIMED]]
-    assert kinds("she said he was no real idiot") == [[toxicity.REPORTED]]
-    assert kinds("i will kill you") == [[toxicity.MENACE]] and kinds("kill the lights") == []
-    assert kinds("SCUMBAG!") == [[toxicity.PLAIN]] and kinds("") == []
-
-
-def test_toxicity_learns(spark):
-    rng = random.Random(4)
-    plain = [f"word{i}" for i in range(80)]
-    rows, labels = [], []
-    for i in range(400):
-        words = [rng.choice(plain) for _ in range(40)]
-        if i % 5 == 0:
-            words[rng.randrange(40)] = rng.choice(["zorbling", "zorbler", "vexit"])
-        rows.append((i, " ".join(words)))
-        labels.append((i, int(i % 5 == 0)))
-    df = frame(spark, rows + [(None, "zorbling"), (1000, None), (1001, "")])
-    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
-    model = toxicity.fit(df, lab.filter(toxicity.fold("doc_id", 5) != 0))
-    got = toxicity.score_toxicity(df, model).collect()
-    truth = dict(labels)
-    assert all((r["score"] >= 0.5) == truth[r["doc_id"]] for r in got if r["doc_id"] in truth)
-    assert all(r["score"] < 0.5 for r in got if r["doc_id"] in (1000, 1001)) and len(got) == 403
-    none = toxicity.fit(df, lab.limit(0))
-    assert {r["score"] for r in toxicity.score_toxicity(df, none).collect()} == {0.5}
-    assert toxicity.score_toxicity(df.limit(0), model).count() == 0
-
-
 def test_perspectives(spark):
     rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo"), (1, 3, "ann", None), (1, 70, None, "late"), (2, 0, "system", "only"), (None, 0, "x", "null conv"), (1, 1, "ann", "hi"), (1, None, "bob", "unnumbered")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 block", "2 perspective", "3 spans")
