@@ -1,11 +1,19 @@
-"""A run-length index over many short strings: run-compressed Burrows-Wheeler transform with samples at run ends.
+"""A run-length index over many short strings: a run-compressed Burrows-Wheeler transform with samples at run ends.
 
-Suffixes are sorted by prefix doubling in NumPy. Each string ends in a terminator of its own, so the order is total and
-LF steps are exact. The transform is kept as runs; a step from row r in run k goes to r + shift[k].
+Suffixes are sorted by prefix doubling in NumPy, while the index is built; each string ends in a terminator of its own, so
+the order is total and LF steps are exact. What is kept is as large as the number of runs: where each run starts, its
+symbol, its LF shift, and a sample at its upper end: which text position stands above the run's first row after an LF
+step, and how many symbols the two have in common.
+
+That is enough to stream matching statistics. Going left by one symbol in a text, a row that is not the first of its run
+takes the row above it along, so the position above goes left too and one more symbol matches; at a run's first row
+both are read from its sample.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 #: Symbols that the first sort key holds.
@@ -23,47 +31,50 @@ def _ranks(key: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, rank
 
 
+def _common(a: np.ndarray, b: np.ndarray, levels: list[tuple[int, np.ndarray]], text: np.ndarray, n: int) -> np.ndarray:
+    """Symbols that the suffixes at a and b have in common, from ranks of ever shorter prefixes. A terminator equals none."""
+    size = np.zeros(len(a), np.int64)
+    for h, rank in reversed(levels):
+        x, y = np.minimum(a + size, n - 1), np.minimum(b + size, n - 1)
+        size += h * ((rank[x] == rank[y]) & (x != y))
+    open_ = np.ones(len(a), bool)
+    for _ in range(_FIRST):
+        x, y = text[np.minimum(a + size, n - 1)], text[np.minimum(b + size, n - 1)]
+        open_ &= (x == y) & (x > 0)
+        size += open_
+    return size
+
+
 class RunIndex:
-    """Index of `strings` (flat bytes and their bounds) that knows which prefixes of `depth` symbols are equal."""
+    """Run-length index of `strings` (flat bytes and their bounds)."""
 
-    def __init__(self, flat: np.ndarray, bounds: np.ndarray, depth: int) -> None:
+    def __init__(self, flat: np.ndarray, bounds: np.ndarray) -> None:
         sizes = np.diff(bounds)
         n = int(sizes.sum()) + len(sizes)
-        self.starts = bounds[:-1] + np.arange(len(sizes))  # where each string begins in the text with terminators
-        self.ends = self.starts + sizes  # its terminator
-        text = np.zeros(n + 2 * depth + 64, np.int64)
+        self.n_strings = len(sizes)
+        starts = bounds[:-1] + np.arange(len(sizes))  # where each string begins in the text with terminators
+        self.ends = starts + sizes  # its terminator
+        text = np.zeros(n + _FIRST, np.int64)
         inside = np.ones(n, bool)
         inside[self.ends] = False
         text[:n][inside] = flat.astype(np.int64) + 1
         left = np.repeat(self.ends, sizes + 1) - np.arange(n)  # symbols before the terminator
         key = np.zeros(n, np.int64)
-        h = min(_FIRST, depth)
-        for j in range(h):
+        for j in range(_FIRST):
             key = key * 257 + np.where(left > j, text[j : j + n], 0)
+        h = _FIRST
         order, rank = _ranks(key, left < h)
-        half = None
+        levels = [(h, rank.astype(np.int32))]
         longest = int(sizes.max()) + 1 if len(sizes) else 0
         while h < longest:
-            if half is None and 2 * h >= depth:
-                half, span = rank, h
             padded = np.concatenate([rank, np.zeros(h, np.int64)])
             order, rank = _ranks(rank * (n + 1) + np.where(left >= h, padded[h : h + n] + 1, 0), left < 2 * h)
             h *= 2
-        self.rows = order
-        # Neighbours in the order begin with the same `depth` symbols if two overlapping shorter prefixes agree.
-        if half is None:
-            half, span = rank, h
-        second = np.concatenate([half, np.full(depth, -1)])[depth - span : depth - span + n]
-        a, b = order[1:], order[:-1]
-        self.breaks = np.ones(n, bool)
-        self.breaks[1:] = (half[a] != half[b]) | (second[a] != second[b]) | (left[a] < depth) | (left[b] < depth)
+            levels.append((h, rank.astype(np.int32)))
         # The transform: the symbol before each suffix; before a string's first symbol stands its terminator.
-        before = order - 1
         at_start = np.zeros(n, bool)
-        at_start[self.starts] = True
-        string_of = np.repeat(np.arange(len(sizes)), sizes + 1)
-        first = at_start[order]
-        symbol = np.where(first, 0, text[before])
+        at_start[starts] = True
+        symbol = np.where(at_start[order], 0, text[order - 1])
         # Runs; a terminator is a run by itself, for each is another symbol.
         head = np.ones(n, bool)
         head[1:] = (symbol[1:] != symbol[:-1]) | (symbol[1:] == 0)
@@ -75,40 +86,49 @@ class RunIndex:
         target[by_symbol] = np.cumsum(lengths[by_symbol]) - lengths[by_symbol]
         # A terminator's row is the number of its string: terminators sort first, in the strings' order.
         ended = self.run_symbol == 0
-        target[ended] = string_of[order[self.run_start[ended]]]
+        target[ended] = np.searchsorted(starts, order[self.run_start[ended]])
         self.shift = target - self.run_start
-        #: Text positions at the runs' ends.
-        self.run_end_sample = order[np.append(self.run_start[1:], n) - 1] if n else order
-        self.n_strings = len(sizes)
+        #: By run: the position above its first row's LF image, and the symbols that the two share.
+        self.above = np.where(target > 0, order[target - 1], -1) if n else target
+        own = order[target] if n else target
+        self.shared = np.where(target > 0, _common(own, np.maximum(self.above, 0), levels, text, n), 0) if n else target
 
-    def step(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """LF: rows of the suffixes one symbol longer, and that symbol."""
-        k = np.searchsorted(self.run_start, rows, "right") - 1
-        return rows + self.shift[k], self.run_symbol[k]
+    def stream(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Matching statistics of all strings at once, read from their ends to their starts.
 
-    def blocks(self) -> np.ndarray:
-        """Number of the block of equal `depth`-prefixes that each row lies in."""
-        return np.cumsum(self.breaks) - 1
+        Yields (position, position above it in the order of suffixes, symbols in common), a position of each string that
+        goes on. Positions count in the text with terminators; -1 where nothing is above.
+        """
+        rows, at = np.arange(self.n_strings), self.ends.copy()
+        above, shared = np.concatenate([[-1], self.ends[:-1]]).astype(np.int64)[: self.n_strings], np.zeros(self.n_strings, np.int64)
+        while len(rows):
+            run = np.searchsorted(self.run_start, rows, "right") - 1
+            head = rows == self.run_start[run]
+            above, shared = np.where(head, self.above[run], above - 1), np.where(head, self.shared[run], shared + 1)
+            rows, on = rows + self.shift[run], self.run_symbol[run] > 0
+            rows, at, above, shared = rows[on], at[on] - 1, above[on], shared[on]
+            if len(rows):
+                yield at, above, shared
 
-    def earliest(self, when: np.ndarray) -> np.ndarray:
-        """By block, the smallest of when[text position]."""
-        at = np.flatnonzero(self.breaks)
-        return np.minimum.reduceat(when[self.rows], at) if len(at) else np.empty(0, np.int64)
 
-    def stream(self, when: np.ndarray, depth: int) -> np.ndarray:
-        """Matching statistics of all strings at once, read from their ends to their starts.
+def repeated(index: RunIndex, when: np.ndarray, depth: int) -> np.ndarray:
+    """By position of the text with terminators: whether its next `depth` symbols also start at one with a smaller `when`.
 
-        For each text position: whether at least `depth` symbols from there match an occurrence with a smaller `when`.
-        """
-        block, first = self.blocks(), self.earliest(when)
-        out = np.zeros(len(when), bool)
-        rows, lanes, pos = np.arange(self.n_strings), np.arange(self.n_strings), self.ends.copy()
-        while len(lanes):
-            rows, symbol = self.step(rows)
-            on = symbol > 0
-            rows, lanes = rows[on], lanes[on]
-            pos[lanes] -= 1
-            at = pos[lanes]
-            far = self.ends[lanes] - at >= depth
-            out[at[far]] = when[at[far]] > first[block[rows[far]]]
-        return out
+    Positions whose next `depth` symbols are equal stand together in the order of suffixes: each but the first is linked
+    to the one above. The links of a group are followed to its first position in doubling steps.
+    """
+    first = np.arange(len(when))
+    linked = []
+    for at, above, shared in index.stream():
+        on = shared >= depth
+        first[at[on]] = above[on]
+        linked.append(at[on])
+    at = np.concatenate(linked) if linked else np.empty(0, np.int64)
+    while True:
+        further = first[first[at]]
+        if (further == first[at]).all():
+            break
+        first[at] = further
+    least = when.copy()
+    np.minimum.at(least, first[at], when[at])
+    return when > least[first]

@@ -9,10 +9,10 @@
    An anchor with more than HOT occurrences would bring an unbounded group to one task: its strings go one by one
    instead, by their own hashes, so that only equal ones meet.
 4. Over the dictionary phrases a run-length index is built (rindex.RunIndex): its matching statistics are
-   streamed, and positions that match WIDTH bytes of an earlier occurrence are marked.
+   streamed, and positions that match WIDTH bytes of an earlier occurrence are marked (rindex.repeated).
 5. The marked ranges go back to the blocks, where they are joined and cut out.
 
-Documents are dealt to blocks by a hash of their id, once; steps 2, 3 and 5 read the same exchange.
+Documents are dealt to blocks of BLOCK_BYTES by a hash of id and text, once; steps 2, 3 and 5 read the same exchange.
 """
 
 from __future__ import annotations
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 
 from gradlens.llm._common import mix64, slices, table, text_bytes
 from gradlens.llm.near_dedup import _powers
-from gradlens.llm.rindex import RunIndex
+from gradlens.llm.rindex import RunIndex, repeated
 
 WIDTH = 100
 GRAM = 32
 #: Occurrences from which on an anchor's strings are dealt one by one.
 HOT = 200_000
+#: Bytes of text in a block of documents, about; anchors and phrases are dealt to as many buckets.
+BLOCK_BYTES = 16_000_000
 #: Bytes of dictionary phrases in one index.
 INDEX_BYTES = 700_000
 #: Longest stretch of a document that is looked at as one array; longer ones are cut with an overlap.
@@ -252,13 +254,12 @@ def _phrases(blocks: DataFrame, copies: DataFrame, repeated: DataFrame, buckets:
 
 def mark(flat: np.ndarray, bounds: np.ndarray, order_key: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """For each position of flat: whether `width` bytes from there are an earlier occurrence's. order_key grows with the place in the corpus."""
-    index = RunIndex(flat, bounds, width)
-    sizes = np.diff(bounds)
-    when = np.full(len(flat) + len(sizes), 2**63 - 1, np.int64)
+    index = RunIndex(flat, bounds)
+    when = np.full(len(flat) + index.n_strings, 2**63 - 1, np.int64)
     inside = np.ones(len(when), bool)
     inside[index.ends] = False
     when[inside] = order_key
-    return index.stream(when, width)[inside]
+    return repeated(index, when, width)[inside]
 
 
 def _marked(phrase_rows: DataFrame) -> DataFrame:
@@ -370,15 +371,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id, equal starts are not earlier than each other: identical rows lose the same. kept_text leaves out characters
     that a cut has split. Empty table: no rows. Other columns are not read.
     """
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(tasks))
     narrow = docs.select(ident.alias("doc_id"), text.alias("text"))
-    blocks = narrow.withColumn("block", block)
-    seen = narrow.filter(F.octet_length("text") >= WIDTH).select("doc_id", F.sha2("text", 256).alias("sha"))
+    size = narrow.agg(F.sum(F.octet_length("text").cast("long"))).head()[0] or 0
+    # Blocks by bytes, so that none grows with the input; at least as many as Spark's shuffles have partitions.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
+    blocks = narrow.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(tasks)))
+    seen = blocks.filter(F.octet_length("text") >= WIDTH).select("block", "doc_id", F.sha2("text", 256).alias("sha"))
     first = seen.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    copies = seen.join(first, "sha").filter("doc_id > first").select(block.alias("block"), (F.col("doc_id") + 0).alias("doc_id"), F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("tid"))
+    copies = seen.join(first, "sha").filter("doc_id > first").select((F.col("block") + 0).alias("block"), (F.col("doc_id") + 0).alias("doc_id"), F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("tid"))
     repeated = _repeated(_anchors(blocks, copies, tasks))
     marked = _marked(_phrases(blocks, copies, repeated, tasks))
     out = _cut(blocks, copies, marked, with_text)

@@ -109,6 +109,7 @@ def brute_removed(rows):
 @pytest.mark.parametrize("hot", [3, 10**6])
 def test_repeated_passages(spark, monkeypatch, hot):
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 20_000)
     rows = [(d, t if t is None or len(t) < 20_000 else t[:20_000]) for d, t in hard_rows(5)]
     got = substrings.remove_repeats(frame(spark, rows)).collect()
     assert Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got) == Counter(brute_removed(rows))
@@ -143,8 +144,32 @@ def test_run_index_against_brute_force():
         for k, i, w in places:
             want[bounds[k] + i] = when[bounds[k] + i] > first[w]
         assert (hit == want).all()
-    index = rindex.RunIndex(flat, bounds, 8)
-    assert len(index.run_start) < len(flat) + 60 and len(index.run_end_sample) == len(index.run_start)
+
+
+def test_matching_statistics_against_brute_force():
+    """Streamed statistics equal those of a sorted list of all suffixes, and what the index keeps has the size of its runs."""
+    rng = np.random.default_rng(1)
+    unit = rng.integers(97, 100, 50).astype(np.uint8).tobytes()
+    for strings in ([rng.integers(97, 99, rng.integers(1, 40)).astype(np.uint8).tobytes() for _ in range(40)], [unit * int(k) for k in rng.integers(1, 6, 30)], [b"a" * int(k) for k in rng.integers(1, 60, 12)], [b"x"]):
+        flat, bounds = np.frombuffer(b"".join(strings), np.uint8), np.concatenate([[0], np.cumsum([len(s) for s in strings])])
+        index = rindex.RunIndex(flat, bounds)
+        # Terminators sort before all letters, in the strings' order.
+        texts = [[*(b + len(strings) for b in s), k] for k, s in enumerate(strings)]
+        suffixes = sorted((t[i:], bounds[k] + k + i) for k, t in enumerate(texts) for i in range(len(t)))
+        want = {}
+        for (a, _), (b, at) in zip([([], -1), *suffixes], suffixes):
+            same = next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            want[at] = (_, same)
+        got = {int(p): (int(u), int(m)) for at, above, shared in index.stream() for p, u, m in zip(at, above, shared)}
+        ends = {int(e) for e in index.ends}
+        assert got == {p: v for p, v in want.items() if p not in ends}
+        kept = [v for v in vars(index).values() if isinstance(v, np.ndarray)]
+        assert all(len(v) in (len(index.run_start), len(strings)) for v in kept)
+    # The same unit again and again: the number of runs stays small.
+    flat = np.frombuffer(unit * 200, np.uint8)
+    index = rindex.RunIndex(flat, np.array([0, len(flat)]))
+    assert len(index.run_start) < 200 and not rindex.repeated(index, np.arange(len(flat) + 1), len(flat)).any()
+    assert rindex.repeated(index, np.arange(len(flat) + 1), 100)[: len(flat)].sum() == len(flat) - 99 - 50
 
 
 def test_joined_ranges():
