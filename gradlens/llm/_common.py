@@ -21,10 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master (tests) gets one of its own; on a cluster that would be a folder of one machine only.
+    """
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not there:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="gradlens-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(there)
@@ -32,25 +37,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and survives lost executors."""
+    """df as a Parquet table in the shared folder: cuts the lineage, and survives lost executors. Removed by discard, or at exit."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gradlens-{what}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    _drop_at_exit(spark, path)
-    return spark.read.schema(schema).parquet(path)
+    atexit.register(_remove, spark, path)
+    out = spark.read.schema(schema).parquet(path)
+    out._gradlens_path = path
+    return out
+
 
+def discard(df: DataFrame) -> None:
+    """Removes a written table that nothing reads any more."""
+    _remove(df.sparkSession, df._gradlens_path)
 
-def _drop_at_exit(spark: SparkSession, path: str) -> None:
-    def drop() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the JVM has gone already
-            pass
 
-    atexit.register(drop)
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the JVM has gone already
+        pass
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:

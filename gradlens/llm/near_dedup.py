@@ -2,7 +2,8 @@
 
 One hash function; a document's sketch is its k smallest shingle hashes. Documents with equal sets form a class first.
 Inverted lists of retained values bring classes together, unions of two sketches estimate their similarity, and what
-is not ruled out is verified on the full sets.
+is not ruled out is verified on the full sets of the texts' own words. Words are hashed by a keyed cryptographic hash, and
+sets are equal where two independent 64-bit hashes of all shingles agree.
 
 Two things keep hot values and large groups from making all pairs of a list. First, prefixes: linked classes share at
 least a known part of the smaller sketch (all but seven standard deviations of the threshold: 0.49 of it for k = 48 and
@@ -11,9 +12,10 @@ similarity 0.85), so only the rarer rest of a sketch, plus one value, has to be
 Second, differences from a leader. A list of more than SMALL classes meets its leader only, the class that comes first
 by position of the value (the most usual one). With D(x) the symmetric difference of the sets of x and the leader,
 |A xor B| = |D(a) xor D(b)| exactly; so classes that are linked with each other, but not both with the leader, share almost
-all of their differences. The differences make new, much shorter lists, rarest first, and two classes of one
-meet only if the places of the shared difference in both allow a link and they are in different components still. Copies
-that differ from their common source in places of their own do not meet, and nothing is dropped.
+all of their differences. The differences make new, shorter lists, rarest first, and those have leaders again, LEVELS
+times. In what is left after that, two classes of one list meet only if the places of the shared difference in both allow
+a link and they are in different components still. Copies that differ from their common source in places of their own do
+not meet, and nothing is dropped.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradlens.llm._common import mix64, slices, table, text_bytes, written
+from gradlens.llm._common import discard, mix64, slices, table, text_bytes, written
 
 WORDS = 5
 K = 48
@@ -37,55 +39,82 @@ SIGMAS = 7.5
 SURE = 7.0
 #: Lists up to this length make all of their pairs: at most SMALL - 1 a member.
 SMALL = 8
+#: How often lists of differences get leaders.
+LEVELS = 3
 
-_B = 0x9E3779B97F4A7C15
-_BINV = pow(_B, -1, 2**64)
+_KEY = b"gradlens shingles"
 _rng = np.random.default_rng(541)
-_TABLE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MULT = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Odd multipliers of a shingle's words, for two independent hashes.
+_MULT = _rng.integers(0, 2**63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WORDS_KEPT = 500_000
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+class _Words(dict):
+    """128 keyed bits of a word (BLAKE2b); remembers words."""
 
+    def __missing__(self, word: bytes) -> bytes:
+        out = hashlib.blake2b(word, digest_size=16, key=_KEY).digest()
+        if len(self) >= _WORDS_KEPT:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = out
+        return out
 
-def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes (as int64) of each text's shingles; ASCII lower case, split at ASCII spaces."""
-    split = [t.lower().split() for t in texts]
-    n = np.array([len(w) for w in split], np.int64)
-    if not n.sum():
-        return [np.empty(0, np.int64) for _ in texts]
-    buf = np.frombuffer(b" ".join(w for ws in split for w in ws) + b" ", np.uint8)
-    ends = np.flatnonzero(buf == 32)
-    starts = np.concatenate([[0], ends[:-1] + 1])
+
+_words = _Words()
+
+
+def split_words(text: bytes) -> list[bytes]:
+    """Words, A-Z in lower case, between the six ASCII spaces."""
+    return text.lower().split()
+
+
+def _shingles(texts: list[bytes], words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Two 64-bit hashes of each text's shingles, in order of place. Words are hashed by a keyed cryptographic hash."""
+    split = [split_words(t) for t in texts]
+    word = np.frombuffer(b"".join([_words[w] for ws in split for w in ws]), "<u8").reshape(-1, 2)
     with np.errstate(over="ignore"):
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[buf] * _powers(_B, len(buf)), dtype=np.uint64)])
-        inverse = _powers(_BINV, len(buf))
-        word = mix64((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-        many = len(word) - words + 1
-        full = np.zeros(max(many, 0), np.uint64)
-        for j in range(words):
-            full += word[j : j + many] * _MULT[j] if many > 0 else 0
-        full = mix64(full)
-        out, at = [], 0
-        for k in n.tolist():
+        many = max(len(word) - words + 1, 0)
+        full = [np.zeros(many, np.uint64) for _ in range(2)]
+        for side in range(2):
+            for j in range(words if many else 0):
+                full[side] += word[j : j + many, side] * _MULT[side, j]
+            full[side] = mix64(full[side])
+        at = 0
+        for ws in split:
+            k = len(ws)
             if k >= words:
-                h = full[at : at + k - words + 1]
+                yield full[0][at : at + k - words + 1], full[1][at : at + k - words + 1]
             elif k:
-                h = mix64((word[at : at + k] * _MULT[:k]).sum(keepdims=True) + np.uint64(k))
+                yield tuple(mix64((word[at : at + k, side] * _MULT[side, :k]).sum(keepdims=True) + np.uint64(k)) for side in range(2))
             else:
-                h = full[:0]
-            out.append(np.unique(h.view(np.int64)))
+                yield full[0][:0], full[1][:0]
             at += k
-    return out
 
 
-def _sets(batch: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
-    raw = text_bytes(batch.column(1))
-    for a, b in slices([len(x) for x in raw]):
-        yield from shingle_sets(raw[a:b], words)
+def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes (as int64) of each text's shingles; ASCII lower case, split at ASCII spaces."""
+    return [np.unique(h.view(np.int64)) for h, _ in _shingles(texts, words)]
+
+
+def linked(a: bytes, b: bytes, percent: int, words: int = WORDS) -> bool:
+    """Whether 100 * intersection >= percent * union of the two texts' shingles, from the words themselves: nothing is hashed to a number."""
+    sides = [split_words(t) for t in (a, b)]
+    number: dict[bytes, int] = {}
+    ids = [np.array([number.setdefault(w, len(number)) for w in ws], np.int64) for ws in sides]
+    if any(len(i) < words for i in ids):
+        return bool(len(ids[0])) and sides[0] == sides[1]
+    code = np.concatenate([i[: len(i) - words + 1] for i in ids])
+    cut, most = len(ids[0]) - words + 1, len(number)
+    for j in range(1, words):
+        if most * len(number) >= 2**62:  # number the prefixes anew, so that codes stay exact
+            code = np.unique(code, return_inverse=True)[1]
+            most = int(code.max()) + 1
+        code = code * len(number) + np.concatenate([i[j : len(i) - words + 1 + j] for i in ids])
+        most *= len(number)
+    x, y = np.unique(code[:cut]), np.unique(code[cut:])
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * same >= percent * (len(x) + len(y) - same)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -98,28 +127,31 @@ def sketches(docs: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(_small(_sets(batch, words), k))
+            raw = text_bytes(batch.column(1))
+            sets = [x for a, b in slices([len(r) for r in raw]) for x in _small(_shingles(raw[a:b], words), k)]
             yield pa.record_batch([batch.column(0), pa.array([s[0] for s in sets], pa.int64()), pa.array([s[1] for s in sets], pa.binary()), _lists([s[2] for s in sets])], names=["doc_id", "n_shingles", "digest", "sketch"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
 
 
-def _small(sets: Iterator[np.ndarray], k: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    for s in sets:
-        yield len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s[:k].copy()
+def _small(shingles: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """Size, digest of both hashes' sets, sketch."""
+    for h, other in shingles:
+        own = np.unique(h.view(np.int64))
+        yield len(own), hashlib.blake2b(own.tobytes() + np.unique(other).tobytes(), digest_size=16).digest(), own[:k].copy()
 
 
 def full_sets(docs: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
-    """rep, sketch, shingles. docs: rep, text."""
+    """rep, sketch, shingles, text. docs: rep, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = text_bytes(batch.column(1))
             for a, b in slices([len(x) for x in raw]):
                 sets = shingle_sets(raw[a:b], words)
-                yield pa.record_batch([batch.column(0).slice(a, b - a), _lists([x[:k] for x in sets]), _lists(sets)], names=["rep", "sketch", "shingles"])
+                yield pa.record_batch([batch.column(0).slice(a, b - a), _lists([x[:k] for x in sets]), _lists(sets), batch.column(1).slice(a, b - a)], names=["rep", "sketch", "shingles", "text"])
 
-    return docs.mapInArrow(run, "rep long, sketch array<long>, shingles array<long>")
+    return docs.mapInArrow(run, "rep long, sketch array<long>, shingles array<long>, text string")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -128,14 +160,16 @@ def components(edges: DataFrame) -> DataFrame:
     One written table a round; stars around their smallest node need one round, and any graph about the logarithm of its diameter.
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "edges")
-    label = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "label")
+    last = label = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "label")
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         step = label.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = label.select(F.col("node").alias("label"), F.col("label").alias("top"))
         step = written(step.join(jump, "label", "left").select("node", "old", F.least("label", "top").alias("label")), "label")
-        label = step.select("node", "label")
+        discard(last)
+        last, label = step, step.select("node", "label")
         if step.filter("old <> label").isEmpty():
+            discard(both)
             return label
 
 
@@ -152,8 +186,8 @@ def _prefixes(reps: DataFrame, percent: int, k: int) -> DataFrame:
     return listed.select(F.col("x.v").alias("v"), "rep", "n", (F.col("alone") + F.col("at") + 1).alias("pos"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
-    """a, b of the pairs that are linked: first by the union sketch, then on the full sets."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, words: int, k: int) -> DataFrame:
+    """a, b of the pairs that are linked: not ruled out by the union sketch, and confirmed on the full sets of the texts."""
     t = percent / 100
     least = t - SIGMAS * (t * (1 - t) / k) ** 0.5
     side = lambda x, c: sets.select(F.col("rep").alias(x), F.col(c).alias(f"{c}_{x}"))
@@ -161,9 +195,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFr
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), union))
     near = near.filter(both >= least * F.size(union)).select("a", "b")
-    full = near.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
-    same = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return full.withColumn("same", same).filter(f"100 * same >= {percent} * (size(shingles_a) + size(shingles_b) - same)").select("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = zip(text_bytes(batch.column(2)), text_bytes(batch.column(3)))
+            yield batch.filter(pa.array([linked(x, y, percent, words) for x, y in texts], pa.bool_())).select(["a", "b"])
+
+    full = near.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
+    return full.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, words: int = WORDS, k: int = K) -> DataFrame:
@@ -182,7 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = written(_prefixes(reps, percent, k), "lists")
     listed = lists.select("rep").distinct()
     sets = written(full_sets(narrow.join(listed, narrow["doc_id"] == listed["rep"]).groupBy("rep").agg(F.first("text").alias("text")), words, k), "sets")
-    label = _connect(lists, sets, percent, k)
+    label = _connect(lists, sets, percent, words, k)
     whole = seen.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
     whole = whole.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     if label is not None:
@@ -229,6 +268,10 @@ def _meeting(lists: DataFrame, percent: int, all_pairs: bool) -> tuple[DataFrame
     per = lists.groupBy("v").agg(F.min(F.struct("pos", "rep", "n", "label")).alias("l"), F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     lead = written(per.select("v", F.col("l.rep").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.label").alias("lead_label"), "members"), "leaders")
     few = lists.join(lead.select("v", "members") if all_pairs else lead.filter(f"members <= {SMALL}").select("v", "members"), "v")
+    if all_pairs:  # places that allow no link with any class of the list
+        least = lists.groupBy("v").agg(F.min("size").alias("least"))
+        most = F.floor(F.lit(_differ(percent) * (1 + 100 / percent)) * F.col("n") + 1e-6)
+        few = few.join(least, "v").filter(2 * (F.col("pos") - 1) <= most + F.col("size") - F.col("least")).drop("least")
     other = few.select("v", *(F.col(c).alias(f"{c}2") for c in few.columns if c not in ("v", "members")))
     allowed = (F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & alike("n", "n2")
     if all_pairs:
@@ -242,28 +285,32 @@ def _meeting(lists: DataFrame, percent: int, all_pairs: bool) -> tuple[DataFrame
     return met.distinct(), lead.filter(f"members > {SMALL}").select("v", "lead")
 
 
-def _connect(lists: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame | None:
+def _connect(lists: DataFrame, sets: DataFrame, percent: int, words: int, k: int) -> DataFrame | None:
     """Labels of the classes that links connect (None: no links). lists: v, rep, n, pos."""
     links = label = None
 
     def verify(pairs: DataFrame) -> None:
         nonlocal links, label
-        found = written(_verified(written(pairs, "pairs"), sets, percent, k), "links")
+        pairs = written(pairs, "pairs")
+        found = written(_verified(pairs, sets, percent, words, k), "links")
+        discard(pairs)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             label = components(links)
 
     pairs, lead = _meeting(_named(lists, None), percent, False)
     verify(pairs)
-    # Lists that are of one component by now are done; the members of the others differ from their leader.
-    open_ = _named(lists.join(lead, "v"), label).join(_open(_named(lists.join(lead, "v"), label)), "v")
-    members = written(open_.filter("rep <> lead").select("lead", "rep", "n").distinct(), "members")
-    if members.isEmpty():
-        return label
-    apart = written(_differences(members, sets, percent), "differences")
-    pairs, _ = _meeting(_named(apart, label), percent, False)
-    verify(pairs)
-    pairs, _ = _meeting(_named(apart, label), percent, True)
+    for _ in range(LEVELS):
+        # Lists that are of one component by now are done; the members of the others differ from their leader.
+        open_ = _named(lists.join(lead, "v"), label).join(_open(_named(lists.join(lead, "v"), label)), "v")
+        members = written(open_.filter("rep <> lead").select("lead", "rep", "n").distinct(), "members")
+        if members.isEmpty():
+            return label
+        lists = written(_differences(members, sets, percent), "differences")
+        discard(members)
+        pairs, lead = _meeting(_named(lists, label), percent, False)
+        verify(pairs)
+    pairs, _ = _meeting(_named(lists, label), percent, True)
     verify(pairs)
     return label
 

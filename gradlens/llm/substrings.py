@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradlens.llm._common import mix64, slices, table, text_bytes
-from gradlens.llm.near_dedup import _powers
 from gradlens.llm.rindex import RunIndex, repeated
 
 WIDTH = 100
@@ -53,6 +52,12 @@ def text_id(raw: bytes) -> int:
     return int(hashlib.sha256(raw).hexdigest()[:15], 16)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 def _window_hash(buf: np.ndarray, k: int) -> np.ndarray:
     """Hash of buf[i : i + k] for each i, by doubling."""
     acc, acc_len, cur, cur_len, m = None, 0, _TABLE[buf], 1, k

@@ -78,6 +78,61 @@ def test_components_of_chains(spark):
     assert set(label[i] for i in range(31)) == {0} and label[100] == label[99] == 99
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """A Thue-Morse word and its complement have one hash under any polynomial modulo 2**64."""
+    one = thue_morse(4096)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rest = " a b c d e f g h"
+    rows = [(1, one + rest), (2, other + rest), (3, one), (4, other), (5, other), (6, " ".join([one, other] * 9)), (7, " ".join([other, one] * 9 + [other]))]
+    want = {(d, c) for d, _, c in brute_components(rows, 85)}
+    assert {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()} == want
+
+
+def test_links_are_confirmed_on_words():
+    import random
+
+    rng = random.Random(5)
+    for size in (3, 30, 3000):
+        for _ in range(60):
+            a = [f"w{rng.randrange(size)}" for _ in range(rng.randint(0, 60))]
+            b = a[:]
+            for _ in range(rng.randint(0, 4) if b else 0):
+                b[rng.randrange(len(b))] = f"w{rng.randrange(size)}"
+            x, y = " ".join(a), " ".join(b)
+            s, t = shingles(x), shingles(y)
+            for percent in (50, 80, 85):
+                want = bool(s & t) and 100 * len(s & t) >= percent * len(s | t)
+                assert near_dedup.linked(x.encode(), y.encode(), percent) == want, (x, y)
+
+
+def test_hot_lists_make_few_pairs(spark, monkeypatch):
+    """Many texts that share most of their words, some of them linked with each other, but none with the usual leader."""
+    import random
+
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for family in range(12):
+        own = base[:]
+        for i in rng.sample(range(200), 8):
+            own[i] = f"f{family}_{i}"
+        for _ in range(20):
+            words = own[:]
+            for i in rng.sample(range(200), rng.choice([1, 2, 12])):
+                words[i] = f"z{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(words)))
+    met = []
+    plain = near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, *rest: (met.append(pairs.count()), plain(pairs, *rest))[1])
+    got = near_dedup.near_duplicates(frame(spark, rows), percent=85).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(d, c) for d, _, c in brute_components(rows, 85)}
+    assert sum(met) < 20 * len(rows) < len(rows) * (len(rows) - 1) / 2 / 4, met
+
+
 def test_shingle_hashes_tell_sets_apart():
     texts = [b"a b c d e f", b"A B  C D E\tF", b"a b c d f e", b"", b"x", b"x y", b"y x"]
     s = near_dedup.shingle_sets(texts)
