@@ -2,7 +2,7 @@
 
 A sequence has three limits at once: tokens, segments (pieces of documents) and loss-bearing tokens. Each document is
 cut into full sequences and a remainder. The remainders of a slot (a hash bucket of some thousand pieces, so that the
-work is parallel and no task grows with the input) are placed by the dot-product heuristic: of the pieces that fit the
+work is parallel and no task grows with the input; equal pieces are spread over the slots) are placed by the dot-product heuristic: of the pieces that fit the
 open sequence, the one whose demand vector has the largest dot product with the room left goes in. Sequences that stay
 poorly filled are then taken apart, and their pieces, cut where needed, fill the gaps of the others.
 """
@@ -10,12 +10,14 @@ poorly filled are then taken apart, and their pieces, cut where needed, fill the
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 1024
-    segments: int = 64
+    segments: int = 1024
     loss_tokens: int = 1024
     #: No cut leaves a piece shorter than this, and gaps below it stay.
     least_piece: int = 16
@@ -45,15 +47,17 @@ def default_vocabulary() -> str:
 class Encoder:
     """Ids of a text as little-endian uint32 bytes.
 
-    A byte-level BPE whose ids are the ranks of its merges is run by tiktoken, which gives the same ids several times
-    faster; any other vocabulary is run by tokenizers itself. Special tokens' strings in a text are ordinary text.
+    They are those of tokenizers with add_special_tokens=False: no token is added, and an added token's string in a text
+    is that token. A byte-level BPE whose ids are the ranks of its merges is run by tiktoken, which gives the same ids
+    several times faster; any other vocabulary, and texts that hold an added token's string, are run by tokenizers itself.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.wide = self.model.get_vocab_size() > 65536
         ranks = byte_ranks(path)
         self.fast = None
@@ -63,7 +67,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
-        if self.fast is not None:
+        if self.fast is not None and not (self.added and self.added.search(text)):
             return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -155,10 +159,14 @@ def fill_gaps(seqs: list[list[list[int]]], loss_of, limits: Limits) -> list[list
 
 
 def _cut_documents(docs: DataFrame, path: str, limits: Limits) -> DataFrame:
-    """Pieces: full sequences without their ids, and the remainder with them (16 bits an id where the vocabulary allows)."""
+    """Pieces: full sequences without their ids, and the remainder with them (16 bits an id where the vocabulary allows).
+
+    copy tells equal pieces apart: which one of its partition it is, and the partition. It depends on no order of rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        part_no, seen, epoch = TaskContext.get().partitionId(), {}, 0
         step = min(limits.tokens, limits.loss_tokens)
         for batch in batches:
             rows: list[tuple] = []
@@ -169,12 +177,17 @@ def _cut_documents(docs: DataFrame, path: str, limits: Limits) -> DataFrame:
                     part = raw[4 * a : 4 * (a + step)]
                     full = len(part) == 4 * limits.tokens
                     ids = None if full else part if enc.wide else np.frombuffer(part, "<u4").astype("<u2").tobytes()
-                    rows.append((doc, a, len(part) // 4, zlib.crc32(part), n, loss_from, ids))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            cols = list(zip(*rows)) or [[]] * 7
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss_from", "ids"])
+                    crc = zlib.crc32(part)
+                    key = hash((doc, a, crc))
+                    seen[key] = again = seen.get(key, -1) + 1
+                    rows.append((doc, a, len(part) // 4, crc, n, loss_from, ids, (epoch << 32) + again, part_no))
+                if len(seen) > 1_000_000:
+                    seen, epoch = {}, epoch + 1
+            kinds = (*(pa.int64(),) * 6, pa.binary(), pa.int64(), pa.int64())
+            cols = list(zip(*rows)) or [[]] * 9
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss_from", "ids", "copy", "part"])
 
-    return docs.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_from long, ids binary")
+    return docs.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_from long, ids binary, copy long, part long")
 
 
 _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -190,8 +203,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     """
     path = vocabulary or default_vocabulary()
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.coalesce(F.col(loss_from_col).cast("long"), F.lit(0)) if loss_from_col else F.lit(0)).cast("long").alias("loss_from"))
-    slots = max(1, -(-docs.count() // limits.slot_pieces))
-    pieces = _cut_documents(narrow, path, limits).withColumn("slot", F.expr(f"pmod(xxhash64(doc_id, start, ids_crc32), {slots}L)"))
+    # A document makes one remainder, and one more piece for about every four bytes times the limit.
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long")).alias("b")).head()
+    slots = max(1, -(-(size["n"] + (size["b"] or 0) // (4 * limits.tokens)) // limits.slot_pieces))
+    pieces = _cut_documents(narrow, path, limits).withColumn("slot", F.expr(f"pmod(xxhash64(doc_id, start, ids_crc32, copy, part), {slots}L)"))
 
     def run(part: pa.Table) -> pa.Table:
         slot = part.column("slot")[0].as_py()

@@ -12,9 +12,7 @@ from tests.llm.common import frame, hard_rows
 def model():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.default_vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.default_vocabulary())
 
 
 def test_encoder_gives_the_vocabularys_ids(model):
@@ -24,6 +22,12 @@ def test_encoder_gives_the_vocabularys_ids(model):
         assert np.frombuffer(enc.ids(text), "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_themselves(model):
+    enc = packing.Encoder(packing.default_vocabulary())
+    ids = np.frombuffer(enc.ids("a <|endoftext|> b"), "<u4").tolist()
+    assert 50256 in ids and ids == model.encode("a <|endoftext|> b", add_special_tokens=False).ids
+
+
 def check(rows, got, model, limits):
     want = defaultdict(list)
     for d, t in rows:
@@ -67,6 +71,51 @@ def test_simultaneous_limits(spark, model):
     check(rows, got, model, limits)
 
 
+def test_loss_limit_binds(spark, model):
+    """Instruction data: prompts without loss, answers with it. The third limit closes sequences that have room for tokens."""
+    rows = [(i, "word " * (60 if i % 3 else 20)) for i in range(240)]
+    limits = packing.Limits(tokens=512, segments=32, loss_tokens=96, least_piece=4, slot_pieces=120)
+    df = frame(spark, rows).selectExpr("*", "if(doc_id % 3 = 0, 2, 45) as from")
+    seqs = check(rows, packing.pack(df, limits=limits, loss_from_col="from").collect(), model, limits)
+    full = [sum(r["loss_tokens"] for r in s) > 80 and sum(r["length"] for r in s) < 480 for s in seqs.values()]
+    assert sum(full) > len(full) / 2
+
+
+def test_tiny_documents_fill_sequences(spark, model):
+    rows = [(i, "word") for i in range(5000)]
+    seqs = check(rows, packing.pack(frame(spark, rows).repartition(3)).collect(), model, packing.Limits())
+    assert sum(sum(r["length"] for r in s) for s in seqs.values()) > 0.97 * 1024 * len(seqs)
+
+
+def test_repeated_rows_are_spread(spark):
+    df = frame(spark, [(1, "the same text")] * 4000, False).repartition(3)
+    got = packing.pack(df, limits=packing.Limits(slot_pieces=500)).selectExpr("pmod(sequence_id, 8) slot").groupBy("slot").count().collect()
+    assert len(got) == 8 and max(r["count"] for r in got) < 2 * 4000 * 4 / 8 and sum(r["count"] for r in got) >= 4000
+
+
+def test_placement_against_brute_force():
+    """A plain reading of the heuristic, item by item."""
+    rng = np.random.default_rng(3)
+    limits = packing.Limits(tokens=100, segments=5, loss_tokens=40)
+    for _ in range(20):
+        tokens = rng.integers(1, 60, 40)
+        loss = np.minimum(tokens, rng.integers(0, 30, 40))
+        left, want = list(range(40)), []
+        while left:
+            room, seq = np.array([100.0, 5, 40]), []
+            while True:
+                best = max(((t * room[0] / 100 / 100 + room[1] / 5 / 5 + l * room[2] / 40 / 40, -t, -l) for i in left for t, l in [(tokens[i], loss[i])] if t <= room[0] and room[1] >= 1 and l <= room[2]), default=None)
+                if best is None:
+                    break
+                size = (-best[1], -best[2])
+                left.remove(next(i for i in left if (tokens[i], loss[i]) == size))
+                seq.append(size)
+                room -= [size[0], 1, size[1]]
+            want.append(seq)
+        got = [[(tokens[i], loss[i]) for i in s] for s in packing.place(tokens, loss, limits)]
+        assert [[tuple(map(int, x)) for x in s] for s in got] == [[tuple(map(int, x)) for x in s] for s in want]
+
+
 def test_empty_table(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
