@@ -101,6 +101,42 @@ def test_pages(spark):
     assert links.judge_pages(df.limit(0)).count() == 0
 
 
+def test_hrefs(spark):
+    html = """<a href="/x"><A class=k HREF = '//b.net/q'>t</a><a data-href="http://bad.net/" href="/y"><a title="see href=http://no.net" href=mailto:me@x.org>
+    <a download href="javascript:go('a>b')"><a href=ftp://F.net/><abbr href="http://no.net/"><a name="n"><a title='a > b' href="HTTP://c.net?x://y"><a href="/r?u=http://no.net/">"""
+    df = spark.createDataFrame([(1, "http://own.org/", html), (2, "http://b.net/", "<a href='http://b.net/self'>" + "<a x='1' href=\"http://own.org/\">" * 5000), (3, None, html), (4, "http://z.org", None)], "page_id long, url string, html string")
+    assert df.filter("page_id = 1").select(links.hrefs(F.col("html"))).head()[0] == ["/x", "//b.net/q", "/y", "mailto:me@x.org", "javascript:go('a>b')", "ftp://F.net/", "HTTP://c.net?x://y", "/r?u=http://no.net/"]
+    got = {(r["src"], r["dst"]): r["n"] for r in links.host_edges(df).collect()}
+    assert got == {("own.org", "b.net"): 1, ("own.org", "f.net"): 1, ("own.org", "c.net"): 1, ("b.net", "own.org"): 5000}
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.register("pages", df.toPandas())
+    cols = "page_id, host, path, rule, verdict, trust, distrust"
+    want = duck.execute(f"select {cols} from ({links.OP9_SQL}) order by page_id").fetchall()
+    seen = links.judge_pages(df).select("page_id", "host", "path", "rule", "verdict", F.round("trust", 6), F.round("distrust", 6)).orderBy("page_id").collect()
+    assert [tuple(r) for r in seen] == want
+
+
+def test_distrust_decides_over_links(spark):
+    """Hosts that only link to a blocked host are blocked; those that trusted hosts link to more are not, nor are far ones."""
+    page = lambda *to: "".join(f"<a href='http://{h}/'>" for h in to)
+    rows = [(1, "http://bad.net/de/1", ""), (2, "http://fan.org/x", page("bad.net") + "<a href='/own'>" * 50), (3, "http://friend.org/x", page("bad.net", "good.org")), (4, "http://example.com/en/7", page("friend.org")), (5, "http://far.org/", page("fan.org")), (6, "http://calm.org/", page("good.org")), (7, "http://good.org/", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    by = {r["page_id"]: r for r in links.judge_pages(df).collect()}
+    assert by[2]["verdict"] == "block" and by[2]["rule"] is None
+    assert by[3]["trust"] > by[3]["distrust"] > links.SPREAD and by[3]["verdict"] == "allow"
+    assert by[6]["verdict"] == by[7]["verdict"] == "allow" and by[5]["distrust"] < by[2]["distrust"]
+
+
+def test_rule_ties_and_long_pages(spark):
+    rules = (("block", "a.com/x"), ("allow", "b.com/x"), ("allow", "a.com/x"))
+    rows = [(1, "http://a.com/xy", "<p>" + "word " * 300_000 + "<a href='http://b.com/'>"), (2, "http://b.com/x?" + "q" * 100_000, None), (3, "HTTP://B.com/#f/x", ""), (4, "://host/p", ""), (5, "x://", "")]
+    by = {r["page_id"]: r for r in links.judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    assert (by[1]["verdict"], by[1]["rule"]) == ("block", "a.com/x")  # of equal rules the one given first
+    assert by[2]["verdict"] == "allow" and by[3]["path"] == "/" and by[3]["rule"] is None and by[4]["host"] == "host" and by[5]["host"] == ""
+
+
 def test_propagation_against_power_iteration(spark):
     edges = [("a", "b", 2), ("b", "c", 1), ("c", "a", 1), ("a", "c", 1), ("d", "a", 1)]
     seeds = [("a", 1.0, 0.0), ("b", 0.0, 0.5), ("d", 0.0, 0.0)]
@@ -112,9 +148,9 @@ def test_propagation_against_power_iteration(spark):
             a, b = (s, d) if kind == 0 else (d, s)
             m[hosts.index(b), hosts.index(a)] += n
         for j in range(4):
-            m[:, j] = m[:, j] / m[:, j].sum() if m[:, j].sum() else np.eye(4)[j]
+            m[:, j] = m[:, j] / (m[:, j].sum() or 1)
         start = np.array([dict((h, (t, b)) for h, t, b in seeds).get(h, (0, 0))[kind] for h in hosts])
         p = start.copy()
         for _ in range(links.ROUNDS):
-            p = (1 - links.DAMPING) * start + links.DAMPING * m @ p
+            p = start + links.DAMPING * m @ p
         np.testing.assert_allclose([got[h][kind] for h in hosts], p, atol=1e-12)
