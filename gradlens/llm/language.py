@@ -22,6 +22,8 @@ GRAM = 3
 #: Letters are told apart by their code point modulo this; 0 stands for what is between words.
 ALPHABET = 509
 SEED = 20240229
+#: Distinct n-grams that a partition counts before it bundles them.
+HELD = 200_000
 UNKNOWN = "und"
 
 
@@ -29,7 +31,7 @@ UNKNOWN = "und"
 def _letters() -> np.ndarray:
     """Index of each code point: 0 where it is no letter."""
     out = np.zeros(0x110000, np.int32)
-    for cp in range(0x30000):
+    for cp in range(0x110000):
         if chr(cp).isalpha():
             out[cp] = 1 + cp % ALPHABET
     return out
@@ -90,6 +92,15 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, dict[int, int]] = {}
+        totals: dict[str, np.ndarray] = {}
+
+        def bundle(lang: str) -> None:
+            own = sums.pop(lang)
+            codes, n = np.array(list(own), np.int64), np.array(list(own.values()), np.float32)
+            total = totals.setdefault(lang, np.zeros(DIM))
+            for at in range(0, len(codes), 8192):
+                total += n[at : at + 8192] @ gram_vectors(codes[at : at + 8192])
+
         for batch in batches:
             by: dict[str, list[str]] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -101,11 +112,11 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
                     own = sums.setdefault(lang, {})
                     for c, k in zip(codes.tolist(), n.tolist()):
                         own[c] = own.get(c, 0) + k
-        for lang, own in sums.items():
-            total = np.zeros(DIM)
-            codes, n = np.array(list(own), np.int64), np.array(list(own.values()), np.float32)
-            for at in range(0, len(codes), 8192):
-                total += n[at : at + 8192] @ gram_vectors(codes[at : at + 8192])
+                    if len(own) > HELD:
+                        bundle(lang)
+        for lang in list(sums):
+            bundle(lang)
+        for lang, total in totals.items():
             yield pa.record_batch([pa.array([lang]), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["lang", "v"])
 
     parts = docs.selectExpr(f"cast(`{text_col}` as string) text", f"cast(`{lang_col}` as string) lang").mapInArrow(run, "lang string, v array<double>")
@@ -150,5 +161,3 @@ def op7_hyperdimensional_language(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = fit(docs.filter((fold("doc_id", 4) != 2) & F.col("lang").isNotNull()))
     return predict(docs, profiles).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
-
-

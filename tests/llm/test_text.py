@@ -58,6 +58,51 @@ def test_languages(spark):
     np.testing.assert_allclose(language._bundles(["Ab c"])[0], v.sum(0))
 
 
+def plain_vector(text):
+    """A text's vector by the definition: letters' vectors, rotated, multiplied and summed, one n-gram after another."""
+    base = np.random.default_rng(language.SEED).integers(0, 2, (language.ALPHABET + 1, language.DIM), dtype=np.int8) * 2 - 1
+    letters = [1 + ord(c) % language.ALPHABET if c.isalpha() else 0 for c in f" {text.lower()} "]
+    letters = [c for i, c in enumerate(letters) if c or not i or letters[i - 1]]
+    out = np.zeros(language.DIM)
+    for i in range(len(letters) - 2):
+        a, b, c = letters[i : i + 3]
+        out += np.roll(base[a], 2).astype(int) * np.roll(base[b], 1) * base[c]
+    return out if any(letters) else 0 * out
+
+
+def test_languages_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(language, "HELD", 50)
+    rows = [(d, t if t is None else t[:2000], "abc"[i % 3] if i % 5 else None) for i, (d, t) in enumerate(hard_rows(9)) if d != 8]
+    rows += [(200, chr(0x30000) * 9 + " " + chr(0x31350), "z"), (201, "word " * 50_000, "a"), (200, chr(0x30000) * 9, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language.fit(df)
+    want = {k: sum(plain_vector(t) for _, t, x in rows if x == k and t) for k in {x for _, _, x in rows if x}}
+    assert set(model) == set(want)
+    for k, v in want.items():
+        np.testing.assert_allclose(model[k], v, atol=1e-3)
+    got = Counter((r["doc_id"], r["lang_pred"], round(r["score"], 4)) for r in language.predict(df, model).collect())
+    plain = Counter()
+    for d, t, _ in rows:
+        v = plain_vector(t or "")
+        if not v.any():
+            plain[d, "und", 0.0] += 1
+            continue
+        cos = {k: v @ want[k] / np.linalg.norm(v) / np.linalg.norm(want[k]) for k in sorted(want)}
+        best = max(cos, key=cos.get)
+        plain[d, best, round(float(min(1, max(0, cos[best]))), 4)] += 1
+    assert got == plain and plain[200, "z", 1.0] + plain[200, "und", 0.0] < 3 and (200, "und", 0.0) not in plain
+
+
+def test_held_out_languages(spark):
+    import os
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no benchmark tables")
+    got = language.op7_hyperdimensional_language(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(got) > 150 and sum(r["lang"] == r["lang_pred"] for r in got) > 0.97 * len(got)
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo"), (1, 3, "ann", None), (1, 70, None, "late"), (2, 0, "system", "only"), (None, 0, "x", "null conv"), (1, 1, "ann", "hi"), (1, None, "bob", "unnumbered")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 block", "2 perspective", "3 spans")
