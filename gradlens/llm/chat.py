@@ -3,11 +3,14 @@
 Each dialogue is rendered once for every participant: that speaker becomes the assistant, the others become users with
 their names, system turns stay. The mask covers what the assistant has to say: its texts and their end marks.
 DataFrame functions only.
+
+Whole texts are shuffled once, into chunks of neighbouring turns. Which perspectives a chunk is rendered for, and where each
+rendering starts, is found out on narrow rows (numbers and names), and joined to the chunks where they lie.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradlens.llm._common import table
@@ -17,35 +20,101 @@ SYSTEM = "system"
 UNNAMED = "unknown"
 #: Turn numbers that one output row holds; a longer dialogue goes on in further rows.
 BLOCK = 64
+#: Rows of one turn number from which on that turn is cut into rows of its own.
+HOT = 64
+#: Chunks whose lengths are added up in one window.
+STRIDE = 1024
+_CHUNK = ("ck", "cn", "block", "seg", "sub", "piece")
+
+
+def escaped(x: Column) -> Column:
+    """Without a mark: a text cannot open or close a turn."""
+    return F.replace(x, F.lit("<|"), F.lit("< |"))
+
+
+def _head(role: Column, own: Column) -> Column:
+    name = F.translate(escaped(role), "\n\r", "  ")
+    return F.when(own, F.lit(f"{START}assistant\n")).when(role == SYSTEM, F.lit(f"{START}system\n")).otherwise(F.concat(F.lit(f"{START}user name="), name, F.lit("\n")))
 
 
-def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per dialogue, participant and block of turn numbers.
+def _chunks(rows: DataFrame, hot: int, block: int) -> DataFrame:
+    """rows with the chunk that each belongs to (seg, sub, piece) and the number of its copies there (n).
 
-    conv_id, perspective, block, n_turns, start (of the block in the whole rendering), text, spans (array of
+    Chunks of a block: 0, or, if a turn number comes more than `hot` times, the turns before it, that turn by ranges of the
+    rows' key, the turns after it. A row that is repeated more than `hot` times goes on in further pieces.
+    """
+    often = rows.groupBy("ck", "cn", "block", "turn").agg(F.count("*").alias("c")).filter(F.col("c") > hot)
+    if often.isEmpty():
+        return rows.select("*", *(F.lit(0).cast("long").alias(c) for c in ("seg", "sub", "piece")), F.lit(1).cast("long").alias("n"))
+    single = rows.groupBy("ck", "cn", "block", "turn", "role", "key", "text").agg(F.first("conv_id").alias("conv_id"), F.count("*").alias("n"))
+    crowds = often.groupBy("ck", "cn", "block").agg(F.collect_list(F.struct("turn", "c")).alias("hot"))  # at most `block` turns
+    both = single.join(crowds, ["ck", "cn", "block"], "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<struct<turn:bigint,c:bigint>>")))
+    before = F.size(F.filter("hot", lambda x: F.coalesce(x["turn"] < F.col("turn"), x["turn"].isNull() & F.col("turn").isNotNull())))
+    own = F.get(F.filter("hot", lambda x: x["turn"].eqNullSafe(F.col("turn"))), F.lit(0))["c"]
+    place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
+    parts = both.withColumn("own", own).select("*", (2 * before + F.col("own").isNotNull().cast("int")).cast("long").alias("seg"), F.coalesce(F.shiftright(place * F.ceil(F.col("own") / hot), 32), F.lit(0)).cast("long").alias("sub"))
+    pieces = parts.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / hot))))
+    return pieces.withColumn("n", F.least(F.lit(hot).cast("long"), F.col("n") - F.col("piece") * hot)).drop("hot", "own")
+
+
+def _before(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """by, order, and the sum of `value` of the rows of the same `by` that come earlier."""
+    sums = rows.groupBy(*by, *order).agg(F.sum(value).alias("s"))
+    window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*by, *order, F.coalesce(F.sum("s").over(window), F.lit(0)).alias("b"))
+
+
+def _starts(chunks: DataFrame, speakers: DataFrame) -> DataFrame:
+    """Chunk, perspective, start of the rendering: from the lengths of heads and texts alone.
+
+    Lengths are added up in two steps, by stretches of a dialogue and within each, so no window holds a whole long dialogue.
+    """
+    size = F.length(_head(F.col("role"), F.lit(False))) + F.length(escaped(F.col("text"))) + len(END)
+    by_role = chunks.groupBy(*_CHUNK, "role").agg(F.sum("n").alias("own"), F.sum(F.col("n") * size).alias("size"))
+    whole = by_role.groupBy(*_CHUNK).agg(F.sum("size").alias("size")).join(speakers, ["ck", "cn"])
+    gain = len(f"{START}assistant\n") - F.length(_head(F.col("role"), F.lit(False)))
+    mine = by_role.filter(F.col("role") != SYSTEM).select(*_CHUNK, F.col("role").alias("perspective"), (F.col("own") * gain).alias("gain"))
+    lengths = whole.join(mine, [*_CHUNK, "perspective"], "left").withColumn("size", F.col("size") + F.coalesce("gain", F.lit(0)))
+    lengths = lengths.select(*_CHUNK, "perspective", "size", F.floor(F.col("block") / STRIDE).alias("far"), F.floor(F.col("sub") / STRIDE).alias("near"))
+    one = ["ck", "cn", "perspective"]
+    far = _before(lengths, one, ["far"], "size").withColumnRenamed("b", "b1")
+    near = _before(lengths, [*one, "far"], ["block", "seg", "near"], "size").withColumnRenamed("b", "b2")
+    last = _before(lengths, [*one, "far", "block", "seg", "near"], ["sub", "piece"], "size").withColumnRenamed("b", "b3")
+    added = last.join(near, [*one, "far", "block", "seg", "near"]).join(far, [*one, "far"])
+    return added.select(*_CHUNK, "perspective", (F.col("b1") + F.col("b2") + F.col("b3")).cast("long").alias("start"))
+
+
+def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = BLOCK, hot: int = HOT) -> DataFrame:
+    """One row per dialogue, participant and chunk of turns (`block` turn numbers).
+
+    conv_id, perspective, block, n_turns, start (of the chunk in the whole rendering), text, spans (array of
     struct<from, to>: masked characters of text).
 
     A null role is the speaker "unknown", a null text is empty, a null turn number stands first (block -1). Turns with
-    the same number are ordered by role and text; repeated rows are rendered as often as they come. Rows without conv_id
-    are one dialogue. A dialogue of system turns only has no participant and gives no row, nor does an empty table.
-    Other columns are not read. A task holds `block` turn numbers of a dialogue at a time, not the dialogue.
+    the same number are ordered by the MD5 of role and text; repeated rows are rendered as often as they come. A turn
+    number that comes more than `hot` times is cut into chunks by ranges of that MD5, so no row grows with it; copies of
+    one row beyond `hot` then follow the rest of their range. "<|" in a text or name becomes "< |", and line ends in a
+    name spaces, so that none can forge a turn. Rows without conv_id are one dialogue. A dialogue of system turns only
+    has no participant and gives no row, nor does an empty table. Other columns are not read.
     """
+    conv, role, text = F.col(conv_col), F.coalesce(F.col(role_col).cast("string"), F.lit(UNNAMED)), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = turns.select(
-        F.col(conv_col).alias("conv_id"),
+        conv.alias("conv_id"),
+        F.coalesce(conv.cast("string"), F.lit("")).alias("ck"),
+        conv.isNull().alias("cn"),
         F.coalesce(F.floor(F.col(turn_col) / block), F.lit(-1)).cast("long").alias("block"),
         F.col(turn_col).cast("long").alias("turn"),
-        F.coalesce(F.col(role_col).cast("string"), F.lit(UNNAMED)).alias("role"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        role.alias("role"),
+        text.alias("text"),
+        F.md5(F.concat(role, F.lit("\n"), text)).alias("key"),
     )
-    blocks = rows.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    speakers = rows.filter(F.col("role") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()
-    both = blocks.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
-
-    def head(x):
-        own = x["role"] == F.col("perspective")
-        return F.when(own, F.lit(f"{START}assistant\n")).when(x["role"] == SYSTEM, F.lit(f"{START}system\n")).otherwise(F.concat(F.lit(f"{START}user name="), x["role"], F.lit("\n")))
-
-    parts = F.transform("t", lambda x: F.struct(F.concat(head(x), x["text"], F.lit(END)).alias("s"), F.length(head(x)).alias("h"), (x["role"] == F.col("perspective")).alias("own")))
+    chunks = _chunks(rows, hot, block)
+    speakers = rows.filter(F.col("role") != SYSTEM).select("ck", "cn", F.col("role").alias("perspective")).distinct()
+    whole = chunks.groupBy(*_CHUNK).agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("turn", "key", "role", "text", "n"))).alias("t"))
+    whole = whole.withColumn("t", F.when(F.exists("t", lambda x: x["n"] > 1), F.flatten(F.transform("t", lambda x: F.array_repeat(x, x["n"].cast("int"))))).otherwise(F.col("t")))
+    both = whole.join(_starts(chunks, speakers), list(_CHUNK))
+    head = lambda x: _head(x["role"], x["role"] == F.col("perspective"))
+    parts = F.transform("t", lambda x: F.struct(F.concat(head(x), escaped(x["text"]), F.lit(END)).alias("s"), F.length(head(x)).alias("h"), (x["role"] == F.col("perspective")).alias("own")))
     both = both.withColumn("p", parts).withColumn("text", F.array_join(F.col("p.s"), "")).drop("t")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<from:int,to:int>>").alias("spans"))
 
@@ -55,8 +124,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         return F.struct(end.alias("at"), F.when(x["own"], F.concat(acc["spans"], own)).otherwise(acc["spans"]).alias("spans"))
 
     spans = F.aggregate("p", zero, step, lambda acc: acc["spans"])
-    before = Window.partitionBy("conv_id", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return both.select("conv_id", "perspective", "block", F.size("p").alias("n_turns"), F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)).cast("long").alias("start"), "text", spans.alias("spans"))
+    return both.select("conv_id", "perspective", "block", F.size("p").alias("n_turns"), "start", "text", spans.alias("spans"))
 
 
 def op3_perspective_rotation(spark, sf_dir: str) -> DataFrame:
@@ -69,25 +137,25 @@ def op3_perspective_rotation(spark, sf_dir: str) -> DataFrame:
 OP3_SQL = """
 WITH rows_ AS (
   SELECT conv_id, turn, coalesce(turn // 64, -1) AS block, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         row_number() OVER () AS rid
+         md5(coalesce(role, 'unknown') || chr(10) || coalesce(text, '')) AS key, row_number() OVER () AS rid
   FROM conversations),
 speakers AS (SELECT DISTINCT conv_id AS c, role AS perspective FROM rows_ WHERE role <> 'system'),
 seg AS (
-  SELECT conv_id, perspective, block, turn, r.role, text, rid, r.role = perspective AS own,
+  SELECT conv_id, perspective, block, turn, key, replace(text, '<|', '< |') AS text, rid, r.role = perspective AS own,
          CASE WHEN r.role = perspective THEN '<|im_start|>assistant' || chr(10)
               WHEN r.role = 'system' THEN '<|im_start|>system' || chr(10)
-              ELSE '<|im_start|>user name=' || r.role || chr(10) END AS head
+              ELSE '<|im_start|>user name=' || translate(replace(r.role, '<|', '< |'), chr(10) || chr(13), '  ') || chr(10) END AS head
   FROM rows_ r JOIN speakers ON conv_id IS NOT DISTINCT FROM c),
 laid AS (
   SELECT *, head || text || '<|im_end|>' || chr(10) AS s,
          coalesce(sum(length(head || text || '<|im_end|>' || chr(10))) OVER (
-           PARTITION BY conv_id, perspective, block ORDER BY turn NULLS FIRST, role, text, rid
+           PARTITION BY conv_id, perspective, block ORDER BY turn NULLS FIRST, key, rid
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
   FROM seg),
 blocks AS (
   SELECT conv_id, perspective, block, count(*) AS n_turns,
-         string_agg(s, '' ORDER BY turn NULLS FIRST, role, text, rid) AS text,
-         coalesce(string_agg((pos + length(head)) || ':' || (pos + length(s)), ',' ORDER BY turn NULLS FIRST, role, text, rid) FILTER (WHERE own), '') AS mask_spans,
+         string_agg(s, '' ORDER BY turn NULLS FIRST, key, rid) AS text,
+         coalesce(string_agg((pos + length(head)) || ':' || (pos + length(s)), ',' ORDER BY turn NULLS FIRST, key, rid) FILTER (WHERE own), '') AS mask_spans,
          coalesce(sum(length(s) - length(head)) FILTER (WHERE own), 0)::BIGINT AS n_masked
   FROM laid GROUP BY ALL)
 SELECT conv_id, perspective, block, n_turns,
