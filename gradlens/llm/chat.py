@@ -24,7 +24,6 @@ BLOCK = 64
 HOT = 64
 #: Chunks whose lengths are added up in one window.
 STRIDE = 1024
-_CHUNK = ("ck", "cn", "block", "seg", "sub", "piece")
 
 
 def escaped(x: Column) -> Column:
@@ -37,15 +36,15 @@ def _head(role: Column, own: Column) -> Column:
     return F.when(own, F.lit(f"{START}assistant\n")).when(role == SYSTEM, F.lit(f"{START}system\n")).otherwise(F.concat(F.lit(f"{START}user name="), name, F.lit("\n")))
 
 
-def _chunks(rows: DataFrame, hot: int, block: int) -> DataFrame:
-    """rows with the chunk that each belongs to (seg, sub, piece) and the number of its copies there (n).
+def _chunks(rows: DataFrame, hot: int) -> tuple[DataFrame, list[str]]:
+    """rows with the chunk that each belongs to and the number of its copies there (n); the chunks' key.
 
-    Chunks of a block: 0, or, if a turn number comes more than `hot` times, the turns before it, that turn by ranges of the
-    rows' key, the turns after it. A row that is repeated more than `hot` times goes on in further pieces.
+    A block is a chunk, unless a turn number comes more than `hot` times: then the turns before it, that turn by ranges of
+    the rows' key and the turns after it are. A row that is repeated more than `hot` times goes on in further pieces.
     """
     often = rows.groupBy("ck", "cn", "block", "turn").agg(F.count("*").alias("c")).filter(F.col("c") > hot)
     if often.isEmpty():
-        return rows.select("*", *(F.lit(0).cast("long").alias(c) for c in ("seg", "sub", "piece")), F.lit(1).cast("long").alias("n"))
+        return rows.withColumn("n", F.lit(1).cast("long")), ["ck", "cn", "block"]
     single = rows.groupBy("ck", "cn", "block", "turn", "role", "key", "text").agg(F.first("conv_id").alias("conv_id"), F.count("*").alias("n"))
     crowds = often.groupBy("ck", "cn", "block").agg(F.collect_list(F.struct("turn", "c")).alias("hot"))  # at most `block` turns
     both = single.join(crowds, ["ck", "cn", "block"], "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<struct<turn:bigint,c:bigint>>")))
@@ -54,34 +53,26 @@ def _chunks(rows: DataFrame, hot: int, block: int) -> DataFrame:
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     parts = both.withColumn("own", own).select("*", (2 * before + F.col("own").isNotNull().cast("int")).cast("long").alias("seg"), F.coalesce(F.shiftright(place * F.ceil(F.col("own") / hot), 32), F.lit(0)).cast("long").alias("sub"))
     pieces = parts.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / hot))))
-    return pieces.withColumn("n", F.least(F.lit(hot).cast("long"), F.col("n") - F.col("piece") * hot)).drop("hot", "own")
+    return pieces.withColumn("n", F.least(F.lit(hot).cast("long"), F.col("n") - F.col("piece") * hot)).drop("hot", "own"), ["ck", "cn", "block", "seg", "sub", "piece"]
 
 
-def _before(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
-    """by, order, and the sum of `value` of the rows of the same `by` that come earlier."""
-    sums = rows.groupBy(*by, *order).agg(F.sum(value).alias("s"))
-    window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select(*by, *order, F.coalesce(F.sum("s").over(window), F.lit(0)).alias("b"))
-
-
-def _starts(chunks: DataFrame, speakers: DataFrame) -> DataFrame:
+def _starts(chunks: DataFrame, chunk: list[str], speakers: DataFrame) -> DataFrame:
     """Chunk, perspective, start of the rendering: from the lengths of heads and texts alone.
 
     Lengths are added up in two steps, by stretches of a dialogue and within each, so no window holds a whole long dialogue.
     """
     size = F.length(_head(F.col("role"), F.lit(False))) + F.length(escaped(F.col("text"))) + len(END)
-    by_role = chunks.groupBy(*_CHUNK, "role").agg(F.sum("n").alias("own"), F.sum(F.col("n") * size).alias("size"))
-    whole = by_role.groupBy(*_CHUNK).agg(F.sum("size").alias("size")).join(speakers, ["ck", "cn"])
+    by_role = chunks.groupBy(*chunk, "role").agg(F.sum("n").alias("own"), F.sum(F.col("n") * size).alias("size"))
+    whole = by_role.groupBy(*chunk).agg(F.sum("size").alias("size")).join(speakers, ["ck", "cn"])
     gain = len(f"{START}assistant\n") - F.length(_head(F.col("role"), F.lit(False)))
-    mine = by_role.filter(F.col("role") != SYSTEM).select(*_CHUNK, F.col("role").alias("perspective"), (F.col("own") * gain).alias("gain"))
-    lengths = whole.join(mine, [*_CHUNK, "perspective"], "left").withColumn("size", F.col("size") + F.coalesce("gain", F.lit(0)))
-    lengths = lengths.select(*_CHUNK, "perspective", "size", F.floor(F.col("block") / STRIDE).alias("far"), F.floor(F.col("sub") / STRIDE).alias("near"))
+    mine = by_role.filter(F.col("role") != SYSTEM).select(*chunk, F.col("role").alias("perspective"), (F.col("own") * gain).alias("gain"))
+    lengths = whole.join(mine, [*chunk, "perspective"], "left").withColumn("size", F.col("size") + F.coalesce("gain", F.lit(0)))
+    far = F.struct("block", "seg", F.floor(F.col("sub") / STRIDE)) if "sub" in chunk else F.floor(F.col("block") / STRIDE)
+    before = lambda value, by, order: F.coalesce(F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     one = ["ck", "cn", "perspective"]
-    far = _before(lengths, one, ["far"], "size").withColumnRenamed("b", "b1")
-    near = _before(lengths, [*one, "far"], ["block", "seg", "near"], "size").withColumnRenamed("b", "b2")
-    last = _before(lengths, [*one, "far", "block", "seg", "near"], ["sub", "piece"], "size").withColumnRenamed("b", "b3")
-    added = last.join(near, [*one, "far", "block", "seg", "near"]).join(far, [*one, "far"])
-    return added.select(*_CHUNK, "perspective", (F.col("b1") + F.col("b2") + F.col("b3")).cast("long").alias("start"))
+    inner = lengths.withColumn("far", far).withColumn("b", before("size", [*one, "far"], chunk[2:]))
+    outer = inner.groupBy(*one, "far").agg(F.max(F.col("b") + F.col("size")).alias("size")).withColumn("a", before("size", one, ["far"])).drop("size")
+    return inner.join(outer, [*one, "far"]).select(*chunk, "perspective", (F.col("a") + F.col("b")).cast("long").alias("start"))
 
 
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = BLOCK, hot: int = HOT) -> DataFrame:
@@ -108,11 +99,11 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         text.alias("text"),
         F.md5(F.concat(role, F.lit("\n"), text)).alias("key"),
     )
-    chunks = _chunks(rows, hot, block)
+    chunks, chunk = _chunks(rows, hot)
     speakers = rows.filter(F.col("role") != SYSTEM).select("ck", "cn", F.col("role").alias("perspective")).distinct()
-    whole = chunks.groupBy(*_CHUNK).agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("turn", "key", "role", "text", "n"))).alias("t"))
+    whole = chunks.groupBy(*chunk).agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("turn", "key", "role", "text", "n"))).alias("t"))
     whole = whole.withColumn("t", F.when(F.exists("t", lambda x: x["n"] > 1), F.flatten(F.transform("t", lambda x: F.array_repeat(x, x["n"].cast("int"))))).otherwise(F.col("t")))
-    both = whole.join(_starts(chunks, speakers), list(_CHUNK))
+    both = whole.join(_starts(chunks, chunk, speakers), chunk)
     head = lambda x: _head(x["role"], x["role"] == F.col("perspective"))
     parts = F.transform("t", lambda x: F.struct(F.concat(head(x), escaped(x["text"]), F.lit(END)).alias("s"), F.length(head(x)).alias("h"), (x["role"] == F.col("perspective")).alias("own")))
     both = both.withColumn("p", parts).withColumn("text", F.array_join(F.col("p.s"), "")).drop("t")
