@@ -1,11 +1,13 @@
 """Exact dedup by a tree merge of sorted digest runs.
 
-Every input partition turns its texts into one run of (digest, identifier, count) entries, sorted and with equal
-digests merged. The digest space is cut into ranges, and per range the runs meet in rounds of a binomial tree: in round
-r, run number x goes to x // FAN**r, where the sorted runs are merged and of equal digests only the retained
-identifier and the sum of counts live on. After log(runs) rounds each range has a single run. A digest thus never
-brings more than FAN entries per round to one task, however many copies its text has, and ranges keep the last rounds
-parallel. Identity is verified at each level: entries merge only if SHA-256, length and an independent 64-bit hash agree.
+A run is a sorted block of (digest, size, other hash, identifier, count) entries, 64 bytes each, in which no identity comes
+twice. Every partition turns its texts into runs of up to RUN_ENTRIES rows and deals them to FAN ** rounds run numbers.
+Then runs are exchanged in rounds of a binomial tree with log2(FAN) levels a round: in round r the runs x with the same
+x // FAN ** r meet, but each only with its share of the digest space, cut into FAN ** r ranges. So there are as many tasks'
+worth of work in the last round as in the first, and a task holds about as much as one run. What meets is merged as
+sorted runs are, several at once, and of equal identities only the retained identifier and the sum of counts live on:
+a digest brings at most FAN entries a round to a merge, however many copies its text has. Identity is verified at each
+level: entries merge only if SHA-256, length and an independent 64-bit hash agree.
 """
 
 from __future__ import annotations
@@ -15,15 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from gradlens.llm._common import table
 
-#: Runs that one merge takes in: log2(FAN) binomial rounds done as one multiway merge.
+#: Runs that one merge takes in.
 FAN = 16
-_RUN = "slot long, run long, digest binary, size long, other long, best_id long, n long"
+#: Rows that make a run, at most.
+RUN_ENTRIES = 65_536
+#: Stands for a null identifier: never retained where there is another.
+_NO_ID = -(2**63)
+_ENTRY = np.dtype([("digest", "<u8", 4), ("size", "<i8"), ("other", "<i8"), ("best", "<i8"), ("n", "<i8")])
+_RUNS = "slot long, run long, entries binary"
+_FOUND = "digest binary, size long, other long, keep_id long, group_size long"
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,84 +40,110 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("size"), F.xxhash64(text).alias("other"))
 
 
-def _entries(batch: pa.RecordBatch) -> list:
-    return [batch.column(c) for c in ("digest", "size", "other", "best_id", "n")]
+def _order(e: np.ndarray) -> np.ndarray:
+    """Stable order by identity. On sorted runs one after another the sort by the leading 64 bits is a merge of the runs."""
+    lead = e["digest"][:, 0].copy()
+    order = np.argsort(lead, kind="stable")
+    s = e[order]
+    tie = np.flatnonzero(lead[order[1:]] == lead[order[:-1]])
+    if len(tie) and (s["digest"][tie] != s["digest"][tie + 1]).any() | (s["size"][tie] != s["size"][tie + 1]).any() | (s["other"][tie] != s["other"][tie + 1]).any():
+        return np.lexsort((e["other"], e["size"], *(e["digest"][:, k] for k in (3, 2, 1, 0))))
+    return order
+
+
+def merged(parts: list[np.ndarray], largest: bool) -> np.ndarray:
+    """One sorted run from several: of equal identities the retained identifier and the sum of counts."""
+    e = parts[0] if len(parts) == 1 else np.concatenate(parts)
+    if not len(e):
+        return e
+    e = e[_order(e)]
+    new = np.ones(len(e), bool)
+    new[1:] = (e["digest"][1:] != e["digest"][:-1]).any(1) | (e["size"][1:] != e["size"][:-1]) | (e["other"][1:] != e["other"][:-1])
+    at = np.flatnonzero(new)
+    best = e["best"] if largest else np.where(e["best"] == _NO_ID, 2**63 - 1, e["best"])
+    best = (np.maximum if largest else np.minimum).reduceat(best, at)
+    out = e[at].copy()
+    out["best"] = best if largest else np.where(best == 2**63 - 1, _NO_ID, best)
+    out["n"] = np.add.reduceat(e["n"], at)
+    return out
 
 
-def _merge(digest, size, other, best, n, largest: bool):
-    """Merges entries that are equal in all of digest, size and other; sorted by them. best: null stands last in either order."""
-    sentinel = -(2**63) if largest else 2**63 - 1
-    key = np.frombuffer(b"".join(digest), dtype=">u8").reshape(-1, 4)
-    b = np.array([sentinel if x is None else x for x in best], np.int64)
-    size, other, n = (np.asarray(x, np.int64) for x in (size, other, n))
-    order = np.lexsort((other, size, key[:, 3], key[:, 2], key[:, 1], key[:, 0]))
-    k, s, o = key[order], size[order], other[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (k[1:] != k[:-1]).any(1) | (s[1:] != s[:-1]) | (o[1:] != o[:-1])
-    at = np.flatnonzero(new)
-    pick = np.maximum if largest else np.minimum
-    best_out = pick.reduceat(b[order], at)
-    return [digest[i] for i in order[at]], s[at], o[at], [None if x == sentinel else int(x) for x in best_out], np.add.reduceat(n[order], at)
+def _dealt(run: np.ndarray, number: int, slots: int, fan: int) -> Iterator[tuple[int, int, bytes]]:
+    """(slot, run number of the next round, entries) of a sorted run, cut where the digest space is."""
+    high = (run["digest"][:, 0] >> np.uint64(32)).astype(np.int64)
+    cuts = np.searchsorted(high, [-(-(k << 32) // slots) for k in range(1, slots)]) if slots <= 4096 else None
+    if cuts is None:  # more ranges than a run has entries, perhaps: look at the entries instead
+        slot = high * slots >> 32
+        heads = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.empty(0, np.int64)
+        for a, b in zip(heads, np.append(heads[1:], len(slot))):
+            yield int(slot[a]), number // fan, run[a:b].tobytes()
+        return
+    for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(run)])):
+        if b > a:
+            yield k, number // fan, run[a:b].tobytes()
 
 
-def _batch(slot, run, digest, size, other, best, n) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(slot, pa.int64()), pa.array(run, pa.int64()), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(other, pa.int64()), pa.array(best, pa.int64()), pa.array(n, pa.int64())], names=["slot", "run", "digest", "size", "other", "best_id", "n"])
+def _rows(dealt) -> pa.Table:
+    cols = list(zip(*dealt)) or [[], [], []]
+    return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()))], names=["slot", "run", "entries"])
 
 
-def first_runs(rows: DataFrame, slots: int, largest: bool) -> DataFrame:
-    """A sorted run per input partition, merged batch by batch; slot: the range of the digest."""
+def first_runs(rows: DataFrame, runs: int, largest: bool, fan: int = FAN, size: int = RUN_ENTRIES) -> DataFrame:
+    """The partitions' sorted runs, dealt for the first round. rows: as digests gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId()
+        part, number, held, many = TaskContext.get().partitionId(), 0, [], 0
+
+        def give() -> Iterator[pa.RecordBatch]:
+            yield from _rows(_dealt(merged(held, largest), (part + number * 7919) % runs, fan, fan)).to_batches()
+
         for batch in batches:
-            if batch.num_rows:
-                ids = batch.column("doc_id").to_pylist()
-                merged = _merge(batch.column("digest").to_pylist(), batch.column("size").to_numpy(), batch.column("other").to_numpy(), ids, np.ones(len(ids), np.int64), largest)
-                first = np.array([int.from_bytes(d[:4], "big") for d in merged[0]], np.int64)
-                yield _batch(first * slots >> 32, np.full(len(first), number), *merged)
+            e = np.empty(batch.num_rows, _ENTRY)
+            e["digest"] = np.frombuffer(b"".join(batch.column("digest").to_pylist()), ">u8").reshape(-1, 4)
+            e["size"], e["other"], e["n"] = batch.column("size").to_numpy(), batch.column("other").to_numpy(), 1
+            e["best"] = batch.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+            for a in range(0, len(e), size):
+                held.append(e[a : a + size])
+                many += len(held[-1])
+                if many >= size:
+                    yield from give()
+                    number, held, many = number + 1, [], 0
+        if held:
+            yield from give()
 
-    return rows.mapInArrow(run, _RUN)
+    return rows.mapInArrow(run, _RUNS)
 
 
-def merge_round(runs: DataFrame, tasks: int, fan: int, largest: bool) -> DataFrame:
-    """One round: the runs x with the same x // fan meet, sorted, and are merged as a stream; equal entries are neighbours."""
-    dealt = runs.withColumn("run", F.expr(f"run div {fan}")).repartition(tasks, "slot", "run").sortWithinPartitions("slot", "run", "digest", "size", "other")
+def merge_round(runs: DataFrame, slots: int, largest: bool, fan: int = FAN) -> DataFrame:
+    """The runs that meet in a slot are merged into one, and dealt for the next round, which has `slots` ranges (0: it was the last)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list | None = None  # the open entry: equal ones may go on in the next batch
-        for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("slot", "run", "digest", "size", "other", "best_id", "n"))))
-            out = []
-            for r in rows:
-                if held is not None and held[:5] == list(r[:5]):
-                    if held[5] is None or r[5] is not None and (r[5] > held[5] if largest else r[5] < held[5]):
-                        held[5] = r[5]
-                    held[6] += r[6]
-                else:
-                    if held is not None:
-                        out.append(held)
-                    held = list(r)
-            if out:
-                yield _batch(*zip(*out))
-        if held is not None:
-            yield _batch(*zip(*[held]))
-
-    return dealt.mapInArrow(run, _RUN)
-
-
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", fan: int = FAN) -> DataFrame:
+    def run(key, part):
+        out = merged([np.frombuffer(b, _ENTRY) for b in part.column("entries").to_pylist()], largest)
+        return _rows(_dealt(out, key[1].as_py(), slots, fan) if slots else [(key[0].as_py(), 0, out.tobytes())])
+
+    return runs.groupBy("slot", "run").applyInArrow(run, _RUNS)
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column("entries").to_pylist():
+            e = np.frombuffer(blob, _ENTRY)
+            best = pa.array(e["best"], pa.int64(), mask=e["best"] == _NO_ID)
+            digest = pa.Array.from_buffers(pa.binary(32), len(e), [None, pa.py_buffer(e["digest"].astype(">u8").tobytes())]).cast(pa.binary())
+            yield pa.record_batch([digest, pa.array(e["size"]), pa.array(e["other"]), best, pa.array(e["n"])], names=[x.split()[0] for x in _FOUND.split(", ")])
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", fan: int = FAN, size: int = RUN_ENTRIES) -> DataFrame:
     """digest, size, other, keep_id, group_size of every distinct text."""
-    rows = digests(docs, id_col, text_col)
-    spark, largest = docs.sparkSession, keep == "largest"
-    n_runs = max(1, rows.rdd.getNumPartitions())
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = first_runs(rows, tasks, largest)
-    for _ in range(max(1, math.ceil(math.log(n_runs, fan)))):
-        runs = merge_round(runs, tasks, fan, largest)
-    return runs.select("digest", "size", "other", F.col("best_id").alias("keep_id"), F.col("n").alias("group_size"))
+    largest = keep == "largest"
+    rounds = max(1, math.ceil(math.log(max(1, docs.count() / size), fan) - 1e-9))
+    runs = first_runs(digests(docs, id_col, text_col), fan**rounds, largest, fan, size)
+    for r in range(1, rounds + 1):
+        runs = merge_round(runs, fan ** (r + 1) if r < rounds else 0, largest, fan)
+    return runs.mapInArrow(_entries, _FOUND)
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", fan: int = FAN) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", fan: int = FAN, size: int = RUN_ENTRIES) -> DataFrame:
     """One row per row of docs: doc_id, keep_id (the smallest or largest id of its text), group_size, kept, text_sha256.
 
     Null texts count as empty and form one group. A null id is kept only where its whole group has no id (keep_id is
@@ -119,26 +153,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
     rows = digests(docs, id_col, text_col)
-    found = groups(docs, id_col, text_col, keep, fan)
+    found = groups(docs, id_col, text_col, keep, fan, size)
     return rows.join(found, ["digest", "size", "other"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """docs without the copies: of equal texts one row stays, with all its columns as they were.
 
-    The join takes only the identity of each text; where several rows share the retained id and text, one stays.
+    Of rows that repeat the retained id and its text, the one whose columns hash lowest stays. Rows are shuffled once, by
+    identity and id, so that copies are spread; of rows that repeat both, a partition sends one.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = groups(docs, id_col, text_col, keep).select(F.col("digest").alias("__gl_d"), F.col("size").alias("__gl_s"), F.col("other").alias("__gl_o"), F.col("keep_id").alias("__gl_k"))
-    same = (F.unhex(F.sha2(text, 256)) == F.col("__gl_d")) & (F.octet_length(text).cast("long") == F.col("__gl_s")) & (F.xxhash64(text) == F.col("__gl_o")) & F.col(id_col).cast("long").eqNullSafe(F.col("__gl_k"))
-    stay = docs.join(found, same, "inner").withColumn("__gl_n", F.row_number().over(_one("__gl_d", "__gl_s", "__gl_o")))
-    return stay.filter("__gl_n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
-
-
-def _one(*keys: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy(F.lit(1))
+    text, ident = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
+    keys = ["__gl_d", "__gl_s", "__gl_o", "__gl_i"]
+    rows = docs.select("*", F.unhex(F.sha2(text, 256)).alias("__gl_d"), F.octet_length(text).cast("long").alias("__gl_s"), F.xxhash64(text).alias("__gl_o"), ident.alias("__gl_i"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("__gl_h"))
+    one = rows.withColumn("__gl_n", F.row_number().over(Window.partitionBy(*keys).orderBy("__gl_h"))).filter("__gl_n = 1")
+    found = groups(docs, id_col, text_col, keep).select(F.col("digest").alias("__gl_d"), F.col("size").alias("__gl_s"), F.col("other").alias("__gl_o"), F.coalesce("keep_id", F.lit(_NO_ID)).alias("__gl_i"))
+    return one.join(found, keys).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_tree_merge(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ def test_exact(spark, keep):
     for d, t in rows:
         by[t or ""].append(d)
     pick = lambda ids: (min if keep == "smallest" else max)([i for i in ids if i is not None], default=None)
-    got = exact_dedup.exact_duplicates(frame(spark, rows).repartition(5), keep=keep, fan=2).collect()
+    got = exact_dedup.exact_duplicates(frame(spark, rows).repartition(5), keep=keep, fan=2, size=4).collect()
     want = Counter((d, pick(by[t or ""]), len(by[t or ""]), d == pick(by[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for d, t in rows)
     assert Counter(tuple(r[c] for c in ("doc_id", "keep_id", "group_size", "kept", "text_sha256")) for r in got) == want
     left = exact_dedup.drop_copies(frame(spark, rows), keep=keep)
@@ -27,6 +27,45 @@ def test_exact(spark, keep):
         exact_dedup.exact_duplicates(frame(spark, rows), keep="some")
 
 
+@pytest.mark.parametrize("largest", [True, False])
+def test_merge_of_sorted_runs(largest):
+    """Against a dictionary; also identities that differ late, and runs without entries."""
+    rng = np.random.default_rng(2)
+    runs, want = [], {}
+    for k in range(7):
+        e = np.zeros(int(rng.integers(0, 60)) if k != 3 else 0, exact_dedup._ENTRY)
+        for row in e:
+            row["digest"] = [int(rng.integers(3)), 0, 0, int(rng.integers(3))]
+            row["size"], row["other"], row["n"] = rng.integers(2), rng.integers(2), rng.integers(1, 4)
+            row["best"] = rng.choice([exact_dedup._NO_ID, *range(-5, 5)])
+            key = (*row["digest"].tolist(), int(row["size"]), int(row["other"]))
+            n, best = want.get(key, (0, None))
+            new = None if row["best"] == exact_dedup._NO_ID else int(row["best"])
+            want[key] = n + int(row["n"]), (max if largest else min)((x for x in (best, new) if x is not None), default=None)
+        runs.append(exact_dedup.merged([e], largest))
+        assert len(runs[-1]) <= len(e)
+    got = exact_dedup.merged(runs, largest)
+    rows = [(*r["digest"].tolist(), int(r["size"]), int(r["other"])) for r in got]
+    assert rows == sorted(want) and [(int(r["n"]), None if r["best"] == exact_dedup._NO_ID else int(r["best"])) for r in got] == [want[k] for k in rows]
+    for slots in (16, 5000):
+        cut = [(s, np.frombuffer(b, exact_dedup._ENTRY)) for s, _, b in exact_dedup._dealt(got, 5, slots, 4)]
+        assert (np.concatenate([b for _, b in cut]) == got).all() and all(((b["digest"][:, 0] >> np.uint64(32)).astype(int) * slots >> 32 == s).all() for s, b in cut)
+
+
+def test_hot_copies_in_many_runs(spark):
+    """A third of all rows has one text: no merge sees more than `fan` runs' entries of it."""
+    rows = [(i, "hot" if i % 3 == 0 else f"t{i // 2}") for i in range(3000)]
+    df = frame(spark, rows).repartition(6)
+    got = exact_dedup.exact_duplicates(df, keep="largest", fan=4, size=50).collect()
+    by = defaultdict(list)
+    for d, t in rows:
+        by[t].append(d)
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got} == {(d, max(by[t]), len(by[t])) for d, t in rows}
+    runs = exact_dedup.first_runs(exact_dedup.digests(df), 64, True, 4, 50)
+    met = runs.groupBy("slot", "run").agg({"entries": "count"}).collect()
+    assert len(met) > 16 and max(r[2] for r in met) <= 4 * 4
+
+
 def shingles(text):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
