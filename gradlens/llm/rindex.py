@@ -20,12 +20,16 @@ import numpy as np
 _FIRST = 7
 
 
-def _ranks(key: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order and dense ranks of keys; positions in `apart` are never equal to another one."""
-    order = np.argsort(key, kind="stable")
+def _ranks(key: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order and dense ranks of keys. Positions in `apart` are never equal to another one: of equal keys, the earlier stands first."""
+    order = np.argsort(key)
     k = key[order]
-    new = np.ones(len(key), np.int64)
-    new[1:] = (k[1:] != k[:-1]) | apart[order[1:]] | apart[order[:-1]]
+    new = np.ones(len(key), bool)
+    np.not_equal(k[1:], k[:-1], out=new[1:])
+    if apart is not None:
+        at = np.flatnonzero(apart[order])  # equal keys are all in `apart`, or none is
+        order[at] = order[at][np.lexsort((order[at], k[at]))]
+        new[at] = True
     rank = np.empty(len(key), np.int64)
     rank[order] = np.cumsum(new) - 1
     return order, rank
@@ -68,7 +72,7 @@ class RunIndex:
         longest = int(sizes.max()) + 1 if len(sizes) else 0
         while h < longest:
             padded = np.concatenate([rank, np.zeros(h, np.int64)])
-            order, rank = _ranks(rank * (n + 1) + np.where(left >= h, padded[h : h + n] + 1, 0), left < 2 * h)
+            order, rank = _ranks(rank * (n + 1) + np.where(left >= h, padded[h : h + n] + 1, 0))
             h *= 2
             levels.append((h, rank.astype(np.int32)))
         # The transform: the symbol before each suffix; before a string's first symbol stands its terminator.

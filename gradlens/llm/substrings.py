@@ -32,7 +32,7 @@ GRAM = 32
 #: Occurrences from which on an anchor's strings are dealt one by one.
 HOT = 200_000
 #: Bytes of text in a block of documents, about; anchors and phrases are dealt to as many buckets.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
 #: Bytes of dictionary phrases in one index.
 INDEX_BYTES = 700_000
 #: Longest stretch of a document that is looked at as one array; longer ones are cut with an overlap.
