@@ -32,7 +32,7 @@ GRAM = 32
 #: Occurrences from which on an anchor's strings are dealt one by one.
 HOT = 200_000
 #: Bytes of text in a block of documents, about; anchors and phrases are dealt to as many buckets.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 8_000_000
 #: Bytes of dictionary phrases in one index.
 INDEX_BYTES = 700_000
 #: Longest stretch of a document that is looked at as one array; longer ones are cut with an overlap.
@@ -177,10 +177,16 @@ def _repeated(anchors: DataFrame) -> DataFrame:
         new[1:] = s[1:] != s[:-1]
         at = np.flatnonzero(new)
         total = np.add.reduceat(times[order], at)
-        known, hot = s[at][total > 1], s[at][total > often]
-        own = [x[np.isin(x, known)] for x in h]
-        rows = [(b, x) for b, x in zip(blocks, own) if len(x)]
-        return pa.table([pa.array([b for b, _ in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()), pa.array([x.tobytes() for _, x in rows], pa.binary()), pa.array([x[np.isin(x, hot)].tobytes() for _, x in rows], pa.binary())], names=["block", "bucket", "blob", "hot"])
+        known, hot = np.empty(len(s), bool), np.empty(len(s), bool)
+        many = np.diff(np.append(at, len(s)))
+        known[order], hot[order] = np.repeat(total > 1, many), np.repeat(total > often, many)
+        cut = np.concatenate([[0], np.cumsum(counts)])
+        rows = []
+        for b, lo, hi in zip(blocks, cut[:-1], cut[1:]):
+            own = known[lo:hi]
+            if own.any():
+                rows.append((b, bucket, every[lo:hi][own].tobytes(), every[lo:hi][hot[lo:hi]].tobytes()))
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 4, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["block", "bucket", "blob", "hot"])
 
     return anchors.groupBy("bucket").applyInArrow(run, "block long, bucket long, blob binary, hot binary")
 
