@@ -6,11 +6,11 @@ from gradlens.llm.chat import OP3_SQL, op3_perspective_rotation
 from gradlens.llm.exact_dedup import OP5_SQL, op5_tree_merge
 from gradlens.llm.language import op7_hyperdimensional_language
 from gradlens.llm.links import OP9_SQL, op9_link_propagation
-from gradlens.llm.near_dedup import op4_bottom_k
+from gradlens.llm.near_dedup import OP4_SQL, op4_bottom_k
 from gradlens.llm.packing import op1_vector_packing
 from gradlens.llm.pieces import op10_piece_viterbi
 from gradlens.llm.quality import op2_compression_bands
-from gradlens.llm.substrings import op6_run_length_index
+from gradlens.llm.substrings import OP6_SQL, op6_run_length_index
 from gradlens.llm.toxicity import op8_clause_grammar
 
 
@@ -30,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_perspective_rotation": OP3_SQL, "op5_tree_merge": OP5_SQL, "op9_link_propagation": OP9_SQL}
+    return {"op3_perspective_rotation": OP3_SQL, "op4_bottom_k": OP4_SQL, "op5_tree_merge": OP5_SQL, "op6_run_length_index": OP6_SQL, "op9_link_propagation": OP9_SQL}

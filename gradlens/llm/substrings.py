@@ -414,3 +414,22 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op6_run_length_index(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Every string of WIDTH bytes by itself: for tables that a single machine can hold. Ids are told apart; texts in hexadecimal, two digits a byte.
+OP6_SQL = f"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n_bytes FROM documents),
+s AS (SELECT doc_id, p, substr(h, 2 * p + 1, {2 * WIDTH}) AS piece FROM t, LATERAL (SELECT unnest(range(0, n_bytes - {WIDTH - 1})) AS p)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY piece ORDER BY doc_id, p) AS k FROM s) WHERE k > 1),
+heads AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {WIDTH} THEN 0 ELSE 1 END AS head FROM again),
+spans AS (
+  SELECT doc_id, min(p) AS a, max(p) + {WIDTH} AS b
+  FROM (SELECT doc_id, p, sum(head) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM heads) GROUP BY doc_id, span),
+kept AS (
+  SELECT doc_id, b AS a, lead(a, 1, 1000000000000) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM spans
+  UNION ALL SELECT doc_id, 0, min(a) FROM spans GROUP BY doc_id),
+rest AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (least(b, n_bytes) - a)), '' ORDER BY a) AS r FROM kept JOIN t USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(r, h))) AS kept_sha256
+FROM t LEFT JOIN gone USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""

@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+import zstandard
+
 from gradlens.llm import quality
 from tests.llm.common import frame, hard_rows
 
@@ -31,6 +33,31 @@ def test_counts_and_verdicts(spark):
     assert quality.score_quality(frame(spark, [])).count() == 0
 
 
+def plain_verdict(text):
+    """(kept, ratio, share of bytes in bad chunks) by the rules as they are stated."""
+    raw = (text or "").encode()
+    squeezed = lambda b: len(b) / len(zstandard.ZstdCompressor(level=quality.LEVEL).compress(b))
+    inside = lambda bands, b: [x.least <= squeezed(b) <= x.most for x in bands if len(b) < x.below][0]
+    if not raw:
+        return False, 0.0, 0.0
+    chunks = [raw[i : i + quality.CHUNK] for i in range(0, len(raw), quality.CHUNK)]
+    share = sum(len(c) for c in chunks if not inside(quality.CHUNK_BANDS, c)) / len(raw)
+    return not plain(text)[-1] and inside(quality.DOCUMENT_BANDS, raw) and share <= quality.BAD_SHARE, squeezed(raw), share
+
+
+def test_band_verdicts_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    letters = lambda n, k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz   "[:k]) for _ in range(n))
+    rows = [*hard_rows(2)] + [(200 + i, letters(rng.choice([50, 127, 128, 511, 512, 2047, 2048, 4096, 4097, 8192, 40_000]), rng.randint(2, 29))) for i in range(150)]
+    rows += [(400 + i, letters(6000, 29) + letters(rng.randint(1, 9000), 3)) for i in range(20)]
+    got = quality.score_quality(frame(spark, rows)).collect()
+    want = Counter((d, kept, round(ratio, 9), round(share, 9)) for d, t in rows for kept, ratio, share in [plain_verdict(t)])
+    assert Counter((r["doc_id"], r["kept"], round(r["ratio"], 9), round(r["bad_chunk_share"], 9)) for r in got) == want
+    assert {k for _, k, _, _ in want} == {True, False} and any(0 < x[3] < 1 for x in want)
+
+
 def test_bands_reject_repetition_and_noise(spark):
     import random
     import string

@@ -1,7 +1,11 @@
 import os
+from collections import Counter
 
 import duckdb
 import pytest
+from tokenizers import Tokenizer
+
+from gradlens.llm.packing import Limits, default_vocabulary
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no benchmark tables")
@@ -34,7 +38,9 @@ def test_chat_query_is_native(spark):
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from tests.llm.common import frame, hard_rows
-    from tests.llm.test_dedup import brute_removed
+    from tests.llm.test_dedup import brute_components, brute_removed
+    from tests.llm.test_packing import check
+    from tests.llm.test_quality import plain_verdict
 
     docs = frame(spark, hard_rows(7), False).selectExpr("*", "'en' lang", "'s' source", "cast(length(text) as long) n_chars")
     names = [n for n, _ in corpus_pipeline.STAGES]
@@ -44,6 +50,11 @@ def test_pipeline_stages(spark):
         assert out.schema.names == docs.schema.names
         before, after = {r["doc_id"] for r in docs.collect()}, {r["doc_id"] for r in out.collect()}
         assert after <= before
+        rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        if name == "quality":
+            assert Counter(map(tuple, out.select("doc_id", "text").collect())) == Counter(r for r in rows if plain_verdict(r[1])[0])
+        if name == "near":
+            assert Counter(r["doc_id"] for r in out.collect()) == Counter(d for d, n, c in brute_components(rows, corpus_pipeline.NEAR_PERCENT) if d == c or d is None or not n)
         if name == "exact":
             texts = [r["text"] for r in out.collect()]
             assert len(texts) == len(set(texts)) == len({r["text"] for r in docs.collect()})
@@ -51,5 +62,6 @@ def test_pipeline_stages(spark):
             want = {d: n - gone for d, n, gone, _, _ in brute_removed([(r["doc_id"], r["text"]) for r in docs.collect()])}
             assert {r["doc_id"]: len(r["text"].encode()) for r in out.collect()} == {d: n for d, n in want.items() if n}
         docs = out
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == docs.count()
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    check(rows, corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect(), Tokenizer.from_file(default_vocabulary()), Limits())
     assert corpus_pipeline.run(spark, SF).count() > 0
