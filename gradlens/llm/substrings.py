@@ -9,7 +9,8 @@
    An anchor with more than HOT occurrences would bring an unbounded group to one task: its strings go one by one
    instead, by their own hashes, so that only equal ones meet.
 4. Over the dictionary phrases a run-length index is built (rindex.RunIndex): its matching statistics are
-   streamed, and positions that match WIDTH bytes of an earlier occurrence are marked (rindex.repeated).
+   streamed, and positions that match WIDTH bytes of an earlier occurrence are marked (rindex.repeated). The phrases of
+   an anchor that has more than GROUP_BYTES of them are compared string by string, in slices.
 5. The marked ranges go back to the blocks, where they are joined and cut out.
 
 Documents are dealt to blocks of BLOCK_BYTES by a hash of id and text, once; steps 2, 3 and 5 read the same exchange.
@@ -32,9 +33,12 @@ GRAM = 32
 #: Occurrences from which on an anchor's strings are dealt one by one.
 HOT = 200_000
 #: Bytes of text in a block of documents, about; anchors and phrases are dealt to as many buckets.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 #: Bytes of dictionary phrases in one index.
 INDEX_BYTES = 700_000
+#: Bytes of one anchor's dictionary phrases from which on their strings are compared one by one, in slices: an index of
+#: them would not fit beside the rest.
+GROUP_BYTES = 1_500_000
 #: Longest stretch of a document that is looked at as one array; longer ones are cut with an overlap.
 STRETCH = 8_000_000
 #: Bytes of documents whose hashes are in memory at once.
@@ -298,13 +302,19 @@ def _marked(phrase_rows: DataFrame) -> DataFrame:
             own = own[np.bincount(group)[group] > 1]
         seq = t.column("seq").combine_chunks()
         size = n[own] + WIDTH - 1
-        group_end = np.append(h[own[1:]] != h[own[:-1]], True) if len(own) else np.empty(0, bool)
-        a = total = 0
-        for i in range(len(own)):
-            total += size[i]
-            if group_end[i] and (total >= INDEX_BYTES or i + 1 == len(own)):
-                ranges.append(_in_index(own[a : i + 1], seq, d, start))
-                a, total = i + 1, 0
+        ends = np.append(np.flatnonzero(h[own[1:]] != h[own[:-1]]) + 1, len(own)) if len(own) else np.empty(0, np.int64)
+        a = at = total = 0
+        for b in ends.tolist():
+            group = int(size[at:b].sum())
+            if total and (group > GROUP_BYTES or total >= INDEX_BYTES):
+                ranges.append(_repeats_among(own[a:at], seq, d, start, mark))
+                a, total = at, 0
+            at, total = b, total + group
+            if group > GROUP_BYTES:
+                ranges.append(_repeats_among(own[a:at], seq, d, start, string_by_string))
+                a, total = at, 0
+        if total:
+            ranges.append(_repeats_among(own[a:at], seq, d, start, mark))
         rows = np.concatenate([r[0] for r in ranges])
         rec = np.empty(len(rows), _REC)
         rec["doc"], rec["tid"], rec["a"], rec["b"] = d[rows], tid[rows], np.concatenate([r[1] for r in ranges]), np.concatenate([r[2] for r in ranges])
@@ -317,7 +327,41 @@ def _marked(phrase_rows: DataFrame) -> DataFrame:
     return phrase_rows.groupBy("bucket").applyInArrow(run, "block long, blob binary")
 
 
-def _in_index(rows: np.ndarray, seq: pa.Array, d: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def string_by_string(flat: np.ndarray, bounds: np.ndarray, order_key: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """What mark gives, from hashes of all strings of `width` bytes, made slice by slice; equal hashes are confirmed on the bytes."""
+    places, hashes = [], []
+    for lo, hi in slices(np.diff(bounds).tolist(), SLICE):
+        part = flat[bounds[lo] : bounds[hi]]
+        if len(part) < width:
+            continue
+        left = np.repeat(bounds[lo + 1 : hi + 1], np.diff(bounds[lo : hi + 1])) - np.arange(bounds[lo], bounds[hi])
+        on = np.flatnonzero(left >= width)
+        with np.errstate(over="ignore"):
+            hashes.append(_window_hash(part, width)[on])
+        places.append(on + bounds[lo])
+    out = np.zeros(len(flat), bool)
+    if not places:
+        return out
+    at, h = np.concatenate(places), np.concatenate(hashes)
+    order = np.lexsort((order_key[at], h))
+    at, h = at[order], h[order]
+    new = np.append(True, h[1:] != h[:-1])
+    lead = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+    again = np.flatnonzero(~new & (order_key[at] > order_key[lead]))
+    window = np.arange(width)
+    for a in range(0, len(again), SLICE // width):
+        i = again[a : a + SLICE // width]
+        same = (flat[at[i][:, None] + window] == flat[lead[i][:, None] + window]).all(1)
+        out[at[i[same]]] = True
+        for j in i[~same]:  # strings that only their hashes confuse
+            own = flat[at[j] : at[j] + width]
+            others = at[(h == h[j]) & (order_key[at] < order_key[at[j]])]
+            out[at[j]] = any((flat[o : o + width] == own).all() for o in others)
+    return out
+
+
+def _repeats_among(rows: np.ndarray, seq: pa.Array, d: np.ndarray, start: np.ndarray, way) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of the phrases `rows` that are covered by earlier strings, which `way` finds: (phrase, from, to)."""
     raw = seq.take(pa.array(rows)).to_pylist()
     bounds = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
     flat = np.frombuffer(b"".join(raw), np.uint8)
@@ -325,7 +369,7 @@ def _in_index(rows: np.ndarray, seq: pa.Array, d: np.ndarray, start: np.ndarray)
     string = np.repeat(np.arange(len(raw)), size)
     within = np.arange(len(flat)) - bounds[:-1][string]
     place = np.unique(d[rows], return_inverse=True)[1]
-    hit = mark(flat, bounds, (place[string].astype(np.int64) << 36) | (start[rows][string] + within))
+    hit = way(flat, bounds, (place[string].astype(np.int64) << 36) | (start[rows][string] + within))
     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
     lo, hi = edge[::2], edge[1::2]  # a hit never reaches a string's last width - 1 bytes, so none runs into the next string
     return rows[string[lo]], start[rows][string[lo]] + within[lo], start[rows][string[lo]] + within[hi - 1] + WIDTH

@@ -200,9 +200,10 @@ def brute_removed(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [3, 10**6])
-def test_repeated_passages(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, group", [(3, 10**6), (10**6, 10**6), (10**6, 500)])
+def test_repeated_passages(spark, monkeypatch, hot, group):
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "GROUP_BYTES", group)
     monkeypatch.setattr(substrings, "BLOCK_BYTES", 20_000)
     rows = [(d, t if t is None or len(t) < 20_000 else t[:20_000]) for d, t in hard_rows(5)]
     got = substrings.remove_repeats(frame(spark, rows)).collect()
@@ -237,7 +238,7 @@ def test_run_index_against_brute_force():
         want = np.zeros(len(flat), bool)
         for k, i, w in places:
             want[bounds[k] + i] = when[bounds[k] + i] > first[w]
-        assert (hit == want).all()
+        assert (hit == want).all() and (substrings.string_by_string(flat, bounds, when, width) == want).all()
 
 
 def test_matching_statistics_against_brute_force():
@@ -266,6 +267,18 @@ def test_matching_statistics_against_brute_force():
     assert rindex.repeated(index, np.arange(len(flat) + 1), 100)[: len(flat)].sum() == len(flat) - 99 - 50
 
 
+def test_strings_that_hashes_confuse(monkeypatch):
+    rng = np.random.default_rng(4)
+    strings = [rng.integers(97, 99, rng.integers(1, 30)).astype(np.uint8).tobytes() for _ in range(50)]
+    flat, bounds = np.frombuffer(b"".join(strings), np.uint8), np.concatenate([[0], np.cumsum([len(s) for s in strings])])
+    when = rng.permutation(len(flat)).astype(np.int64)
+    want = substrings.mark(flat, bounds, when, 6)
+    plain = substrings._window_hash
+    monkeypatch.setattr(substrings, "_window_hash", lambda buf, k: plain(buf, k) % np.uint64(7))
+    monkeypatch.setattr(substrings, "SLICE", 120)
+    assert (substrings.string_by_string(flat, bounds, when, 6) == want).all() and want.any()
+
+
 def test_joined_ranges():
     assert substrings.joined([0, 5, 20, 21], [5, 9, 30, 25]) == [(0, 9), (20, 30)]
 
