@@ -67,14 +67,16 @@ class ActiveSubspaces(Subspace):
     """fit(df) on gradients (column g), on gradients estimated from x and f (method="local"), or by a sketch (method="sketch")."""
 
     def fit(self, df: DataFrame, g_col: str = "g", weight_col: str | None = None, metric: np.ndarray | None = None, x_col: str = "x", f_col: str = "f", id_col: str = "row_id", seed: int = 42) -> ActiveSubspaces:
+        held = None
         if self.method == "local":
             missing = [c for c in (x_col, f_col) if c not in df.columns]
             if missing:
                 raise TypeError(f"inputs and outputs are needed: {missing}")
-            df, g_col, weight_col = local_linear_gradients(df, seed=seed, id_col=id_col, x_col=x_col, f_col=f_col).persist(), "g", None
+            held = df = local_linear_gradients(df, seed=seed, id_col=id_col, x_col=x_col, f_col=f_col).persist()
+            g_col, weight_col, id_col = "g", None, "sample"
         elif g_col not in df.columns:
             raise TypeError("gradients are needed")
-        if self.method == "sketch":
+        if self.method == "sketch":  # a sketch has no row left to draw
             if not isinstance(self.dim, int) or self.dim < 1:
                 raise ValueError("a sketch has a set size")
             evals, evects = sketch(df, self.dim, g_col).eigenpairs()
@@ -84,8 +86,10 @@ class ActiveSubspaces(Subspace):
         # Forming the moment matrix is the cheap part here; only decomposing a large one is worth an approximation.
         randomized = self.dim if not nested and m > RANDOMIZED_PARAMETERS and linalg.prefers_randomized(df.count(), m, self.dim) else None
         evals, evects = eigenpairs(df, g_col, weight_col, metric, randomized_dim=randomized)
-        if self.n_boot and not nested and evects.shape[0] == evects.shape[1] > 1:
-            self.evals_br, self.subs_br = bootstrap(df, evects, g_col, weight_col, self.n_boot, seed)
+        if self.n_boot and evects.shape[0] == evects.shape[1] > 1:
+            self.evals_br, self.subs_br = bootstrap(df, evects, g_col, weight_col, self.n_boot, seed, id_col, metric)
+        if held is not None:
+            held.unpersist()
         return self.set_spectrum(evals, evects)
 
     @property

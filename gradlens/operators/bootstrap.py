@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradlens.functions.linalg import sorted_eigenpairs
-from gradlens.operators.moments import width
 
 
 def replicate_counts(n: int, replicas: int, seed: int) -> np.ndarray:
@@ -25,7 +24,7 @@ def replicate_counts(n: int, replicas: int, seed: int) -> np.ndarray:
 
 
 #: Distribution function of Poisson(1) at 0, 1, ..
-_POISSON = np.cumsum([np.exp(-1.0) / factorial(k) for k in range(20)])
+POISSON = np.cumsum([np.exp(-1.0) / factorial(k) for k in range(20)])
 
 
 def poisson_counts(keys: np.ndarray, replicas: int, seed: int) -> np.ndarray:
@@ -35,7 +34,7 @@ def poisson_counts(keys: np.ndarray, replicas: int, seed: int) -> np.ndarray:
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
         x ^= x >> np.uint64(31)
-    return np.searchsorted(_POISSON, (x >> np.uint64(11)) * 2.0**-53, "right").astype(float)
+    return np.searchsorted(POISSON, (x >> np.uint64(11)) * 2.0**-53, "right").astype(float)
 
 
 def matrices_of(gradients: np.ndarray, weights: np.ndarray, counts: np.ndarray, metric: np.ndarray | None = None) -> np.ndarray:
@@ -58,31 +57,43 @@ def ranges(matrices: np.ndarray, reference: np.ndarray, keep: int | None = None)
     return np.column_stack([values.min(0), values.max(0)]), np.column_stack([errors.min(0), errors.mean(0), errors.max(0)])
 
 
-def bootstrap(df: DataFrame, reference: np.ndarray, column: str = "g", weight: str | None = None, replicas: int = 100, seed: int = 42, id_col: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Bootstrap ranges with Poisson(1) counts, which need no global draw and are seeded per row, so that a rerun of a lost task repeats them.
+def row_key(df: DataFrame, id_col: str):
+    """A 64-bit key of the row's id: the number itself, or a hash of what is no number."""
+    return F.col(id_col).cast("long") if dict(df.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(id_col)
 
-    Each replica is normalised by its own number of draws where rows have no weights.
+
+def bootstrap(df: DataFrame, reference: np.ndarray, column: str = "g", weight: str | None = None, replicas: int = 100, seed: int = 42, id_col: str = "row_id", metric: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bootstrap ranges with Poisson(1) counts, which need no global draw and are seeded by the row's id, so that a rerun of a lost task repeats them.
+
+    Rows are told apart by id_col alone: rows with equal gradients are drawn independently, and ValueError says that there
+    is no such column. Gradients of vector outputs (arrays of arrays) count by `metric`. Each replica is normalised by
+    its own number of draws where rows have no weights.
     """
-    m = width(df, column)
-    key = F.xxhash64(id_col) if id_col else F.xxhash64(column)
+    if id_col not in df.columns:
+        raise ValueError(f"the bootstrap tells rows apart by {id_col}, which is missing")
+    nested = dict(df.dtypes)[column].startswith("array<array")
+    m = reference.shape[0]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, drawn = np.zeros((replicas, m, m)), np.zeros(replicas)
         rows, cols = np.triu_indices(m)
         for pdf in frames:
-            if not len(pdf):
-                continue
-            g = np.array(pdf["g"].tolist(), float)
-            for at in range(0, len(g), 8192):
-                part = g[at : at + 8192]
-                counts = poisson_counts(pdf["k"].to_numpy()[at : at + 8192], replicas, seed)
-                upper = (counts * pdf["w"].to_numpy()[at : at + 8192]) @ (part[:, rows] * part[:, cols])
-                total[:, rows, cols] += upper
+            for at in range(0, len(pdf), 8192):
+                part = pdf.iloc[at : at + 8192]
+                if nested:
+                    g = np.array([np.array([np.asarray(v, float) for v in r]) for r in part["g"]])
+                    r = np.eye(g.shape[1]) if metric is None else np.asarray(metric, float)
+                    products = np.einsum("nai,ac,ncj->nij", g, r, g, optimize=True)[:, rows, cols]
+                else:
+                    g = np.array(part["g"].tolist(), float)
+                    products = g[:, rows] * g[:, cols]
+                counts = poisson_counts(part["k"].to_numpy(), replicas, seed)
+                total[:, rows, cols] += (counts * part["w"].to_numpy()) @ products
                 drawn += counts.sum(1)
         total[:, cols, rows] = total[:, rows, cols]
         yield pd.DataFrame({"at": np.arange(replicas * (m * m + 1)), "v": np.concatenate([total.ravel(), drawn])})
 
-    rows = df.select(F.col(column).alias("g"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), key.alias("k")).mapInPandas(run, "at int, v double")
+    rows = df.select(F.col(column).alias("g"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), row_key(df, id_col).alias("k")).mapInPandas(run, "at int, v double")
     v = rows.groupBy("at").agg(F.sum("v").alias("v")).toPandas().sort_values("at")["v"].to_numpy()
     matrices = v[: replicas * m * m].reshape(replicas, m, m)
     if not weight:

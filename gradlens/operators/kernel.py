@@ -14,7 +14,6 @@ from gradlens.functions.linalg import sorted_eigenpairs
 from gradlens.operators.active import Subspace
 from gradlens.operators.bootstrap import matrices_of, ranges, replicate_counts
 from gradlens.operators.features import FeatureMap
-from gradlens.operators.moments import _dense
 
 
 def as_jacobians(g) -> np.ndarray:
@@ -33,6 +32,8 @@ class KernelActiveSubspaces(Subspace):
     feature_map: FeatureMap | None = None
     n_features: int | None = None
     n_boot: int | None = None
+    #: Rows that the bootstrap draws from, at most: those whose ids hash lowest.
+    boot_rows: int = 5000
 
     def fit(self, df: DataFrame, x_col: str = "x", g_col: str = "g", weight_col: str | None = None, metric: np.ndarray | None = None, seed: int = 42) -> KernelActiveSubspaces:
         """Jacobian of the features, pseudo-gradients and their moments in one pass over the rows; only D x D sums move."""
@@ -47,21 +48,27 @@ class KernelActiveSubspaces(Subspace):
             self.feature_map = FeatureMap("multivariate_normal", np.ones((1, self.n_features)), m, self.n_features, np.ones(m), 1.0, seed=seed)
         fm = self.feature_map
         fm.matrix  # drawn here, not on the executors
-        w = F.col(weight_col) if weight_col else F.lit(1.0)
+        w, size = F.col(weight_col) if weight_col else F.lit(1.0), self.n_features
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            d, n = size, 0
+            total = np.zeros((d, d))
             for pdf in frames:
                 if len(pdf):
                     g = pseudo_gradients(fm.jacobian(np.array(pdf["x"].tolist(), float)), as_jacobians(pdf["g"]))
-                    yield pd.DataFrame({"g": [r.tolist() for r in g], "w": pdf["w"].to_numpy()})
-
-        rows = df.select(F.col(x_col).alias("x"), F.col(g_col).alias("g"), w.cast("double").alias("w")).mapInPandas(run, "g array<array<double>>, w double")
-        outputs = len(as_jacobians([df.select(g_col).head()[0]])[0])
-        total, n = _dense(rows, self.n_features, np.eye(outputs) if metric is None else metric)
+                    r = np.eye(g.shape[1]) if metric is None else np.asarray(metric, float)
+                    total += np.einsum("n,nai,ac,ncj->ij", pdf["w"].to_numpy(), g, r, g, optimize=True)
+                    n += len(pdf)
+            yield pd.DataFrame({"at": np.arange(d * d + 1), "v": np.append(total.ravel(), n)})
+
+        rows = df.select(F.col(x_col).alias("x"), F.col(g_col).alias("g"), w.cast("double").alias("w"))
+        sums = rows.mapInPandas(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas().sort_values("at")["v"].to_numpy()
+        total, n = sums[:-1].reshape(self.n_features, self.n_features), sums[-1]
         evals, evects = sorted_eigenpairs(total if weight_col else total / n)
         if self.n_boot:
-            few = rows.limit(5000).toPandas()  # the bootstrap is over at most 5000 rows, as its matrices are D x D each
-            g = as_jacobians(few["g"])
+            known = [F.xxhash64("row_id")] if "row_id" in df.columns else []
+            few = df.orderBy(*known, F.xxhash64(x_col), x_col).limit(self.boot_rows).select(F.col(x_col).alias("x"), F.col(g_col).alias("g"), w.cast("double").alias("w")).toPandas()
+            g = pseudo_gradients(fm.jacobian(np.array(few["x"].tolist(), float)), as_jacobians(few["g"]))
             weights = few["w"].to_numpy() if weight_col else np.full(len(few), 1.0 / len(few))
             self.evals_br, self.subs_br = ranges(matrices_of(g, weights, replicate_counts(len(few), self.n_boot, seed), metric), evects)
         return self.set_spectrum(evals, evects)
