@@ -1,65 +1,184 @@
 """Nearest neighbours, local linear gradients and neighbour graphs.
 
-Neighbour search asks a bounded set of query points (collected, with a checked size) against all rows: each partition
-keeps the k best candidates of every query in NumPy, and Spark ranks the partitions' candidates. Nothing is cross
-joined and no partition emits more than k rows a query.
+Space is cut into cells by the medians of a bounded sample of the points. Points go to their cell; a cell's number of
+rows and the box that they fill are aggregates. From the boxes alone each query knows a distance within which k points
+must lie, so it goes to the cells that are nearer than that, and to no other: the search is exact, queries and points
+meet by cell, and neither passes through the driver. Cells with many rows are cut further by a hash of the id.
 """
 
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query points that one pass carries; more are asked in further passes.
-QUERY_BLOCK = 20_000
+#: Points in a cell, about, and cells at most; a cell's rows beyond PART_ROWS make further parts.
+CELL_ROWS = 4096
+MOST_CELLS = 4096
+PART_ROWS = 50_000
+#: Points whose medians cut space: those whose ids hash lowest.
+SAMPLE_ROWS = 20_000
+#: Boxes (cells by groups) that a task knows, at most.
+MOST_BOXES = 200_000
+
+
+class Cells:
+    """Cells between medians of a sample, as a binary tree."""
+
+    def __init__(self, sample: np.ndarray, cells: int) -> None:
+        self.axis, self.at, self.low, self.high = [], [], [], []
+        self.count = 0
+        self._build(sample, cells)
+
+    def _build(self, x: np.ndarray, cells: int) -> int:
+        node = len(self.axis)
+        for held in (self.axis, self.at, self.low, self.high):
+            held.append(-1)
+        spread = np.ptp(x, axis=0) if len(x) else np.zeros(1)
+        axis = int(spread.argmax())
+        if cells < 2 or len(x) < 2 or not spread[axis] > 0:
+            self.high[node], self.count = self.count, self.count + 1
+            return node
+        at = np.median(x[:, axis])
+        if not (x[:, axis] < at).any():
+            at = x[x[:, axis] > at, axis].min()
+        left = x[:, axis] < at
+        self.axis[node], self.at[node] = axis, at
+        self.low[node] = self._build(x[left], cells // 2)
+        self.high[node] = self._build(x[~left], cells - cells // 2)
+        return node
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        axis, at, low, high = (np.array(v) for v in (self.axis, self.at, self.low, self.high))
+        node = np.zeros(len(x), np.int64)
+        while len(on := np.flatnonzero(axis[node] >= 0)):
+            n = node[on]
+            node[on] = np.where(x[on, axis[n]] < at[n], low[n], high[n])
+        return high[node].astype(np.int32)
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1 if len(column) else 1)
+
+
+def _clean(df: DataFrame, id_col: str, column: str, same_col: str | None) -> DataFrame:
+    """id, x, s of the rows that have a place."""
+    x = F.col(column).cast("array<double>")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), x.alias("x"), (F.col(same_col) if same_col else F.lit(0)).cast("long").alias("s"))
+    return rows.filter(F.col("x").isNotNull() & F.col("s").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
 
 
 def k_nearest(queries: DataFrame, points: DataFrame, k: int, id_col: str = "row_id", column: str = "x", same_col: str | None = None) -> DataFrame:
     """query_id, neighbour_id, rank (1..k), d2. Ties go to the smaller id; a query's own row counts as its neighbour.
 
-    same_col: only rows with an equal value are neighbours (other distances would be infinite).
+    same_col: only rows with an equal value are neighbours (other distances would be infinite). A query with fewer than k
+    such points has them all. Rows with a null or NaN coordinate, or a null value of same_col, have no place: they are no
+    one's neighbours and have none.
     """
-    total, out, at = queries.count(), None, 0
-    ids = queries.select(F.col(id_col).alias("id"), F.col(column).alias("x"), (F.col(same_col) if same_col else F.lit(0)).cast("long").alias("s"))
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    for at in range(blocks):
-        part = (ids if blocks == 1 else ids.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == at)).toPandas()
-        found = _one_pass(part, points, k, id_col, column, same_col)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _one_pass(asked: pd.DataFrame, points: DataFrame, k: int, id_col: str, column: str, same_col: str | None) -> DataFrame:
-    q = np.array(asked["x"].tolist(), float).reshape(len(asked), -1)
-    qid, qs = asked["id"].to_numpy(), asked["s"].to_numpy()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), -1, np.int64)
-        for pdf in frames:
-            for a in range(0, len(pdf), 2048):
-                block = pdf.iloc[a : a + 2048]
-                x = np.array(block["x"].tolist(), float)
-                for lo in range(0, len(q), 512):
-                    d = ((q[lo : lo + 512, None, :] - x[None]) ** 2).sum(2)
-                    d = np.where(qs[lo : lo + 512, None] == block["s"].to_numpy()[None], d, np.inf)
-                    i = np.broadcast_to(block["id"].to_numpy()[None], d.shape)
-                    d, i = np.hstack([best_d[lo : lo + 512], d]), np.hstack([best_i[lo : lo + 512], i])
-                    order = np.lexsort((i, d), axis=1)[:, :k]
-                    best_d[lo : lo + 512], best_i[lo : lo + 512] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        row, col = np.nonzero(np.isfinite(best_d))
-        yield pd.DataFrame({"query_id": qid[row], "neighbour_id": best_i[row, col], "d2": best_d[row, col]})
-
-    rows = points.select(F.col(id_col).alias("id"), F.col(column).alias("x"), (F.col(same_col) if same_col else F.lit(0)).cast("long").alias("s"))
-    near = rows.mapInPandas(run, "query_id long, neighbour_id long, d2 double")
+    points, queries = _clean(points, id_col, column, same_col), _clean(queries, id_col, column, same_col)
+    total = points.count()
+    few = points.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("x").toPandas()  # SAMPLE_ROWS rows
+    cells = Cells(np.array(few["x"].tolist(), float).reshape(len(few), -1 if len(few) else 1), max(1, min(MOST_CELLS, total // CELL_ROWS)))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, s = _vectors(batch.column("x")), batch.column("s").to_numpy()
+            cell = cells.of(x)
+            key, way = np.unique(np.column_stack([cell, s]), axis=0, return_inverse=True)
+            order = np.argsort(way.ravel(), kind="stable")
+            first = np.searchsorted(way.ravel()[order], np.arange(len(key)))
+            n, lo, hi = np.bincount(way.ravel()), np.minimum.reduceat(x[order], first), np.maximum.reduceat(x[order], first)
+            for i, (c, g) in enumerate(key.tolist()):
+                old = held.get((c, g))
+                held[c, g] = [n[i], lo[i], hi[i]] if old is None else [old[0] + n[i], np.minimum(old[1], lo[i]), np.maximum(old[2], hi[i])]
+        rows = [(c, g, j, int(n), float(lo[j]), float(hi[j])) for (c, g), (n, lo, hi) in held.items() for j in range(len(lo))]
+        names, kinds = ("cell", "s", "axis", "n", "lo", "hi"), (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64())
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=list(names))
+
+    boxes = points.mapInArrow(measure, "cell int, s long, axis int, n long, lo double, hi double").groupBy("cell", "s", "axis").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    known = boxes.orderBy("s", "cell", "axis").limit(MOST_BOXES * max(1, len(few["x"].iloc[0]) if len(few) else 1) + 1).toPandas()
+    m = int(known["axis"].max()) + 1 if len(known) else 1
+    if len(known) > MOST_BOXES * m:
+        raise ValueError(f"{same_col} has too many values: at most {MOST_BOXES} boxes of cells and values are searched")
+    at, n = known["cell"].to_numpy()[::m], known["n"].to_numpy()[::m]
+    group, lo, hi = known["s"].to_numpy()[::m], known["lo"].to_numpy().reshape(-1, m), known["hi"].to_numpy().reshape(-1, m)
+    parts = -(-np.bincount(at, n, max(cells.count, 1)).astype(np.int64) // PART_ROWS) if len(at) else np.ones(1, np.int64)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cell = cells.of(_vectors(batch.column("x")))
+                part = batch.column("h").to_numpy() % np.maximum(parts, 1)[cell]
+                yield pa.record_batch([pa.array(cell), pa.array(part.astype(np.int32)), *(batch.column(c) for c in ("s", "id", "x"))], names=["cell", "part", "s", "id", "x"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, s = (_vectors(batch.column("x")), batch.column("s").to_numpy()) if batch.num_rows else (np.empty((0, m)), np.empty(0))
+            rows, to = [], []
+            for g in np.unique(s):
+                own = np.arange(np.searchsorted(group, g), np.searchsorted(group, g, "right"))
+                here, step = np.flatnonzero(s == g), max(1, 2_000_000 // max(1, len(own) * m))
+                for a in range(0, len(here) if len(own) else 0, step):
+                    i = here[a : a + step]
+                    below, above = lo[own][None] - x[i][:, None], x[i][:, None] - hi[own][None]
+                    near = (np.maximum(np.maximum(below, above), 0) ** 2).sum(2)
+                    far = (np.maximum(np.abs(below), np.abs(above)) ** 2).sum(2)
+                    order = np.argsort(far, axis=1)
+                    enough = (np.cumsum(n[own][order], axis=1) >= k).argmax(1)
+                    reach = np.where(n[own].sum() >= k, np.take_along_axis(far, np.take_along_axis(order, enough[:, None], 1), 1)[:, 0], np.inf)
+                    r, c = np.nonzero(near <= reach[:, None] * (1 + 1e-9))
+                    rows.append(i[r])
+                    to.append(at[own][c])
+            rows, to = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (rows, to))
+            many = parts[to] if len(to) else np.empty(0, np.int64)
+            part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            pick = pa.array(np.repeat(rows, many))
+            yield pa.record_batch([pa.array(np.repeat(to, many).astype(np.int32)), pa.array(part.astype(np.int32)), *(batch.column(c).take(pick) for c in ("s", "id", "x"))], names=["cell", "part", "s", "id", "x"])
+
+    def meet(asked, held):
+        return _nearest_in(asked, held, k)
+
+    ddl = "cell int, part int, s long, id long, x array<double>"
+    placed = points.withColumn("h", F.shiftrightunsigned(F.xxhash64("id"), 1)).mapInArrow(place, ddl)
+    near = queries.mapInArrow(ask, ddl).groupBy("cell", "part").cogroup(placed.groupBy("cell", "part")).applyInArrow(meet, "query_id long, neighbour_id long, d2 double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d2", "neighbour_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "neighbour_id", "rank", "d2")
 
 
+def _nearest_in(asked, held, k):
+    """The k nearest of a cell's points for each query that came to it."""
+    out = [[], [], []]
+    if asked.num_rows and held.num_rows:
+        q, x = (_vectors(t.column("x").combine_chunks()) for t in (asked, held))
+        qid, xid, qs, xs = asked.column("id").to_numpy(), held.column("id").to_numpy(), asked.column("s").to_numpy(), held.column("s").to_numpy()
+        step = max(1, 2_000_000 // len(x))
+        for a in range(0, len(q), step):
+            part = q[a : a + step]
+            d = np.zeros((len(part), len(x)))
+            for j in range(x.shape[1]):
+                d += (part[:, j, None] - x[None, :, j]) ** 2
+            d[qs[a : a + step, None] != xs[None]] = np.inf
+            worst = np.partition(d, k - 1, axis=1)[:, k - 1] if k < len(x) else np.full(len(part), np.inf)
+            r, c = np.nonzero((d <= worst[:, None]) & (d < np.inf))
+            order = np.lexsort((xid[c], d[r, c], r))
+            r, c = r[order], c[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            r, c = r[place < k], c[place < k]
+            for v, got in zip(out, (qid[a : a + step][r], xid[c], d[r, c])):
+                v.append(got)
+    cols = [np.concatenate(v) if v else np.empty(0) for v in out]
+    return pa.table([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(float))], names=["query_id", "neighbour_id", "d2"])
+
+
 def local_linear_gradients(df: DataFrame, n_neighbors: int | None = None, n_samples: int | None = None, seed: int = 42, id_col: str = "row_id", x_col: str = "x", f_col: str = "f") -> DataFrame:
     """sample, x (centroid of the neighbours), g: slopes of a plane through the nearest rows of sampled rows.
 
@@ -151,9 +270,10 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, label: weak components, labelled 0.. by their smallest node. edges: src, dst; nodes: node."""
     sc = edges.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        there = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not there and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(there or tempfile.mkdtemp())
     both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).filter("src <> dst").distinct().checkpoint()
     label = nodes.select("node", F.col("node").alias("label")).checkpoint()
     while True:
