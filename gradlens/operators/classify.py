@@ -70,13 +70,16 @@ class ClassifyAS(GraphClassification):
         return self.result.select("x", "label", "as_dim")
 
 
-def decision_boundaries(df: DataFrame, axes: tuple[int, int] = (0, 1), step: float = 0.02, classifier=None, seed: int = 42) -> tuple[float, DataFrame]:
-    """Test accuracy of a classifier of label by x (80 / 20 split), and its predictions over a mesh of two axes (others 0)."""
+def decision_boundaries(df: DataFrame, axes: tuple[int, int] = (0, 1), step: float = 0.02, classifier=None, seed: int = 42, truth_col: str | None = None) -> tuple[float, DataFrame] | tuple[float, DataFrame, float]:
+    """Test accuracy of a classifier of label by x (80 / 20 split), and its predictions over a mesh of two axes (others 0).
+
+    truth_col: the known classes; then also the share of all rows whose prediction equals them.
+    """
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.functions import array_to_vector
 
-    data = df.select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"))
+    data = df.select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"), *([F.col(truth_col).cast("double").alias("truth")] if truth_col else []))
     m, classes = len(df.select("x").head()[0]), int(df.agg(F.max("label")).head()[0]) + 1
     train, test = data.randomSplit([0.8, 0.2], seed=seed)
     model = (classifier or MultilayerPerceptronClassifier(layers=[m, 100, max(classes, 2)], maxIter=1000, seed=seed)).fit(train)
@@ -86,4 +89,8 @@ def decision_boundaries(df: DataFrame, axes: tuple[int, int] = (0, 1), step: flo
     ranges = [np.arange(lo_hi[f"lo{i}"] - 0.5, lo_hi[f"hi{i}"] + 0.5, step) for i in range(2)]
     mesh = spark.range(len(ranges[0])).withColumn("u", F.lit(float(ranges[0][0])) + F.col("id") * step).withColumn("v", F.explode(F.expr(f"transform(sequence(0, {len(ranges[1]) - 1}), i -> {float(ranges[1][0])}D + i * {step}D)")))
     full = F.array(*[F.col("u") if i == axes[0] else F.col("v") if i == axes[1] else F.lit(0.0) for i in range(m)])
-    return accuracy, model.transform(mesh.withColumn("features", array_to_vector(full))).select("u", "v", F.col("prediction").cast("int").alias("label"))
+    drawn = model.transform(mesh.withColumn("features", array_to_vector(full))).select("u", "v", F.col("prediction").cast("int").alias("label"))
+    if truth_col:
+        right = model.transform(data).agg(F.avg((F.col("prediction") == F.col("truth")).cast("double"))).head()[0]
+        return accuracy, drawn, float(right)
+    return accuracy, drawn

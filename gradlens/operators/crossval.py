@@ -85,10 +85,11 @@ def mirrored_folds(n: int, folds: int, rng: np.random.RandomState):
         yield -v - 1, v
 
 
-def average_rrmse(log_params, cv: CrossValidation, best: list, resample: int = 5, give_up: float = 0.8) -> float:
+def average_rrmse(log_params, cv: CrossValidation, best: list, resample: int = 5, give_up: float = 0.8, log_path: str | None = None) -> float:
     """Least mean error over fresh draws of the feature matrix with params 10 ** log_params.
 
-    Stops at a draw whose error exceeds give_up; best = [score, matrix] is kept up to date.
+    Stops at a draw whose error exceeds give_up; best = [score, matrix] is kept up to date. log_path: a file of the driver
+    that gets a line (params, mean, standard deviation) a draw.
     """
     fm = cv.subspace.feature_map
     fm.params = 10.0 ** np.atleast_1d(log_params)
@@ -96,7 +97,10 @@ def average_rrmse(log_params, cv: CrossValidation, best: list, resample: int = 5
     for _ in range(resample):
         fm.matrix = fm.draw()
         model = KernelActiveSubspaces(dim=cv.subspace.dim, feature_map=fm, n_features=fm.n_features)
-        mean, _ = CrossValidation(cv.df, model, cv.folds, cv.id_col, cv.seed, cv.surface_rows).run()
+        mean, std = CrossValidation(cv.df, model, cv.folds, cv.id_col, cv.seed, cv.surface_rows).run()
+        if log_path:
+            with open(log_path, "a", encoding="utf-8") as log:
+                log.write(",".join(map(repr, [*map(float, fm.params), mean, std])) + "\n")
         least = min(least, mean)
         if mean <= best[0]:
             best[0], best[1] = mean, fm.matrix.copy()

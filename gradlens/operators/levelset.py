@@ -2,8 +2,10 @@
 
 Layers update one half of the coordinates by the other: y += h Wy' tanh(Wy z + by), then z -= h Wz' tanh(Wz y + bz).
 Training is full-batch over all rows: on the driver where they are few (the method's data are some hundred samples), else
-with the sums of loss and gradients made by Spark in each epoch; applying a trained map to rows is an Arrow UDF. The loss perturbs each mapped coordinate, maps back, and takes normalised differences as the columns of the
-inverse Jacobian; its gradient is exact, by reverse mode through the layers.
+with the sums of loss and gradients made by Spark in each epoch; applying a trained map to rows is an Arrow UDF. The loss
+perturbs each mapped coordinate, maps back, and takes normalised differences as the columns of the inverse Jacobian. Its
+first term's gradient is exact, by reverse mode through the layers; that of its determinant term, which vanishes as rows
+grow, is left out (see loss).
 """
 
 from __future__ import annotations

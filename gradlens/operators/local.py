@@ -68,6 +68,11 @@ def group_normalize(df: DataFrame, kind: str, group: str = "label", x_col: str =
 
     kinds = dict(df.dtypes)
     moments = stats.groupBy(group).applyInPandas(roots, f"{group} {kinds[group]}, _mu array<double>, _root array<array<double>>, _inv array<array<double>>")
+    if m <= SQL_PARAMETERS:  # sums written out: generated code instead of interpreted lambdas
+        z = [at(i) - F.get("_mu", F.lit(i)) for i in range(m)]
+        times = lambda matrix, v: F.array(*[sum(v[j] * F.get(F.get(matrix, F.lit(i)), F.lit(j)) for j in range(m)) for i in range(m)])
+        g = [F.get(g_col, F.lit(i)) for i in range(m)]
+        return df.join(moments, group).select("*", times("_inv", z).alias("_x"), times("_root", g).alias("_g")).drop("_mu", "_root", "_inv", x_col, g_col).withColumnsRenamed({"_x": x_col, "_g": g_col})
     dot = lambda v, row: F.aggregate(F.zip_with(v, row, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
     out = df.join(moments, group).withColumn("_z", F.zip_with(x_col, "_mu", lambda a, b: a - b))
     return out.withColumn(x_col, F.transform("_inv", lambda row: dot(F.col("_z"), row))).withColumn(g_col, F.transform("_root", lambda row: dot(F.col(g_col), row))).drop("_mu", "_root", "_inv", "_z")

@@ -15,12 +15,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradlens.functions.linalg import canonical_signs, cumulative_dim, gap_dim, sorted_eigenpairs, sqrt_pair
 from gradlens.operators.gp import GP
 from gradlens.operators.local import k_medoids
+from gradlens.operators.neighbors import nearest_label
 
 #: What a refinement ended with. Larger is worse; FULL stops the whole tree.
 OPEN, TOO_SMALL, DONE, FULL, SPLIT, FEW_ROWS, REFINED, NO_SPLIT = range(8)
@@ -337,12 +338,13 @@ class HierarchicalAS:
 
     def _cluster(self, node: Node, k: int) -> tuple[np.ndarray, np.ndarray]:
         z = node.coordinates(node.x)
-        if node.config.metric in ("kmeans", "C1"):
-            data = np.column_stack([z, node.f[:, :1], node.normalizer(node.x, node.g)[1]]) if node.config.metric == "C1" else z
-            label = lloyd(data, k, node.config.seed)
+        if node.config.metric == "kmeans":
+            label = lloyd(z, k, node.config.seed)
             centres = np.array([z[label == j].mean(0) for j in range(k)])
             return centres, _nearest(z, centres)
-        medoids = z[k_medoids(z, k, node.config.seed)]
+        # C1: medoids by position, outputs and gradients together; new points have a position only, so they go by that.
+        data = np.column_stack([z, node.f, node.normalizer(node.x, node.g)[1]]) if node.config.metric == "C1" else z
+        medoids = z[k_medoids(data, k, node.config.seed)]
         return medoids, _nearest(z, medoids)
 
     def walk(self, leaf: Callable[[Node], None], inner: Callable[[Node], None] = lambda n: None) -> None:
@@ -400,8 +402,8 @@ class HierarchicalAS:
         return spark.createDataFrame(rows, "node_id int, parent_id int, label int, state string, r_dim int, score double, n long")
 
     def leaf_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Labels and predictions (first output) of points."""
-        label, value = np.empty(len(x), int), np.empty(len(x))
+        """Labels and predictions (a column an output) of points."""
+        label, value = np.empty(len(x), int), np.empty((len(x), self.root.f.shape[1]))
         todo = [(self.root, np.arange(len(x)))]
         while todo:
             node, at = todo.pop()
@@ -411,27 +413,48 @@ class HierarchicalAS:
                 way = node.route(x[at])
                 todo += [(child, at[way == j]) for j, child in enumerate(node.children)]
             else:
-                label[at], value[at] = node.label, node.predict(x[at])[:, 0]
+                label[at], value[at] = node.label, node.predict(x[at])
         return label, value
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """df with label and prediction: the tree travels with the tasks, rows are routed in Arrow batches."""
+        """df with label, prediction (first output) and predictions (all): the tree travels with the tasks, rows are routed in Arrow batches."""
         tree = self
 
         def run(x: pd.Series) -> pd.DataFrame:
             label, value = tree.leaf_of(np.array(x.tolist(), float))
-            return pd.DataFrame({"label": label, "prediction": value})
-
-        return df.withColumn("_p", F.pandas_udf(run, "struct<label:int,prediction:double>")("x")).select("*", "_p.label", "_p.prediction").drop("_p")
-
-    def compute_scores(self, test: DataFrame, custom: Callable[[np.ndarray, np.ndarray], float] | None = None) -> float:
-        """R2 of the routed predictions, clipped to [0, 1]; custom(truth, predicted) over the rows instead."""
-        out = self.predict(test)
+            return pd.DataFrame({"label": label, "prediction": value[:, 0], "predictions": value.tolist()})
+
+        return df.withColumn("_p", F.pandas_udf(run, "struct<label:int,prediction:double,predictions:array<double>>")("x")).select("*", "_p.label", "_p.prediction", "_p.predictions").drop("_p")
+
+    def predict_by_nearest(self, df: DataFrame, train: DataFrame) -> DataFrame:
+        """Like predict, but a row belongs to the leaf of the nearest row of train instead of that of its own route. Both: row_id, x."""
+        leaves = {leaf.label: leaf for leaf in self.leaves()}
+
+        def run(x: pd.Series, label: pd.Series) -> pd.DataFrame:
+            points, own = np.array(x.tolist(), float), label.to_numpy()
+            value = np.empty((len(points), next(iter(leaves.values())).f.shape[1]))
+            for k in np.unique(own):
+                value[own == k] = leaves[k].predict(points[own == k])
+            return pd.DataFrame({"prediction": value[:, 0], "predictions": value.tolist()})
+
+        near = nearest_label(df.select("row_id", "x"), self.predict(train.select("row_id", "x")))
+        out = df.join(near.withColumnRenamed("query_id", "row_id"), "row_id")
+        return out.withColumn("_p", F.pandas_udf(run, "struct<prediction:double,predictions:array<double>>")("x", "label")).select("*", "_p.prediction", "_p.predictions").drop("_p")
+
+    def compute_scores(self, test: DataFrame, custom: Callable[[Column, Column], Column] | None = None, nearest_to: DataFrame | None = None) -> float:
+        """Mean over the outputs of R2 of the routed predictions, clipped to [0, 1].
+
+        custom: an aggregate of (truth, predicted) instead, which is averaged over the outputs. nearest_to: rows that
+        decide by the smallest distance which leaf a test row belongs to.
+        """
+        out = self.predict(test) if nearest_to is None else self.predict_by_nearest(test, nearest_to)
+        truth = F.col("f") if dict(out.dtypes)["f"].startswith("array") else F.array("f")
+        rows = out.select(F.posexplode(F.arrays_zip(truth.alias("f"), F.col("predictions").alias("p"))).alias("output", "v")).select("output", F.col("v.f").alias("f"), F.col("v.p").alias("p"))
         if custom:
-            pdf = out.select("f", "prediction").toPandas()
-            return custom(pdf["f"].to_numpy(), pdf["prediction"].to_numpy())
-        r = out.agg(F.sum((F.col("f") - F.col("prediction")) ** 2).alias("e"), (F.count("f") * F.var_pop("f")).alias("s")).head()
-        return float(np.clip(1 - r["e"] / r["s"], 0, 1))
+            return float(rows.groupBy("output").agg(custom(F.col("f"), F.col("p")).alias("score")).agg(F.avg("score")).head()[0])
+        left, spread = F.sum((F.col("f") - F.col("p")) ** 2), F.count("f") * F.var_pop("f")
+        r2 = F.when(spread > 0, 1 - left / spread).otherwise(F.when(left > 0, 0.0).otherwise(1.0))
+        return float(rows.groupBy("output").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), r2)).alias("score")).agg(F.avg("score")).head()[0])
 
     def cluster_data(self, df: DataFrame) -> DataFrame:
         """x, label and the leaf's score and dimension: what a plot of the clusters needs."""

@@ -15,7 +15,7 @@ from gradlens.functions import exprs, metrics, plots, testbed
 from gradlens.functions.linalg import linear_program, residual_energy_index, spectral_gap_dim
 from gradlens.operators import classify, crossval, kernel, levelset, local, moments, neighbors, sampling, tree
 from gradlens.operators.active import ActiveSubspaces
-from gradlens.operators.bootstrap import bootstrap
+from gradlens.operators.bootstrap import POISSON, bootstrap
 from gradlens.operators.features import DISTRIBUTIONS, FeatureMap, distribution
 
 UNIT = 10_000.0
@@ -270,8 +270,10 @@ def embeddings_gram(spark, sf_dir):
 
 
 def linear_program_corner(spark, sf_dir):
-    x = linear_program([1, 1], [[1, 0], [0, 1], [1, 1]], [0.1, 0.1, 0.1])
-    return spark.createDataFrame([tuple(round(float(v), 9) for v in x)], "x0 double, x1 double")
+    """Least 2 x0 + x1 where x0 is at least the mean discount, x1 the mean tax, and both together the largest tax plus the largest discount."""
+    r = table(spark, sf_dir, "lineitem").agg(F.avg("l_discount"), F.avg("l_tax"), F.max("l_discount") + F.max("l_tax")).head()
+    x = linear_program([2, 1], [[1, 0], [0, 1], [1, 1]], [float(v) for v in r])
+    return spark.createDataFrame([tuple(round(float(v), 6) for v in x)], "x0 double, x1 double")
 
 
 def events_running_moments(spark, sf_dir):
@@ -347,6 +349,57 @@ def bootstrap_ranges(spark, sf_dir):
     return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(br)], "idx int, lo double, hi double")
 
 
+def bootstrap_by_customer(spark, sf_dir):
+    """Ranges over 20 replicas; a customer's number decides how often it is drawn in each."""
+    df = _customer_problem(spark, sf_dir)
+    _, evects = moments.eigenpairs(df)
+    br, _ = bootstrap(df, evects, replicas=20)
+    rows = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(br)], "idx int, lo double, hi double")
+    return rows.select("idx", _r("lo").alias("lo"), _r("hi").alias("hi"))
+
+
+def _bootstrap_sql() -> str:
+    """Counts by 64-bit mixing and the inverse Poisson distribution, then closed-form eigenvalues."""
+    times = lambda x, factor: f"((({x})::UHUGEINT * {factor}::UHUGEINT) % {2**64}::UHUGEINT)::UBIGINT"
+    mixed = lambda x, shift: f"xor({x}, {x} >> {shift})"
+    drawn = " + ".join(f"(u >= {float(c)!r})::INT" for c in POISSON)
+    return f"""
+WITH b AS (SELECT min(c_acctbal) a0, max(c_acctbal) a1, min(c_nationkey) n0, max(c_nationkey) n1 FROM customer),
+p AS (SELECT c_custkey AS k, 2 * (c_acctbal - a0) / (a1 - a0) - 1 AS x0, 2 * (c_nationkey - n0)::DOUBLE / (n1 - n0) - 1 AS x1 FROM customer, b),
+g AS (SELECT k, 3 * x0 * x0 + 0.2 AS g0, 3 * x1 * x1 + 0.6 AS g1 FROM p),
+h0 AS (SELECT r, g0, g1, ((k::UHUGEINT + r::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT + {42 * 0xD1342543DE82EF95 % 2**64}::UHUGEINT) % {2**64}::UHUGEINT)::UBIGINT AS x FROM g, range(1, 21) t(r)),
+h1 AS (SELECT r, g0, g1, {times(mixed("x", 30), 0xBF58476D1CE4E5B9)} AS x FROM h0),
+h2 AS (SELECT r, g0, g1, {times(mixed("x", 27), 0x94D049BB133111EB)} AS x FROM h1),
+h3 AS (SELECT r, g0, g1, {mixed("x", 31)} AS x FROM h2),
+u AS (SELECT r, g0, g1, (x >> 11)::DOUBLE / {2**53}::DOUBLE AS u FROM h3),
+n AS (SELECT r, g0, g1, {drawn} AS n FROM u),
+c AS (SELECT r, sum(n * g0 * g0) / sum(n) a, sum(n * g0 * g1) / sum(n) b, sum(n * g1 * g1) / sum(n) d FROM n GROUP BY r),
+l AS (SELECT r, (a + d) / 2 AS m, sqrt(((a - d) / 2) * ((a - d) / 2) + b * b) AS q FROM c)
+SELECT 0 AS idx, round(min(m + q), 6) AS lo, round(max(m + q), 6) AS hi FROM l UNION ALL SELECT 1, round(min(m - q), 6), round(max(m - q), 6) FROM l
+"""
+
+
+def _classes_sql(k: int = 6, threshold: float = 0.99) -> str:
+    """Dimension of each supplier from all triples of its k nearest, then components of the graph among equal dimensions."""
+    far = "(a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1)"
+    return f"""
+WITH RECURSIVE p AS (SELECT s_suppkey AS id, s_acctbal / 10000 AS x0, s_nationkey::DOUBLE / 25 AS x1 FROM supplier),
+g AS (SELECT *, 4 * x0 * x0 * x0 AS g0, -4 * x1 * x1 * x1 AS g1 FROM p),
+near AS (SELECT id, g0, g1, k FROM (SELECT a.id, b.g0, b.g1, row_number() OVER (PARTITION BY a.id ORDER BY {far}, b.id) AS k FROM p a, g b) WHERE k <= {k}),
+triple AS (
+  SELECT x.id, x.g0 * x.g0 + y.g0 * y.g0 + z.g0 * z.g0 AS a, x.g0 * x.g1 + y.g0 * y.g1 + z.g0 * z.g1 AS b, x.g1 * x.g1 + y.g1 * y.g1 + z.g1 * z.g1 AS d
+  FROM near x JOIN near y ON x.id = y.id AND x.k < y.k JOIN near z ON z.id = y.id AND y.k < z.k),
+dims AS (SELECT id, min(CASE WHEN (a + d) / 2 + sqrt(((a - d) / 2) * ((a - d) / 2) + b * b) > {threshold} * (a + d) THEN 1 ELSE 2 END) AS as_dim FROM triple GROUP BY 1),
+e AS (
+  SELECT src, dst FROM (SELECT a.id AS src, b.id AS dst, row_number() OVER (PARTITION BY a.id ORDER BY {far}, b.id) AS k
+    FROM p a JOIN dims s ON s.id = a.id, p b JOIN dims t ON t.id = b.id WHERE s.as_dim = t.as_dim) WHERE k <= {k}),
+way AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+w AS (SELECT id AS node, id AS seen FROM p UNION SELECT w.node, way.dst FROM w JOIN way ON way.src = w.seen),
+l AS (SELECT node, min(seen) AS m FROM w GROUP BY 1)
+SELECT node AS row_id, as_dim::INT AS as_dim, (dense_rank() OVER (ORDER BY m) - 1)::INT AS label FROM l JOIN dims ON dims.id = node
+"""
+
+
 def _customer_problem(spark, sf_dir) -> DataFrame:
     """All customers: balance and nation as normalised parameters of the cubic function, with its gradient."""
     rows = _customers(spark, sf_dir).select("row_id", "x")
@@ -420,6 +473,7 @@ def tuned_features(spark, sf_dir):
     cv = crossval.CrossValidation(rows, kernel.KernelActiveSubspaces(dim=1, feature_map=fm, n_features=6), folds=2)
     best = [0.8, None]
     score, params, _ = fm.tune(lambda m, p: crossval.average_rrmse(np.log10(p), cv, best, resample=1), [slice(-1.0, 1.0, 1.0)])
+    rows.unpersist()
     return spark.createDataFrame([(float(score), float(params[0]))], "score double, param double")
 
 
@@ -468,10 +522,12 @@ WITH_SQL = {
     "graph_components_by_dim": (graph_components_by_dim, "WITH RECURSIVE d AS (SELECT a.s_suppkey AS src, b.s_suppkey AS dst, (a.s_acctbal / 1000 - b.s_acctbal / 1000) * (a.s_acctbal / 1000 - b.s_acctbal / 1000) + (a.s_nationkey - b.s_nationkey)::DOUBLE * (a.s_nationkey - b.s_nationkey) AS d2 FROM supplier a, supplier b WHERE a.s_nationkey % 3 = b.s_nationkey % 3), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS k FROM d), e AS (SELECT src, dst FROM r WHERE k <= 2 UNION SELECT dst, src FROM r WHERE k <= 2), w AS (SELECT s_suppkey AS node, s_suppkey AS seen FROM supplier UNION SELECT w.node, e.dst FROM w JOIN e ON e.src = w.seen), l AS (SELECT node, min(seen) AS m FROM w GROUP BY 1) SELECT node, (dense_rank() OVER (ORDER BY m) - 1)::INT AS label FROM l"),
     "embeddings_gram": (embeddings_gram, "WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), n AS (SELECT count(*) AS n FROM embeddings) SELECT a.i::INT AS i, b.i::INT AS j, round(sum(a.v * b.v) / any_value(n), 5) + 0.0 AS c FROM u a JOIN u b USING (vec_id), n GROUP BY 1, 2"),
     "closed_form_functions": (closed_form_functions, CTE + " UNION ALL ".join(f"SELECT '{n}' AS name, round(avg({f}), 6) + 0.0 AS f, round(avg(({a}) * ({a})), 6) + 0.0 AS c00, round(avg(({a}) * ({b})), 6) + 0.0 AS c01, round(avg(({b}) * ({b})), 6) + 0.0 AS c11 FROM s" for n, (f, a, b) in FORMULAS.items())),
-    "linear_program_corner": (linear_program_corner, "SELECT 0.1::DOUBLE AS x0, 0.1::DOUBLE AS x1"),
+    "linear_program_corner": (linear_program_corner, "WITH r AS (SELECT avg(l_discount) AS a, avg(l_tax) AS b, max(l_discount) + max(l_tax) AS c FROM lineitem) SELECT round(a, 6) AS x0, round(greatest(b, c - a), 6) AS x1 FROM r"),
     "events_running_moments": (events_running_moments, "WITH g AS (SELECT value / 100 AS a, hour(ts) / 24.0 AS b FROM events WHERE value IS NOT NULL) SELECT count(*) AS n, round(avg(a * a), 6) + 0.0 AS c00, round(avg(a * b), 6) + 0.0 AS c01, round(avg(b * b), 6) + 0.0 AS c11 FROM g"),
+    "bootstrap_by_customer": (bootstrap_by_customer, _bootstrap_sql()),
+    "classify_by_dim": (classify_by_dim, _classes_sql()),
 }
-ROWS_ONLY = (frequent_directions, randomized_spectrum, bootstrap_ranges, inverse_map, optimal_profile, local_gradients, kmeans_as, kmedoids_as, hierarchical_as, hierarchical_predict, classify_by_dim, class_boundaries, feature_distributions, tuned_features, cross_validated_surface, level_set_loss, quadratic_moments)
+ROWS_ONLY = (frequent_directions, randomized_spectrum, bootstrap_ranges, inverse_map, optimal_profile, local_gradients, kmeans_as, kmedoids_as, hierarchical_as, hierarchical_predict, class_boundaries, feature_distributions, tuned_features, cross_validated_surface, level_set_loss, quadratic_moments)
 
 
 def queries() -> dict:

@@ -391,3 +391,107 @@ def test_level_set_trains_on_all_rows(spark):
         for p, q in zip(model.net.parameters(), all_rows.net.parameters()):
             np.testing.assert_allclose(p, q, rtol=1e-7, atol=1e-10)
         assert model.reconstruction == pytest.approx(all_rows.reconstruction, abs=1e-12)
+
+
+@pytest.mark.parametrize("cells", [1, 7, 64])
+def test_nearest_against_brute_force(spark, monkeypatch, cells):
+    """Ties, repeated points, groups smaller than k, points far from all others, null and NaN coordinates."""
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 400 // cells)
+    monkeypatch.setattr(neighbors, "PART_ROWS", 50)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.round(rng.normal(0, 1, (250, 3)), 1), np.zeros((120, 3)), rng.uniform(50, 90, (30, 3))])
+    s = [0 if i % 40 else 1 for i in range(len(x))]
+    rows = [(i, [float(v) for v in p], g) for i, (p, g) in enumerate(zip(x, s))]
+    df = spark.createDataFrame([*rows, (900, [1.0, float("nan"), 0.0], 0), (901, None, 0), (902, [1.0, 2.0, 3.0], None)], "row_id long, x array<double>, s long")
+    ask = df.filter("row_id % 3 = 0").withColumn("x", F.transform("x", lambda v: v + 0.05))
+    for same in (None, "s"):
+        got = neighbors.k_nearest(ask, df, 12, same_col=same).collect()
+        q = {r["row_id"]: r for r in ask.collect() if r["x"] and not any(np.isnan(r["x"])) and (not same or r["s"] is not None)}
+        held = [(i, p, g) for i, p, g in [*rows, *([] if same else [(902, [1.0, 2.0, 3.0], None)])]]
+        by = {}
+        for r in got:
+            by.setdefault(r["query_id"], []).append(r)
+        assert set(by) == set(q)
+        for i, r in q.items():
+            want = sorted((sum((a - b) ** 2 for a, b in zip(r["x"], p)), j) for j, p, g in held if not same or g == r["s"])[:12]
+            mine = sorted(by[i], key=lambda v: v["rank"])
+            assert [v["rank"] for v in mine] == list(range(1, len(want) + 1))
+            np.testing.assert_allclose([v["d2"] for v in mine], [w[0] for w in want], atol=1e-12)
+            assert {v["neighbour_id"] for v in mine if v["d2"] < want[-1][0] - 1e-9} == {j for d, j in want if d < want[-1][0] - 1e-9}
+    assert neighbors.k_nearest(ask, df.limit(0), 3).count() == neighbors.k_nearest(ask.limit(0), df, 3).count() == 0
+
+
+def test_bootstrap_draws_rows_not_values(spark):
+    """Two distinct gradients in 4000 rows: the ranges are those of drawing rows, and as wide as resampling makes them."""
+    g = np.array([[1.0, 0.0], [0.0, 1.0]])[np.arange(4000) % 2]
+    model = ActiveSubspaces(dim=1, n_boot=200).fit(from_arrays(spark, g=g))
+    assert 0.49 < model.evals_br[0, 0] <= model.evals_br[0, 1] < 0.54 and 0.46 < model.evals_br[1, 0] <= model.evals_br[1, 1] < 0.51
+    with pytest.raises(ValueError):
+        ActiveSubspaces(dim=1).fit(from_arrays(spark, g=g).drop("row_id"))
+
+
+def test_bootstrap_of_vector_outputs(spark):
+    from gradlens.operators import bootstrap
+
+    rng = np.random.default_rng(8)
+    g, metric = rng.normal(size=(300, 3, 2)), np.array([[2.0, 0.3, 0], [0.3, 1, 0], [0, 0, 0.5]])
+    df = from_arrays(spark, g=g)
+    model = ActiveSubspaces(dim=1, n_boot=40).fit(df, metric=metric)
+    ids = np.array([r["row_id"] for r in df.select("row_id").collect()])
+    rows = np.array([r["g"] for r in df.select("g").collect()])
+    counts = bootstrap.poisson_counts(ids, 40, 42)
+    matrices = bootstrap.matrices_of(rows, np.ones(len(rows)), counts, metric) / counts.sum(1)[:, None, None]
+    values, errors = bootstrap.ranges(matrices, model.evects)
+    np.testing.assert_allclose(model.evals_br, values)
+    np.testing.assert_allclose(model.subs_br, errors, atol=1e-7)
+
+
+def quadrants(spark, n, seed, first=0):
+    """Two outputs whose active directions differ from side to side."""
+    rng = np.random.default_rng(seed)
+    x = rng.uniform(-1, 1, (n, 2))
+    side = x[:, 0] > 0
+    f = np.column_stack([np.where(side, x[:, 1] ** 2, x[:, 0] ** 3), np.where(side, 3 * x[:, 1], -x[:, 0])])
+    rows = [(first + i, [float(v) for v in p], [float(v) for v in y]) for i, (p, y) in enumerate(zip(x, f))]
+    return spark.createDataFrame(rows, "row_id long, x array<double>, f array<double>"), x, f
+
+
+def test_tree_scores_by_output_and_nearest_row(spark):
+    train, x, f = quadrants(spark, 240, 1)
+    slope = np.where(x[:, :1] > 0, np.column_stack([0 * x[:, 0], 2 * x[:, 1] + 3]), np.column_stack([3 * x[:, 0] ** 2 - 1, 0 * x[:, 0]]))
+    df = train.join(spark.createDataFrame([(i, [float(v) for v in g]) for i, g in enumerate(slope)], "row_id long, g array<double>"), "row_id")
+    config = {"max_clusters": 4, "max_children": 2, "min_children": 2, "max_red_dim": 1, "score_tol": 0.999, "min_local": 8, "dim_cut": 0.95, "dim_criterion": "cum", "normalization": "uniform", "metric": "C1", "refinement": "force", "restarts": 0}
+    t = tree.HierarchicalAS().fit(df, config)
+    assert len(t.leaves()) > 1
+    test, u, truth = quadrants(spark, 60, 2, 1000)
+    out = {r["row_id"]: r for r in t.predict(test).collect()}
+    label, value = t.leaf_of(u)
+    np.testing.assert_allclose([out[1000 + i]["predictions"] for i in range(60)], value)
+    want = np.mean([np.clip(1 - ((truth[:, j] - value[:, j]) ** 2).sum() / ((truth[:, j] - truth[:, j].mean()) ** 2).sum(), 0, 1) for j in range(2)])
+    assert t.compute_scores(test) == pytest.approx(want)
+    assert t.compute_scores(test, lambda f, p: F.avg(F.abs(f - p))) == pytest.approx(np.abs(truth - value).mean(0).mean())
+    # The leaf of the nearest training row.
+    own = t.leaf_of(x)[0][((u[:, None] - x[None]) ** 2).sum(2).argmin(1)]
+    near = {r["row_id"]: r for r in t.predict_by_nearest(test, df).collect()}
+    assert [near[1000 + i]["label"] for i in range(60)] == own.tolist()
+    leaves = {leaf.label: leaf for leaf in t.leaves()}
+    np.testing.assert_allclose([near[1000 + i]["predictions"] for i in range(60)], [leaves[k].predict(u[i : i + 1])[0] for i, k in enumerate(own)])
+    assert 0 <= t.compute_scores(test, nearest_to=df) <= 1
+
+
+def test_true_classes_and_log(spark, tmp_path):
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    rows = [(i, [float(i % 20) / 10 - 1, 0.1 * (i % 7)], int(i % 20 > 9), int(i % 20 > 9) if i % 10 else 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id long, x array<double>, label int, truth int")
+    accuracy, mesh, right = classify.decision_boundaries(df, step=0.5, classifier=MultilayerPerceptronClassifier(layers=[2, 4, 2], maxIter=80, seed=1), truth_col="truth")
+    assert accuracy > 0.95 and mesh.count() > 0 and right == pytest.approx(0.95, abs=0.03)
+    x = np.random.default_rng(0).uniform(-1, 1, (40, 2))
+    data = from_arrays(spark, x, x[:, 0] ** 2, np.column_stack([2 * x[:, 0], 0 * x[:, 0]]))
+    from gradlens.operators.features import FeatureMap
+
+    fm = FeatureMap("laplace", np.array([0.1]), 2, 4, np.zeros(1), 1.0)
+    cv = crossval.CrossValidation(data, kernel.KernelActiveSubspaces(dim=1, feature_map=fm, n_features=4), folds=2)
+    crossval.average_rrmse(np.zeros(1), cv, [10.0, None], resample=2, give_up=100, log_path=str(tmp_path / "log.csv"))
+    lines = (tmp_path / "log.csv").read_text().splitlines()
+    assert len(lines) == 2 and all(len(line.split(",")) == 3 for line in lines)
