@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradlens.llm._common import table
+from gradlens.llm._common import freed, table
 
 #: Runs that one merge takes in.
 FAN = 16
@@ -111,7 +111,7 @@ def first_runs(rows: DataFrame, runs: int, largest: bool, fan: int = FAN, size:
         if held:
             yield from give()
 
-    return rows.mapInArrow(run, _RUNS)
+    return rows.mapInArrow(freed(run), _RUNS)
 
 
 def merge_round(runs: DataFrame, slots: int, largest: bool, fan: int = FAN) -> DataFrame:
@@ -121,7 +121,7 @@ def merge_round(runs: DataFrame, slots: int, largest: bool, fan: int = FAN) -> D
         out = merged([np.frombuffer(b, _ENTRY) for b in part.column("entries").to_pylist()], largest)
         return _rows(_dealt(out, key[1].as_py(), slots, fan) if slots else [(key[0].as_py(), 0, out.tobytes())])
 
-    return runs.groupBy("slot", "run").applyInArrow(run, _RUNS)
+    return runs.groupBy("slot", "run").applyInArrow(freed(run), _RUNS)
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +140,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     runs = first_runs(digests(docs, id_col, text_col), fan**rounds, largest, fan, size)
     for r in range(1, rounds + 1):
         runs = merge_round(runs, fan ** (r + 1) if r < rounds else 0, largest, fan)
-    return runs.mapInArrow(_entries, _FOUND)
+    return runs.mapInArrow(freed(_entries), _FOUND)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", fan: int = FAN, size: int = RUN_ENTRIES) -> DataFrame:

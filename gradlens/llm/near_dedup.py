@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradlens.llm._common import discard, mix64, slices, table, text_bytes, written
+from gradlens.llm._common import discard, freed, mix64, slices, table, text_bytes, written
 
 WORDS = 5
 K = 48
@@ -46,6 +46,8 @@ _KEY = b"gradlens shingles"
 _rng = np.random.default_rng(541)
 #: Odd multipliers of a shingle's words, for two independent hashes.
 _MULT = _rng.integers(0, 2**63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes of text whose words are in memory at once.
+SLICE = 500_000
 #: Longer words are hashed one by one.
 _LONG = 256
 _STEP_KEYS = _rng.integers(0, 2**63, (2, _LONG // 8), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,10 +144,10 @@ def sketches(docs: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = text_bytes(batch.column(1))
-            sets = [x for a, b in slices([len(r) for r in raw]) for x in _small(_shingles(raw[a:b], words), k)]
+            sets = [x for a, b in slices([len(r) for r in raw], SLICE) for x in _small(_shingles(raw[a:b], words), k)]
             yield pa.record_batch([batch.column(0), pa.array([s[0] for s in sets], pa.int64()), pa.array([s[1] for s in sets], pa.binary()), _lists([s[2] for s in sets])], names=["doc_id", "n_shingles", "digest", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sketch array<long>")
+    return docs.mapInArrow(freed(run), "doc_id long, n_shingles long, digest binary, sketch array<long>")
 
 
 def _small(shingles: Iterator[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
@@ -161,11 +163,11 @@ def full_sets(docs: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = text_bytes(batch.column(1))
-            for a, b in slices([len(x) for x in raw]):
+            for a, b in slices([len(x) for x in raw], SLICE):
                 sets = shingle_sets(raw[a:b], words)
                 yield pa.record_batch([batch.column(0).slice(a, b - a), _lists([x[:k] for x in sets]), _lists(sets), batch.column(1).slice(a, b - a)], names=["rep", "sketch", "shingles", "text"])
 
-    return docs.mapInArrow(run, "rep long, sketch array<long>, shingles array<long>, text string")
+    return docs.mapInArrow(freed(run), "rep long, sketch array<long>, shingles array<long>, text string")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -216,7 +218,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, words: int, k: in
             yield batch.filter(pa.array([linked(x, y, percent, words) for x, y in texts], pa.bool_())).select(["a", "b"])
 
     full = near.join(side("a", "text"), "a").join(side("b", "text"), "b").select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(run, "a long, b long")
+    return full.mapInArrow(freed(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, words: int = WORDS, k: int = K) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradlens.llm._common import table
+from gradlens.llm._common import freed, table
 
 #: GPT-2's published pre-tokenisation pattern, which the byte-level vocabularies go with (fixed value).
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -187,7 +187,7 @@ def _cut_documents(docs: DataFrame, path: str, limits: Limits) -> DataFrame:
             cols = list(zip(*rows)) or [[]] * 9
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss_from", "ids", "copy", "part"])
 
-    return docs.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_from long, ids binary, copy long, part long")
+    return docs.mapInArrow(freed(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_from long, ids binary, copy long, part long")
 
 
 _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -230,7 +230,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         names = [x.split()[0] for x in _PACKED.split(", ")]
         return pa.table([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
 
-    return pieces.groupBy("slot").applyInArrow(run, _PACKED)
+    return pieces.groupBy("slot").applyInArrow(freed(run), _PACKED)
 
 
 def op1_vector_packing(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from gradlens.llm._common import table, text_bytes
+from gradlens.llm._common import freed, table, text_bytes
 
 
 @dataclass(frozen=True)
@@ -111,7 +111,7 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             cols = list(zip(*_judged(batch, "text"))) or [[]] * 9
             yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, kind) for c, (_, kind) in zip(cols, FIELDS[1:]))], names=[n for n, _ in FIELDS])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(run, f"doc_id long, {_DDL}")
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(freed(run), f"doc_id long, {_DDL}")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -121,7 +121,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([r[6] for r in _judged(batch, text_col)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)
 
 
 def op2_compression_bands(spark, sf_dir: str) -> DataFrame:

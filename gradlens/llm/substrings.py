@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradlens.llm._common import mix64, slices, table, text_bytes
+from gradlens.llm._common import freed, mix64, slices, table, text_bytes
 from gradlens.llm.rindex import RunIndex, repeated
 
 WIDTH = 100
@@ -162,7 +162,7 @@ def _anchors(blocks: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
         blobs = [short[cut[b] : cut[b + 1]].tobytes() + count[cut[b] : cut[b + 1]].tobytes() for b in full]
         return pa.table([pa.array(full, pa.int64()), pa.array([block] * len(full), pa.int64()), pa.array([int(cut[b + 1] - cut[b]) for b in full], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block", "n", "blob"])
 
-    return blocks.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(run, "bucket long, block long, n long, blob binary")
+    return blocks.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(freed(run), "bucket long, block long, n long, blob binary")
 
 
 def _repeated(anchors: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def _repeated(anchors: DataFrame) -> DataFrame:
                 rows.append((b, bucket, every[lo:hi][own].tobytes(), every[lo:hi][hot[lo:hi]].tobytes()))
         return pa.table([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 4, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["block", "bucket", "blob", "hot"])
 
-    return anchors.groupBy("bucket").applyInArrow(run, "block long, bucket long, blob binary, hot binary")
+    return anchors.groupBy("bucket").applyInArrow(freed(run), "block long, bucket long, blob binary, hot binary")
 
 
 _PHRASE = "bucket long, hash long, cid long, block long, doc_id long, tid long, start long, n long, seq binary"
@@ -264,7 +264,7 @@ def _phrases(blocks: DataFrame, copies: DataFrame, repeated: DataFrame, buckets:
         cols = [bucket, h[rows], cid[rows], np.full(len(rows), block), d[rows], tid[rows], start[rows], n[rows]]
         return pa.table([*map(pa.array, cols), seqs], names=names)
 
-    return blocks.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(run, _PHRASE)
+    return blocks.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(freed(run), _PHRASE)
 
 
 def mark(flat: np.ndarray, bounds: np.ndarray, order_key: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -324,7 +324,7 @@ def _marked(phrase_rows: DataFrame) -> DataFrame:
         cut = np.append(at, len(blk))
         return pa.table([pa.array(names.astype(np.int64)), pa.array([rec[cut[i] : cut[i + 1]].tobytes() for i in range(len(names))], pa.binary())], names=["block", "blob"])
 
-    return phrase_rows.groupBy("bucket").applyInArrow(run, "block long, blob binary")
+    return phrase_rows.groupBy("bucket").applyInArrow(freed(run), "block long, blob binary")
 
 
 def string_by_string(flat: np.ndarray, bounds: np.ndarray, order_key: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -405,7 +405,7 @@ def _cut(blocks: DataFrame, copies: DataFrame, marked: DataFrame, with_text: boo
         kinds = (pa.int64(),) * 5 + (pa.string(), pa.string())
         return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 7, kinds)], names=["doc_id", "tid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    return blocks.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(run, "doc_id long, tid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return blocks.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(freed(run), "doc_id long, tid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def joined(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
