@@ -189,7 +189,7 @@ def test_pages(spark):
     assert links.judge_pages(df.limit(0)).count() == 0
 
 
-def test_hrefs(spark):
+def test_hrefs(spark, monkeypatch):
     html = """<a href="/x"><A class=k HREF = '//b.net/q'>t</a><a data-href="http://bad.net/" href="/y"><a title="see href=http://no.net" href=mailto:me@x.org>
     <a download href="javascript:go('a>b')"><a href=ftp://F.net/><abbr href="http://no.net/"><a name="n"><a title='a > b' href="HTTP://c.net?x://y"><a href="/r?u=http://no.net/">"""
     df = spark.createDataFrame([(1, "http://own.org/", html), (2, "http://b.net/", "<a href='http://b.net/self'>" + "<a x='1' href=\"http://own.org/\">" * 5000), (3, None, html), (4, "http://z.org", None)], "page_id long, url string, html string")
@@ -202,8 +202,10 @@ def test_hrefs(spark):
     duck.register("pages", df.toPandas())
     cols = "page_id, host, path, rule, verdict, trust, distrust"
     want = duck.execute(f"select {cols} from ({links.OP9_SQL}) order by page_id").fetchall()
-    seen = links.judge_pages(df).select("page_id", "host", "path", "rule", "verdict", F.round("trust", 6), F.round("distrust", 6)).orderBy("page_id").collect()
-    assert [tuple(r) for r in seen] == want
+    for most in (links.BROADCAST_HOSTS, 0):
+        monkeypatch.setattr(links, "BROADCAST_HOSTS", most)
+        seen = links.judge_pages(df).select("page_id", "host", "path", "rule", "verdict", F.round("trust", 6), F.round("distrust", 6)).orderBy("page_id").collect()
+        assert [tuple(r) for r in seen] == want
 
 
 def test_distrust_decides_over_links(spark):
