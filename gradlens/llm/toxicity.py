@@ -323,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, contexts: bool
             x = [matcher.features(t)[0] for t in batch.column(0).to_pylist()]
             yield pa.record_batch([pa.array(x, pa.float64()), batch.column(1)], names=["x", "y"])
 
-    got = train.mapInArrow(look, "x double, y int").orderBy("x", "y").collect()  # at most `rows` rows of two numbers
+    got = sorted(train.mapInArrow(look, "x double, y int").collect())  # at most `rows` rows of two numbers; in order, so sums repeat
     train.unpersist()
     if not got:
         return Model({}, 0.0, 0.0, contexts)
