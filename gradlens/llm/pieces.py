@@ -89,9 +89,11 @@ class Codec(dict):
         return ids[::-1], score[n]
 
     def __missing__(self, word: str) -> tuple[bytes, float, int]:
-        ids: list[int] = []
-        total, n_bytes, run = 0.0, 0, []
-        for c in [*word, None]:
+        ids, total, n_bytes, run = [], 0.0, 0, []
+        whole = self.known.issuperset(word)
+        if whole:
+            ids, total = self.best(word)
+        for c in () if whole else (*word, None):
             if c in self.known:
                 run.append(c)
                 continue
