@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradlens.llm._common import table
+from gradlens.llm._common import freed, table
 from gradlens.llm.language import fold
 
 # Closed word classes in English, German, French and Spanish (fixed values).
@@ -55,6 +55,9 @@ LEXICON = 20_000
 LEAST_WEIGHT = 2.25
 PREFIXES = (4, 5, 6)
 
+#: Words that a task remembers.
+REMEMBER = 50_000
+_PLAIN_WORD = OTHER, 1.0
 _TOKENS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.,;:!?\n|]").findall
 _MARKS = frozenset(".,;:!?\n|")
 
@@ -167,10 +170,10 @@ class Lexicon:
             state = self.arcs.get((state, c), -1)
             if state < 0:
                 break
-        kind, weight = self.whole.get(state, (OTHER, 1.0))
+        kind, weight = self.whole.get(state, _PLAIN_WORD)
         if best and (kind != INSULT or best > weight):
             return INSULT, best
-        return kind, weight
+        return self.whole.get(state, _PLAIN_WORD)
 
 
 class Matcher(dict):
@@ -182,7 +185,7 @@ class Matcher(dict):
         self.menace = max(insults.values(), default=THREAT_WEIGHT)
 
     def __missing__(self, word: str) -> tuple[int, float]:
-        if len(self) > 300_000:
+        if len(self) > REMEMBER:
             self.clear()
             self.update(dict.fromkeys(_MARKS))
         self[word] = self.lexicon.read(word)
@@ -306,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, contexts: bool
         every = list(set(n[0]) | set(n[1]))
         yield pa.record_batch([pa.array(["", *every]), pa.array([docs_of[0], *(n[0][w] for w in every)], pa.int64()), pa.array([docs_of[1], *(n[1][w] for w in every)], pa.int64())], names=["w", "n0", "n1"])
 
-    counts = train.mapInArrow(count, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = train.mapInArrow(freed(count), "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     found = {r["w"]: (r["n0"], r["n1"]) for r in counts.filter("w = '' or (n1 >= 4 and n1 >= 8 * n0)").orderBy(F.desc("n1"), "w").limit(LEXICON).collect()}
     d0, d1 = found.pop("", (0, 0))
     lexicon = {w: x for w, (n0, n1) in found.items() if not w.endswith("*") and (x := _weight(n0, n1, d0, d1))}
@@ -323,7 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, contexts: bool
             x = [matcher.features(t)[0] for t in batch.column(0).to_pylist()]
             yield pa.record_batch([pa.array(x, pa.float64()), batch.column(1)], names=["x", "y"])
 
-    got = sorted(train.mapInArrow(look, "x double, y int").collect())  # at most `rows` rows of two numbers; in order, so sums repeat
+    got = sorted(train.mapInArrow(freed(look), "x double, y int").collect())  # at most `rows` rows of two numbers; in order, so sums repeat
     train.unpersist()
     if not got:
         return Model({}, 0.0, 0.0, contexts)
@@ -341,7 +344,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             p = 1 / (1 + np.exp(-np.clip(x * model.slope + model.bias, -30, 30)))
             yield pa.record_batch([batch.column(0), pa.array(p, pa.float64()), pa.array([f[1] for f in found], pa.int64())], names=["doc_id", "score", "n_clauses"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, score double, n_clauses long")
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(freed(run), "doc_id long, score double, n_clauses long")
 
 
 def op8_clause_grammar(spark, sf_dir: str) -> DataFrame:
