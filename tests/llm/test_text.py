@@ -219,6 +219,20 @@ def test_distrust_decides_over_links(spark):
     assert by[6]["verdict"] == by[7]["verdict"] == "allow" and by[5]["distrust"] < by[2]["distrust"]
 
 
+def test_op9_rules_are_those_of_the_contract(spark, tmp_path):
+    """Each rule's word as the contract of op9 lists it, in the query's rows and in its SQL; the host is met as a subdomain too."""
+    stated = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    urls = [f"http://{sub}{rule}1" for rule in stated for sub in ("", "www.")]
+    spark.createDataFrame([(k, url, None) for k, url in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = [(rule, verdict) for rule, verdict in stated.items() for _ in range(2)]
+    assert [(r["rule"], r["verdict"]) for r in links.op9_link_propagation(spark, str(tmp_path)).orderBy("page_id").collect()] == want
+    assert duck.execute(f"select rule, verdict from ({links.OP9_SQL}) order by page_id").fetchall() == want
+
+
 def test_rule_ties_and_long_pages(spark):
     rules = (("block", "a.com/x"), ("allow", "b.com/x"), ("allow", "a.com/x"))
     rows = [(1, "http://a.com/xy", "<p>" + "word " * 300_000 + "<a href='http://b.com/'>"), (2, "http://b.com/x?" + "q" * 100_000, None), (3, "HTTP://B.com/#f/x", ""), (4, "://host/p", ""), (5, "x://", "")]
