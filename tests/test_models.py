@@ -103,6 +103,17 @@ def test_nearest_and_components(spark):
     assert [label[i] for i in range(6)] == [0, 0, 0, 1, 2, 2]
 
 
+def test_components_of_long_chains(spark):
+    """A chain of shuffled nodes takes many rounds: plans must not keep sizes that multiply, nor labels walk node by node."""
+    from collections import Counter
+
+    order = np.random.default_rng(1).permutation(1000).tolist()
+    edges = spark.createDataFrame([(a, b) for k, (a, b) in enumerate(zip(order, order[1:])) if k not in (99, 499)], "src long, dst long")
+    label = {r["node"]: r["label"] for r in neighbors.components(edges, spark.range(1000).withColumnRenamed("id", "node")).collect()}
+    parts = sorted((order[:100], order[100:500], order[500:]), key=min)
+    assert Counter(label.values()) == {k: len(p) for k, p in enumerate(parts)} and all(label[v] == k for k, p in enumerate(parts) for v in p)
+
+
 def test_normalizer(spark):
     df = from_arrays(spark, np.array([[0.0, 1.0], [4.0, 3.0], [1.0, 2.0]]))
     n = exprs.Normalizer.fit(df)
