@@ -114,6 +114,25 @@ def test_components_of_long_chains(spark):
     assert Counter(label.values()) == {k: len(p) for k, p in enumerate(parts)} and all(label[v] == k for k, p in enumerate(parts) for v in p)
 
 
+def test_planes_of_points_on_a_line(spark, tmp_path):
+    """Copies of customers leave two places among the twelve nearest: the SQL's slopes are then 0 / 0 or by rounding."""
+    import duckdb
+
+    from gradlens.plans import catalog
+
+    rng = np.random.default_rng(7)
+    places = [(round(float(rng.uniform(-999, 9999)), 2), int(rng.integers(25))) for _ in range(60)]
+    spark.createDataFrame([(c * 60 + k, n, b) for c in range(6) for k, (b, n) in enumerate(places)], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k, n, b + 1) for k, (b, n) in enumerate(places[:30])], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    duck = duckdb.connect()
+    for t in ("customer", "supplier"):
+        duck.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = duck.execute(f"select query_id, g0, g1 from ({catalog.oracle_sql()['local_planes_2d']}) order by 1").fetchall()
+    got = [tuple(r) for r in catalog.local_planes_2d(spark, str(tmp_path)).orderBy("query_id").collect()]
+    np.testing.assert_array_equal(np.array(got), np.array(want))
+    assert any(v != v for r in want for v in r)
+
+
 def test_normalizer(spark):
     df = from_arrays(spark, np.array([[0.0, 1.0], [4.0, 3.0], [1.0, 2.0]]))
     n = exprs.Normalizer.fit(df)
