@@ -133,6 +133,25 @@ def test_planes_of_points_on_a_line(spark, tmp_path):
     assert any(v != v for r in want for v in r)
 
 
+@pytest.mark.parametrize("kind", ["uniform", "gaussian"])
+def test_group_normalisers_go_to_the_rows(spark, tmp_path, kind, monkeypatch):
+    """Rows of few groups are not gathered by group; with more groups than may be sent the result is the same."""
+    rng = np.random.default_rng(3)
+    spark.createDataFrame([("ab"[k % 2], rng.normal(size=2).tolist(), rng.normal(size=2).tolist()) for k in range(200)], "label string, x array<double>, g array<double>").write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = local.group_normalize(df, kind)
+        assert "BroadcastHashJoin" in (plan := sent._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in plan
+        monkeypatch.setattr(local, "BROADCAST_GROUPS", 1)
+        met = local.group_normalize(df, kind)
+        assert "SortMergeJoin" in met._jdf.queryExecution().executedPlan().toString()
+        a, b = (sorted((r["label"], *r["x"], *r["g"]) for r in out.collect()) for out in (sent, met))
+        np.testing.assert_allclose([r[1:] for r in a], [r[1:] for r in b], rtol=1e-12)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_normalizer(spark):
     df = from_arrays(spark, np.array([[0.0, 1.0], [4.0, 3.0], [1.0, 2.0]]))
     n = exprs.Normalizer.fit(df)
