@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,16 +109,139 @@ class ActiveSubspaces(Subspace):
         self.require_fit()
         w1, w2 = self.W1, self.W2 if self.W2 is not None else linalg.complement(self.W1)
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
-                out = []
-                for i, k, y in zip(pdf["id"], pdf["k"], pdf["y"]):
-                    x = full_points(np.asarray(y, float), w1, w2, n_points, np.random.default_rng([seed, k & (2**63 - 1)]))
-                    out += [(i, j, row.tolist()) for j, row in enumerate(x)]
-                yield pd.DataFrame(out, columns=[id_col, "sample", "x"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, x in points_of(batches, w1, w2, n_points, seed):
+                n, m = len(x), w1.shape[0]
+                flat = pa.array(np.ascontiguousarray(x).ravel())
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(0, n * n_points * m + 1, m, dtype=np.int32)), flat)
+                samples = pa.array(np.tile(np.arange(n_points, dtype=np.int32), n))
+                yield pa.record_batch([batch.column("id").take(pa.array(np.repeat(np.arange(n), n_points))), samples, rows], names=[id_col, "sample", "x"])
 
         kind = dict(df.dtypes)[id_col]
-        return df.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("k"), F.col(y_col).alias("y")).mapInPandas(run, f"{id_col} {kind}, sample int, x array<double>")
+        return self._asked(df, y_col, id_col).mapInArrow(run, f"{id_col} {kind}, sample int, x array<double>")
+
+    def inverse_mean(self, df: DataFrame, value: Callable[[np.ndarray], np.ndarray], n_points: int = 1, y_col: str = "active", id_col: str = "row_id", seed: int = 42) -> DataFrame:
+        """id, mean of value (rows of x to numbers) over the points that inverse_transform gives. Points don't leave their task; rows of one id count together."""
+        self.require_fit()
+        w1, w2 = self.W1, self.W2 if self.W2 is not None else linalg.complement(self.W1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, x in points_of(batches, w1, w2, n_points, seed):
+                v = np.asarray(value(x.reshape(-1, x.shape[2])), float).reshape(len(x), n_points)
+                yield pa.record_batch([batch.column("id"), pa.array(np.cumsum(v, axis=1)[:, -1])], names=[id_col, "total"])
+
+        kind = dict(df.dtypes)[id_col]
+        sums = self._asked(df, y_col, id_col).mapInArrow(run, f"{id_col} {kind}, total double")
+        return sums.groupBy(id_col).agg((F.sum("total") / (F.count("*") * n_points)).alias("mean"))
+
+    @staticmethod
+    def _asked(df: DataFrame, y_col: str, id_col: str) -> DataFrame:
+        return df.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("k"), F.col(y_col).cast("array<double>").alias("y"))
+
+
+#: Numbers of points that a task holds at once, about.
+POINT_NUMBERS = 1_000_000
+
+
+def points_of(batches: Iterator[pa.RecordBatch], w1: np.ndarray, w2: np.ndarray, n: int, seed: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of the batches (id, k, y) with their points, (rows, n, m)."""
+    step = max(1, POINT_NUMBERS // (n * w1.shape[0]))
+    for whole in batches:
+        for at in range(0, whole.num_rows, step):
+            batch = whole.slice(at, step)
+            y = batch.column("y").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            keys = batch.column("k").to_numpy() & (2**63 - 1)
+            x = interval_points(y, w1, w2, n, seed, keys) if w2.shape[1] == 1 else None
+            if x is None:
+                x = np.array([full_points(v, w1, w2, n, np.random.default_rng([seed, int(k)])) for v, k in zip(y, keys)])
+            yield batch, x
+
+
+def interval_points(y: np.ndarray, w1: np.ndarray, w2: np.ndarray, n: int, seed: int, keys: np.ndarray) -> np.ndarray:
+    """full_points of many rows at once where one coordinate is free, so that points fill an interval: the same numbers, row by row."""
+    base = y @ w1.T
+    c = w2[:, 0]
+    a, b = np.concatenate([c, -c]), np.column_stack([-1 - base, base - 1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ends = b / a
+    lower = np.max(ends[:, a > 0], axis=1, initial=-np.inf)
+    upper = np.min(ends[:, a < 0], axis=1, initial=np.inf)
+    gap = lower - upper
+    corner = (gap > 0) & (gap < 1e-9)
+    lower = np.where(corner, (lower + upper) / 2, lower)
+    upper = np.where(corner, lower, upper)
+    z = uniform(seed, keys, n)
+    z = (lower[:, None] + (upper - lower)[:, None] * z).clip(lower[:, None], upper[:, None])
+    x = base[:, None, :] + z[:, :, None] * c
+    for i in np.flatnonzero((lower > upper) | ~np.isfinite(lower) | ~np.isfinite(upper)):  # no point inside: as a single row is treated
+        x[i] = full_points(y[i], w1, w2, n, np.random.default_rng([seed, int(keys[i])]))
+    return x
+
+
+def uniform(seed: int, keys: np.ndarray, n: int) -> np.ndarray:
+    """np.random.default_rng([seed, key]).random(n) of each key, for all keys at once: NumPy's SeedSequence and PCG64 over arrays."""
+    keys = keys.astype(np.uint64)
+    low, high = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint32)
+    words, seed = [], int(seed)
+    while seed or not words:
+        words.append(np.full(len(keys), seed & 0xFFFFFFFF, np.uint32))
+        seed >>= 32
+    # A key below 2 ** 32 is one word: up to four words in all, a missing one counts as zero.
+    if len(words) > 2:
+        raise ValueError("a seed has up to 64 bits")
+    words += [low, high]
+    words += [np.zeros(len(keys), np.uint32)] * (4 - len(words))
+    const = 0x43B0D7E5
+
+    def hashed(v: np.ndarray) -> np.ndarray:
+        nonlocal const
+        v = v ^ np.uint32(const)
+        const = const * 0x931E8875 & 0xFFFFFFFF
+        v = v * np.uint32(const)
+        return v ^ (v >> np.uint32(16))
+
+    def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        v = a * np.uint32(0xCA01F9DD) - b * np.uint32(0x4973F715)
+        return v ^ (v >> np.uint32(16))
+
+    pool = [hashed(w) for w in words]
+    for i in range(4):
+        for j in range(4):
+            if i != j:
+                pool[j] = mixed(pool[j], hashed(pool[i]))
+    const, state = 0x8B51F9DD, []
+    for i in range(8):
+        v = pool[i % 4] ^ np.uint32(const)
+        const = const * 0x58F38DED & 0xFFFFFFFF
+        v = v * np.uint32(const)
+        state.append((v ^ (v >> np.uint32(16))).astype(np.uint64))
+    start_high, start_low, way_high, way_low = (state[2 * i] | (state[2 * i + 1] << np.uint64(32)) for i in range(4))
+    one, u63 = np.uint64(1), np.uint64(63)
+    step_high, step_low = (way_high << one) | (way_low >> u63), (way_low << one) | one
+
+    def add(ah, al, bh, bl):
+        out = al + bl
+        return ah + bh + (out < al).astype(np.uint64), out
+
+    factor_high, factor_low = np.uint64(2549297995355413924), np.uint64(4865540595714422341)
+    mask, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    f0, f1 = factor_low & mask, factor_low >> half
+
+    def turn(h, low):
+        a0, a1 = low & mask, low >> half
+        p00, p01, p10, p11 = a0 * f0, a0 * f1, a1 * f0, a1 * f1
+        middle = (p00 >> half) + (p01 & mask) + (p10 & mask)
+        carried = p11 + (p01 >> half) + (p10 >> half) + (middle >> half)
+        return add(carried + h * factor_low + low * factor_high, low * factor_low, step_high, step_low)
+
+    h, low = turn(*add(step_high, step_low, start_high, start_low))
+    out = np.empty((len(keys), n))
+    for j in range(n):
+        h, low = turn(h, low)
+        v, r = h ^ low, h >> np.uint64(58)
+        v = (v >> r) | (v << ((np.uint64(64) - r) & u63))
+        out[:, j] = (v >> np.uint64(11)) * (1.0 / 2**53)
+    return out
 
 
 def full_points(y: np.ndarray, w1: np.ndarray, w2: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:

@@ -152,6 +152,33 @@ def test_group_normalisers_go_to_the_rows(spark, tmp_path, kind, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_points_of_many_rows_at_once(spark, monkeypatch):
+    """The numbers of one generator a row, without making one; means taken in the task are those of the points."""
+    import pyarrow as pa
+
+    from gradlens.operators import active
+
+    keys = np.concatenate([np.random.default_rng(1).integers(0, 2**63 - 1, 200), [0, 1, 2**32 - 1, 2**32, 2**63 - 1]])
+    for seed in (0, 42, 2**40):
+        np.testing.assert_array_equal(active.uniform(seed, keys, 7), [np.random.default_rng([seed, int(k)]).random(7) for k in keys])
+    w = np.linalg.qr(np.random.default_rng(2).normal(size=(2, 2)))[0]
+    y = np.random.default_rng(3).uniform(-1, 1, (len(keys), 2)) @ w[:, :1]
+    want = np.array([full_points(a, w[:, :1], w[:, 1:], 5, np.random.default_rng([42, int(k)])) for a, k in zip(y, keys)])
+    monkeypatch.setattr(active, "POINT_NUMBERS", 300)
+    monkeypatch.setattr(active, "full_points", None)
+    batch = pa.record_batch([pa.array(keys), pa.array(keys), pa.array(y.tolist())], names=["id", "k", "y"])
+    got = np.concatenate([x for _, x in active.points_of([batch], w[:, :1], w[:, 1:], 5, 42)])
+    np.testing.assert_array_equal(got, want)
+    monkeypatch.undo()
+    df = from_arrays(spark, np.random.default_rng(6).uniform(-1, 1, (30, 2)), None, np.random.default_rng(7).normal(size=(30, 2)))
+    model = ActiveSubspaces(dim=1, n_boot=None).fit(df)
+    points = model.inverse_transform(model.transform(df), 4).collect()
+    means = {r["row_id"]: r["mean"] for r in model.inverse_mean(model.transform(df), lambda x: x[:, 0] * x[:, 1], 4).collect()}
+    assert len(means) == 30 and len(points) == 120
+    for i, mean in means.items():
+        assert abs(mean - np.mean([r["x"][0] * r["x"][1] for r in points if r["row_id"] == i])) < 1e-12
+
+
 def test_normalizer(spark):
     df = from_arrays(spark, np.array([[0.0, 1.0], [4.0, 3.0], [1.0, 2.0]]))
     n = exprs.Normalizer.fit(df)
