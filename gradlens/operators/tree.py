@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gradlens.functions.linalg import canonical_signs, cumulative_dim, gap_dim, sorted_eigenpairs, sqrt_pair
 from gradlens.operators.gp import GP
-from gradlens.operators.local import k_medoids
+from gradlens.operators.local import k_medoids, spread
 from gradlens.operators.neighbors import nearest_label
 
 #: What a refinement ended with. Larger is worse; FULL stops the whole tree.
@@ -220,7 +220,7 @@ class HierarchicalAS:
         c = self.config = config if isinstance(config, TreeConfig) else TreeConfig.of(config)
         if c.metric not in ("as", "kmeans", "euclidean", "C1"):
             raise ValueError(f"no metric {c.metric}")
-        self.data = df.select("row_id", "x", "f", "g").persist()
+        self.data = spread(df.select("row_id", "x", "f", "g")).persist()
         self.validation = validation.select("x", "f").persist() if validation is not None else None
         pdf = self.data.orderBy(F.xxhash64("row_id"), "row_id", "x").limit(c.node_rows * c.max_clusters).toPandas()
         x, f, g = (np.array(pdf[k].tolist(), float) for k in ("x", "f", "g"))

@@ -152,6 +152,22 @@ def test_group_normalisers_go_to_the_rows(spark, tmp_path, kind, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_kept_rows_lie_in_small_partitions(spark, monkeypatch):
+    seen = []
+
+    class Watched(local.KMeansAS):
+        def train(self, df):
+            seen.append((df.rdd.getNumPartitions(), df.count()))
+            super().train(df)
+
+    rng = np.random.default_rng(5)
+    df = from_arrays(spark, rng.normal(size=(400, 2)), rng.normal(size=400), rng.normal(size=(400, 2)))
+    monkeypatch.setattr(local, "PART_ROWS", 40)
+    model = Watched(local.ClusterConfig(2, restarts=0)).fit(df)
+    assert seen == [(10, 400)] and sum(m.n for m in model.models.values()) == 400
+    assert local.spread(df.limit(50)).count() == 50
+
+
 def test_points_of_many_rows_at_once(spark, monkeypatch):
     """The numbers of one generator a row, without making one; means taken in the task are those of the points."""
     import pyarrow as pa
